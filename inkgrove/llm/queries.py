@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.llm import boilerplate, leakage, lookalike, pieces, tokenise
+from inkgrove.llm import boilerplate, leakage, lookalike, pieces, scanfix, tokenise
 from inkgrove.sources.tables import table
 
 
@@ -31,6 +31,15 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, d, "parse_results"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanfix.scan_noise(table(spark, d, "parse_results"))
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every pdf result as continuous paragraphs with the printed words."""
+    return scanfix.repaired_texts(table(spark, d, "parse_results"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.cut_kinds(table(spark, d, "parse_results"), table(spark, d, "provenance_spans"), table(spark, d, "size_limits"))
 
@@ -71,7 +80,7 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).join(F.broadcast(items), "item_id").groupBy("suite").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_headers": p5_headers, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_by_suite": p7_by_suite}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_headers": p5_headers, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_by_suite": p7_by_suite}
 
 _LEAKS = r"""
 WITH words AS (
