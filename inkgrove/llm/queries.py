@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.llm import boilerplate, leakage, lookalike, pieces, scanfix, tokenise
+from inkgrove.llm import boilerplate, langid, leakage, lookalike, pieces, scanfix, tokenise
 from inkgrove.sources.tables import table
 
 
@@ -80,7 +80,17 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).join(F.broadcast(items), "item_id").groupBy("suite").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_headers": p5_headers, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_by_suite": p7_by_suite}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = langid.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"), only_doubtful=True)
+    return found.select("doc_id", "seg_no", "lang")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' segments with their lines and confidence."""
+    return langid.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_headers": p5_headers, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_by_suite": p7_by_suite, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _LEAKS = r"""
 WITH words AS (
