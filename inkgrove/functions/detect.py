@@ -89,7 +89,7 @@ def format_column(content: Column, source: Column, content_type: Column | None =
 
     @F.udf(T.StringType())
     def archive(data):
-        return first_kind(bytes(data))
+        return None if data is None else first_kind(bytes(data))  # also called for rows that need no look
 
     by_name = F.when(F.try_element_at(table, ext).isNotNull(), F.try_element_at(table, ext)).when(web, F.lit("url"))
     head = F.substring(content, 1, SNIFF_BYTES)

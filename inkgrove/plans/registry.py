@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkgrove.plans import records
+from inkgrove.plans import corpus, parsing, records
 
-MODULES = [records]
+MODULES = [records, parsing, corpus]
 
 
 def queries() -> dict:

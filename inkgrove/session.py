@@ -47,8 +47,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores where a scan has fewer splits than the cluster has cores.
 
     Only a small input meets the condition; a large one already has more splits than cores and
-    passes through without a shuffle.
+    passes through without a shuffle. Streams and plans that shuffle anyway stay as they are: their
+    partitions follow the shuffle, and looking at them would run it.
     """
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
