@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 from inkgrove.session import ship, spread
 
 #: Labelled rows used of each language (about), and characters of each of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 4000
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 2500
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 2
 #: Bytes that a change of language between lines of prose costs.
 SWITCH = 14
-#: Least margin, as a share of the best size, for an embedded block to leave its surroundings.
+#: Least margin to the language around it, as a share of its own, for an embedded block to leave it.
 EMBEDDED_MARGIN = 0.1
-MISSING = ("", "unknown")
+#: Margin under which a code text is judged again without its running words.
+NARROW = 0.25
 
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
 _TAG = re.compile(r"^\s*<(script|style)\b[^>]*>\s*$", re.I)
@@ -62,11 +63,12 @@ def embedded(lines: list[str]) -> list[tuple[int, int]]:
             end = next((k for k in range(i + 1, n) if marks[-1] in lines[k]), None)
         elif line.count("`") % 2 and "```" not in line:
             end = next((k for k in range(i + 1, n) if lines[k].count("`") % 2), None)
-        if end is not None and sum(bool(x.strip()) for x in lines[i + 1 : end]) >= 2:
-            found.append((i + 1, end))
-            i = end + 1
-        else:
+        if end is None:
             i += 1
+            continue
+        if sum(bool(x.strip()) for x in lines[i + 1 : end]) >= 2:
+            found.append((i + 1, end))
+        i = end + 1
     return found
 
 
@@ -125,13 +127,22 @@ class Languages:
         host = "\n".join(x for i, x in enumerate(lines) if i not in marked) if inner else text
         if not host.strip("`~ \t\n"):
             host, inner = text, []
-        lang, margin = self.best(host, self.among(host))
+        among = self.among(host)
+        lang, margin = self.best(host, among)
+        if margin < NARROW and lang in self.code:
+            # comments may outweigh the code they stand in: look at what is no running words
+            other, surer = self.best(_RUNNING.sub(" ", host), self.code)
+            if surer > margin:
+                lang, margin = other, surer
         owner: list[tuple[str, float] | None] = [None] * len(lines)
         for a, b in inner:
             inside = "\n".join(lines[a:b])
             if prose_share(inside.replace('"', "")) >= CODE:
                 continue  # a quoted text, not another code language
-            part, gap = self.best(inside, self.code)
+            sizes = dict(zip(self.code, self.sizes(inside, self.code)))
+            part = min(sizes, key=lambda k: (sizes[k], k))
+            around = sizes[lang] if lang in sizes else self.sizes(inside, [lang])[0]
+            gap = (around - sizes[part]) / max(1, sizes[part])
             if part != lang and gap >= EMBEDDED_MARGIN:
                 owner[a:b] = [(part, gap)] * (b - a)
         if lang in self.prose:
@@ -231,12 +242,13 @@ def host_text(text: str) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i not in inner)
 
 
-def train(rows: list[tuple[str, str]], prose: set[str], rounds: int = 3) -> dict[str, bytes]:
+def train(rows: list[tuple[str, str]], prose: set[str], rounds: int = 2) -> dict[str, bytes]:
     """Dictionaries by language. In each round either half of the rows judges the other half, and
-    only rows whose label agrees go on; so a wrong label can't vouch for itself."""
+    only rows whose label agrees go on; so a wrong label can't vouch for itself. Halves are cut by
+    the longest line, which copies of a file share, so a copy can't vouch for it either."""
     pool = [(k, h) for k, t in rows if len(h := host_text(t)) >= 40 and (PROSE > prose_share(h) if k not in prose else prose_share(h) >= CODE)]
     for _ in range(rounds):
-        halves = [[x for i, x in enumerate(pool) if i % 2 == s] for s in (0, 1)]
+        halves = [[x for x in pool if xxhash.xxh3_64_intdigest(max(x[1].split("\n"), key=len).strip()) % 2 == s] for s in (0, 1)]
         models = [Languages(_dictionaries(h), prose) for h in halves]
         pool = [x for s in (0, 1) for x in halves[s] if x[0] in models[1 - s].compress and _agrees(models[1 - s], x[0], x[1])]
         pool.sort(key=lambda x: xxhash.xxh3_64_intdigest(x[1]))
