@@ -16,6 +16,10 @@ def squeezed(text: str) -> str:
     return _RUN.sub(" ", text).strip(WHITE)
 
 
+def without_white(text: str) -> str:
+    return _RUN.sub("", text)
+
+
 def trimmed(text: str) -> str:
     return text.strip(WHITE)
 
