@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgrove.session import checked_broadcast, ship, spread
+from inkgrove.session import checked_broadcast, durable, ship, spread
 
 #: Letters whose printed shape is that of a Latin letter, by script.
 SHAPES = {
@@ -138,7 +138,7 @@ def same_looking_pairs(texts: DataFrame, id_col: str, text_col: str) -> DataFram
     large group of exact copies costs no more than the rows it must give. Null, empty and blank
     texts are no cases; equal strings are never paired.
     """
-    keys = look_keys(texts, id_col, text_col)
+    keys = durable(look_keys(texts, id_col, text_col))  # read four times below; the texts only once
     mixed = keys.groupBy("form").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("form")
     members = keys.join(mixed, "form", "left_semi")
     classes = members.select("form", "own").distinct()
