@@ -169,3 +169,26 @@ def page_at(spans: Column, at: Column) -> Column:
 def relinked(text: Column, prefix: str) -> Column:
     """Media links of images as links of a service: prefix and the encoded link."""
     return F.regexp_replace(text, r"\]\(grove://([A-Za-z0-9/_.\-]+)\)", rf"]({prefix}grove%3A%2F%2F$1)")
+
+
+def token_counts(texts: DataFrame, counter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tokens: a counter (a function of a list of texts to their numbers of tokens) over batches; null counts 0."""
+    import pandas as pd
+
+    @F.pandas_udf("bigint")
+    def count(values: pd.Series) -> pd.Series:
+        return pd.Series(counter([v or "" for v in values]), dtype="int64")
+
+    return texts.select(id_col, count(text_col).alias("tokens"))
+
+
+def agent_bodies(parsed: DataFrame, most: int = 96 << 10, spans: int = 12) -> DataFrame:
+    """doc_id, body: text cut at a byte limit at a whole character, then a footer of facts: format,
+    pages, warnings and the first page spans."""
+    data = F.encode("markdown", "UTF-8")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(data, 1, most).cast("string")), "\\x{FFFD}+\\z", "")
+    body = F.when(F.octet_length("markdown") > most, F.concat(cut, F.lit("\n[cut]"))).otherwise(F.col("markdown"))
+    notes = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("\n- "), w["code"])), "")
+    places = F.array_join(F.transform(F.slice(F.coalesce("provenance", F.array()), 1, spans), lambda p: F.concat(F.lit("\n- page "), p["page_number"].cast("string"), F.lit(": bytes "), p["out_start"].cast("string"), F.lit(" to "), p["out_end"].cast("string"))), "")
+    facts = F.concat(F.lit("\n---\nformat: "), F.col("format"), F.lit("\npages: "), F.coalesce(F.col("stats.page_count").cast("string"), F.lit("-")))
+    return parsed.where("kind = 'document'").select("doc_id", F.concat(body, facts, notes, places).alias("body"))

@@ -6,6 +6,7 @@ import base64
 import re
 import zlib
 
+from inkgrove.parsers.pdf_crypt import Decryptor
 from inkgrove.schema import ParseError
 
 SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
@@ -164,7 +165,7 @@ class Pdf:
         self.objects: dict[int, object] = {}
         self.trailers: list[dict] = []
         self.decoded: dict[int, bytes] = {}
-        at = 0
+        at, generations = 0, {}
         for m in iter(lambda: _OBJECT.search(data, at), None):
             lexer = Lexer(data, m.end())
             value = lexer.token()
@@ -180,6 +181,7 @@ class Pdf:
                 value = Stream(value, data[start:end])
                 lexer.at = end
             self.objects[int(m[1])] = value
+            generations[int(m[1])] = int(m[2])
             if isinstance(value, Stream) and value.info.get("Type") == "XRef":
                 self.trailers.append(value.info)
             at = max(lexer.at, m.end())
@@ -188,12 +190,38 @@ class Pdf:
             if isinstance(t, dict):
                 self.trailers.append(t)
         if any("Encrypt" in t for t in self.trailers):
-            raise ParseError("encrypted_pdf")
+            self.decrypt(generations)
         for value in list(self.objects.values()):
             if isinstance(value, Stream) and value.info.get("Type") == "ObjStm":
                 self.unpack(value)
         self.pages = self.find_pages()
 
+    def decrypt(self, generations: dict[int, int]) -> None:
+        """Opens all objects with the empty password."""
+        trailer = next(t for t in reversed(self.trailers) if "Encrypt" in t)
+        info = self.get(trailer["Encrypt"])
+        if not isinstance(info, dict):
+            raise ParseError("encrypted_pdf")
+        info = {k: self.get(v) for k, v in info.items()}
+        first = self.get((self.get(trailer.get("ID"), [b""]) or [b""])[0], b"")
+        door = Decryptor(info, first if isinstance(first, bytes) else b"")
+        own = trailer["Encrypt"][0] if isinstance(trailer["Encrypt"], Ref) else None
+
+        def opened(x, n, g):
+            if isinstance(x, bytes) and not isinstance(x, Word):
+                return door.open(x, n, g)
+            if isinstance(x, list):
+                return [opened(v, n, g) for v in x]
+            if isinstance(x, dict):
+                return {k: opened(v, n, g) for k, v in x.items()}
+            if isinstance(x, Stream):
+                return x if x.info.get("Type") == "XRef" else Stream(opened(x.info, n, g), door.open(x.raw, n, g))
+            return x
+
+        for n, value in list(self.objects.items()):
+            if n != own:
+                self.objects[n] = opened(value, n, generations[n])
+
     def unpack(self, stream: Stream) -> None:
         body = self.data(stream)
         count, first = self.get(stream.info.get("N"), 0), self.get(stream.info.get("First"), 0)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import datetime
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrove.functions.detect import format_column
+from inkgrove.functions.text import absolute
 from inkgrove.operators import corpus, engine
-from inkgrove.session import ship, spread
+from inkgrove.session import checked_broadcast, ship, spread
 from inkgrove.sources import generate as g
 from inkgrove.sources.tables import table
 
@@ -101,7 +100,7 @@ def xlsx_header_detection(spark, d):
         return g.xlsx({"Cover": [["only", "this"], ["a", "b"]], region: [[f"Nations of {region}"], [None, "checked", "twice"], [], ["Key", "Name", "Lower"], *body]})
 
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    files = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    files = n.join(checked_broadcast(r, 1000), n.n_regionkey == r.r_regionkey).groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
     files = files.select(F.col("r_regionkey").alias("region_key"), F.lit("r.xlsx").alias("source"), built(make, F.col("r_name"), F.col("rows")).alias("content"))
     t = engine.tables(engine.parse(files, doc_id="region_key"))
     return t.where("table_no = 1").select(
@@ -238,11 +237,33 @@ def media_round_trip(spark, d):
     return both.select("n_nationkey", F.regexp_replace("uri", r"^[a-z]+://", "").alias("link"), engine.extract_media(F.col("content"), F.col("uri")).cast("string").alias("data"))
 
 
-DAY = datetime.date(1899, 12, 30)
+def csv_delimiters(spark, d):
+    """Delimiters by their counts: nations written with each of four."""
+    ship(spark)
+    marks = F.explode(F.create_map(*[F.lit(x) for kv in enumerate((",", "\t", ";", "|"), 1) for x in kv])).alias("id", "mark")
+    rows = table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    make = lambda mark, body: g.csv_file([["key", "name"], *[[r["n_nationkey"], r["n_name"]] for r in body]], mark)
+    files = rows.select("rows", marks).select("id", F.lit("n.csv").alias("source"), built(make, F.col("mark"), F.col("rows")).alias("content"))
+    return engine.tables(engine.parse(files, doc_id="id")).select(F.col("doc_id").cast("int").alias("id"), "delimiter", F.col("range").alias("cell_range"))
+
+
+def links_absolute(spark, d):
+    """Links of web results made absolute by their page's address."""
+    ship(spark)
+    rows = table(spark, d, "parse_results").where("doc_format in ('html', 'url') and markdown is not null and source like 'http%'")
+    links = rows.select("parse_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\]\((/[^)\s]*)\)"), F.lit(1)))).alias("link"))
+
+    @F.pandas_udf(T.StringType())
+    def full(base: pd.Series, link: pd.Series) -> pd.Series:
+        return pd.Series([absolute(b, x) for b, x in zip(base, link)])
+
+    return spread(links).select("parse_id", "link", full("source", "link").alias("address"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, csv_row_range, csv_limit_columns, csv_entries, csv_markdown, csv_markdown_tables, xlsx_round_trip, xlsx_header_detection, html_render, docx_render, pptx_render,
+        csv_round_trip, csv_row_range, csv_limit_columns, csv_entries, csv_markdown, csv_markdown_tables, csv_delimiters, links_absolute, xlsx_round_trip, xlsx_header_detection, html_render, docx_render, pptx_render,
         epub_render, ipynb_render, pdf_render, pdf_page_slice, pdf_two_columns, pdf_table_recovery, container_warnings, broken_inputs, input_budget, detect_documents, parse_documents, media_round_trip,
     )
 }
@@ -307,6 +328,10 @@ SELECT * FROM (VALUES (1, 'invalid_container'), (2, 'invalid_container'), (3, 'l
     "input_budget": "SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 'parse_budget_exceeded' ELSE 'ready' END AS outcome, strlen(text)::BIGINT AS input_bytes FROM documents WHERE text IS NOT NULL",
     "media_round_trip": "SELECT n_nationkey, 'docx/part/word/media/a.png' AS link, 'picture ' || n_nationkey AS data FROM nation",
 }
+SQL["csv_delimiters"] = "SELECT id, CASE id WHEN 1 THEN ',' WHEN 2 THEN chr(9) WHEN 3 THEN ';' ELSE '|' END AS delimiter, 'A1:B' || (SELECT count(*) + 1 FROM nation) AS cell_range FROM (VALUES (1), (2), (3), (4)) AS t(id)"
+SQL["links_absolute"] = r"""
+WITH l AS (SELECT parse_id, source, unnest(list_distinct(regexp_extract_all(markdown, '\]\((/[^)\s]*)\)', 1))) AS link FROM parse_results WHERE doc_format IN ('html', 'url') AND source LIKE 'http%')
+SELECT parse_id, link, regexp_extract(source, '^https?://[^/]*') || link AS address FROM l"""
 _KINDS = """CASE lower(regexp_extract(regexp_extract(regexp_extract(file_path, '^[^?#]*'), '[^/]*$'), '\\.([^.]*)$', 1))
   WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'xlsx' THEN 'xlsx' WHEN 'xlsm' THEN 'xlsx'
   WHEN 'pptx' THEN 'pptx' WHEN 'csv' THEN 'csv' WHEN 'tsv' THEN 'csv' WHEN 'ipynb' THEN 'ipynb' WHEN 'epub' THEN 'epub'

@@ -334,3 +334,49 @@ def test_command_line(tmp_path):
 
 def test_squeeze():
     assert squeezed("　a  b\n") == "a b"
+
+
+# ---- encryption ----
+
+
+def encrypted(kind):
+    """A PDF of one page that the empty password opens, by RC4 or AES."""
+    from hashlib import md5
+
+    from inkgrove.parsers.pdf_crypt import PAD, Aes, rc4
+
+    plain, file_id, owner, rights = g.pdf([[(50, 60, "secret (words)")]]), b"0123456789abcdef", b"o" * 32, -44
+    key = md5(PAD + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()
+    for _ in range(50):
+        key = md5(key).digest()
+    user = rc4(key, md5(PAD + file_id).digest())
+    for i in range(1, 20):
+        user = rc4(bytes(b ^ i for b in key), user)
+    stream = Pdf(plain, 10**6).objects[4].raw
+    salted = md5(key + (4).to_bytes(3, "little") + b"\x00\x00" + (b"sAlT" if kind == "AESV2" else b"")).digest()
+    if kind == "AESV2":
+        fill = 16 - len(stream) % 16
+        body = b"i" * 16 + Aes(salted).encrypt(stream + bytes([fill]) * fill, b"i" * 16)
+    else:
+        body = rc4(salted, stream)
+    out = plain.replace(b"<< /Length %d >>\nstream\n%s" % (len(stream), stream), b"<< /Length %d >>\nstream\n%s" % (len(body), body))
+    version = b"/V 4 /R 4 /CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF" if kind == "AESV2" else b"/V 2 /R 3"
+    entry = b"<< /Filter /Standard %s /Length 128 /P %d /O <%s> /U <%s> >>" % (version, rights, owner.hex().encode(), (user + bytes(16)).hex().encode())
+    return out.replace(b"/Root 1 0 R", b"/Root 1 0 R /ID [<%s> <00>] /Encrypt %s" % (file_id.hex().encode(), entry))
+
+
+@pytest.mark.parametrize("kind", ["RC4", "AESV2"])
+def test_empty_password_opens(kind):
+    assert "secret (words)" in parsed(encrypted(kind))["markdown"]
+    broken = encrypted(kind).replace(b"/P -44", b"/P -43")
+    assert parsed(broken)["error"]["code"] == "encrypted_pdf"
+
+
+def test_ciphers_by_published_vectors():
+    from inkgrove.parsers.pdf_crypt import Aes, rc4
+
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = Aes(bytes(range(n)))
+        assert aes.encrypt_block(block).hex() == want and aes.decrypt_block(bytes.fromhex(want)) == block
+    assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
