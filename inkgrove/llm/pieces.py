@@ -80,28 +80,16 @@ def items_of(results: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFra
 
 
 def cut_items(items: DataFrame) -> DataFrame:
-    """One row an item with its cores: array of structs of start, size and hard.
+    """One row an item with its cores (consecutive parts that make it up) and, for each, hard: it
+    ends inside a stretch without a natural boundary, by character fallback."""
+    sized = items.withColumn("cores", F.regexp_extract_all("item", cut_pattern(F.col("max_bytes"), F.col("overlap_bytes")), F.lit(0)))
+    natural = F.lit(rf"(?:{_BLANK}|{_STOP})\z")
 
-    hard: the core ends inside a stretch without a natural boundary (character fallback).
-    """
-    cores = F.expr("regexp_extract_all(item, pattern, 0)")
-    ends = F.expr(f"""aggregate(cores, cast(array() as array<struct<start:int,size:int,hard:boolean>>), (done, core) -> concat(done, array(struct(
-        coalesce(try_element_at(done, -1).start + try_element_at(done, -1).size, 0) as start, length(core) as size, false as hard))))""")
-    natural = rf"(?s)({_BLANK}|{_STOP})\z"
-    sized = items.withColumn("pattern", cut_pattern(F.col("max_bytes"), F.col("overlap_bytes"))).withColumn("cores", cores).withColumn("cuts", ends)
-    hard = F.transform(
-        "cuts",
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            c["size"].alias("size"),
-            (
-                (c["start"] + c["size"] < F.length("item"))
-                & ~F.regexp(F.substring("item", F.greatest(c["start"] + c["size"] - 2, F.lit(1)), F.least(c["start"] + c["size"], F.lit(3))), F.lit(natural))
-                & ~F.regexp(F.substring("item", c["start"] + c["size"] + 1, F.lit(1)), F.lit(_BLANK))
-            ).alias("hard"),
-        ),
-    )
-    return sized.select("parse_id", "span_no", "item", "max_bytes", "overlap_bytes", hard.alias("cuts"))
+    def hard(core: Column, i: Column) -> Column:
+        inner = i + 1 < F.size("cores")
+        return inner & ~F.regexp(F.substring(core, F.lit(-3), F.lit(3)), natural) & ~F.regexp(F.substring(F.try_element_at("cores", i + 2), 1, 1), F.lit(_BLANK))
+
+    return sized.withColumn("hard", F.transform("cores", hard))
 
 
 def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFrame:
@@ -113,7 +101,9 @@ def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) ->
     begins inside a character, unless the span itself does. Null texts, formats without a limit
     and invalid spans have no items; repeated spans count once; an empty table gives no rows.
     """
-    cut = cut_items(items_of(results, spans, limits)).select("parse_id", "span_no", "item", "max_bytes", "overlap_bytes", F.posexplode("cuts").alias("piece_no", "cut"))
+    starts = F.aggregate("cores", F.array(F.lit(0)), lambda at, core: F.concat(at, F.array(F.element_at(at, -1) + F.length(core))))
+    parts = F.arrays_zip(starts.alias("start"), F.transform("cores", F.length).alias("size"), F.col("hard").alias("hard"))
+    cut = cut_items(items_of(results, spans, limits)).select("parse_id", "span_no", "item", "max_bytes", "overlap_bytes", F.posexplode(parts).alias("piece_no", "cut")).where("cut.size is not null")
     room = F.least("overlap_bytes", F.col("max_bytes") - F.col("cut.size"), F.col("cut.start"))
     cut = cut.withColumn("back", F.substring("item", F.col("cut.start") - room + 1, room))
     # the first natural boundary in the lookback, else its first whole character
@@ -136,4 +126,4 @@ def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) ->
 def cut_kinds(results: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFrame:
     """parse_id, span_no, cut of each oversized item: hard if any of its cores ends inside a stretch."""
     cut = cut_items(items_of(results, spans, limits))
-    return cut.select("parse_id", "span_no", F.when(F.exists("cuts", lambda c: c["hard"]), "hard").otherwise("soft").alias("cut"))
+    return cut.select("parse_id", "span_no", F.when(F.exists("hard", lambda h: h), "hard").otherwise("soft").alias("cut"))
