@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrove.llm import boilerplate, langid, leakage, lookalike, pieces, scanfix, tokenise
+from inkgrove.session import checked_broadcast
 from inkgrove.sources.tables import table
 
 
@@ -77,7 +78,7 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
 def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     """Affected documents and leaked items of each suite."""
     items = table(spark, d, "eval_items").select("item_id", F.coalesce("suite", F.lit("")).alias("suite"))
-    return p7_found(spark, d).join(F.broadcast(items), "item_id").groupBy("suite").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
+    return p7_found(spark, d).join(checked_broadcast(items, 1_000_000), "item_id").groupBy("suite").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
