@@ -77,3 +77,31 @@ def named_rows(loaded: DataFrame, entries: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("names", F.col("column_index")), F.concat(F.lit("column_"), (F.col("column_index") + 1).cast("string"))).alias("header"),
         "value",
     )
+
+
+#: Column types of the declared kinds.
+TYPES = {"integer": "decimal(38,0)", "decimal": "decimal(38,10)", "date": "date", "boolean": "boolean"}
+
+
+def entry_frame(loaded: DataFrame, entries: DataFrame, columns: DataFrame, entry_id: int) -> DataFrame:
+    """The valid records of one table as typed columns under its headers, with raw_id and line_no.
+
+    A blank cell is null unless its column is text. Numbers that don't fit their decimal type are
+    null. Headers that are missing or repeat get their column's number; the names raw_id and
+    line_no belong to the result's first two columns, so such a header gets its number too.
+    """
+    shape = columns.where(F.col("entry_id") == entry_id).select("column_index", "kind").dropDuplicates(["column_index"]).orderBy("column_index").collect()
+    row = entries.where(F.col("entry_id") == entry_id).select("headers").first()
+    heads = {v["column_index"]: k for k, v in sorted((row["headers"] or {}).items(), reverse=True)} if row else {}
+    taken, out = {"raw_id", "line_no"}, ["raw_id", "line_no"]
+    for r in shape:
+        i = r["column_index"]
+        name = heads.get(i) or f"column_{i + 1}"
+        if name.lower() in taken:
+            name = f"{name}_{i + 1}"
+        taken.add(name.lower())
+        cell = F.get("fields", F.lit(i))
+        if r["kind"] in TYPES:
+            cell = F.expr(f"try_cast(nullif(trim(get(fields, {int(i)})), '') as {TYPES[r['kind']]})")
+        out.append(cell.alias(name))
+    return loaded.where((F.col("entry_id") == entry_id) & F.col("reason").isNull()).select(*out)

@@ -98,3 +98,16 @@ def test_salted_join_keeps_rows_of_a_hot_key(spark):
     got = salted_left_join(left, right, "k", "id", most_share=1 / 16)
     assert got.count() == 5000
     assert {r.v: r["count"] for r in got.groupBy("v").count().collect()} == {"hot": 3000, "cold": 1, None: 1999}
+
+
+def test_one_table_as_typed_columns(spark):
+    from decimal import Decimal
+
+    from inkgrove.operators.records import entry_frame
+
+    records = spark.createDataFrame([(1, 7, 2, "7,x,2024-02-29,TRUE,1.5"), (2, 7, 3, " +8 , ,,FALSE,"), (3, 7, 4, "bad,x,,TRUE,1"), (4, 8, 2, "other")], "raw_id long, entry_id long, line_no int, raw string")
+    entries = spark.createDataFrame([(7, None, 5, {"raw_id": (0,), "T": (1,), "Day": (2,), "Ok": (3,)})], "entry_id long, delimiter string, column_count int, headers map<string,struct<column_index:int>>")
+    columns = spark.createDataFrame([(7, i, k, False) for i, k in enumerate(("integer", "text", "date", "boolean", "decimal"))], "entry_id long, column_index int, kind string, required boolean")
+    rows = entry_frame(load_records(records, entries, columns), entries, columns, 7).orderBy("line_no")
+    assert rows.columns == ["raw_id", "line_no", "raw_id_1", "T", "Day", "Ok", "column_5"]
+    assert [tuple(r) for r in rows.collect()] == [(1, 2, Decimal(7), "x", datetime.date(2024, 2, 29), True, Decimal("1.5")), (2, 3, Decimal(8), " ", None, False, None)]
