@@ -13,6 +13,9 @@ SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+obj(?![a-z])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 _TOKEN_END = re.compile(rb"[\x00\t\n\x0c\r ()<>\[\]{}/%]")
+#: White space and comments, then a number, a plain name or an operator: what content streams are full of.
+_PLAIN = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*(?:([+-]?\d+)|([+-]?(?:\d+\.\d*|\.\d+))|/([A-Za-z0-9.+_\-]*)|([A-Za-z'\"*][A-Za-z0-9'\"*]*))(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)")
+_KEYWORDS = {b"true": True, b"false": False, b"null": None}
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\x0c"}
 
 
@@ -54,6 +57,17 @@ class Lexer:
 
     def token(self):
         """Next object or keyword; END at the end of the data."""
+        m = _PLAIN.match(self.data, self.at)
+        if m is not None:
+            self.at = m.end()
+            kind = m.lastindex
+            if kind == 1:
+                return int(m[1])
+            if kind == 2:
+                return float(m[2])
+            if kind == 3:
+                return Name(m[3].decode("ascii"))
+            return _KEYWORDS[m[4]] if m[4] in _KEYWORDS else Word(m[4])
         self.skip()
         d = self.data
         if self.at >= len(d):
@@ -89,7 +103,7 @@ class Lexer:
         raw, self.at = d[self.at : end], end
         if _NUMBER.match(raw):
             return float(raw) if b"." in raw else int(raw)
-        return {b"true": True, b"false": False, b"null": None}.get(raw, Word(raw))
+        return _KEYWORDS[raw] if raw in _KEYWORDS else Word(raw)
 
     def literal(self) -> bytes:
         d, out, depth = self.data, bytearray(), 1

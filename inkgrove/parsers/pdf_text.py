@@ -126,6 +126,7 @@ class Font:
             self.widths = {32 + i: 600 if mono else w for i, w in enumerate(SANS_WIDTHS)}
             self.default = 600 if mono else 556
         self.read_encoding(pdf, info)
+        self.table = [(self.texts.get(c, "") if self.cmap is None or (t := self.cmap.get(c)) is None else t, self.widths.get(c, self.default) * self.scale, c == 32) for c in range(256)]
 
     def read_encoding(self, pdf: Pdf, info: dict) -> None:
         encoding = pdf.get(info.get("Encoding"))
@@ -168,9 +169,7 @@ class Font:
                 text = self.cmap.get(code) if self.cmap else None
                 yield chr(code) if text is None and not 0xD800 <= code < 0xE000 else text or "", self.widths.get(code, self.default) * 0.001, False
             return
-        for code in data:
-            text = self.cmap.get(code) if self.cmap else None
-            yield self.texts.get(code, "") if text is None else text, self.widths.get(code, self.default) * self.scale, code == 32
+        yield from map(self.table.__getitem__, data)
 
 
 def times(a, b):
@@ -242,8 +241,8 @@ class Interpreter:
         self.fonts: dict[int, Font] = {}
         self.last_x = self.last_y = 0.0
         self.span: Span | None = None
+        self.parts: list[str] = []
         self.span_x = self.span_y = 0.0
-        self.first = True
         self.seen: set = set()
         self.run(pdf.contents(page), pdf.get(page.get("Resources"), {}), State(), 0)
         self.flush()
@@ -386,49 +385,65 @@ class Interpreter:
         self.seen.discard(id(target))
 
     def show(self, data: bytes, state: State, matrix: tuple) -> tuple:
-        """Shows a string; returns the text matrix behind it."""
-        if state.font is None:
-            return matrix
-        self.first = True
-        for text, advance, blank in state.font.glyphs(data):
-            place = times((state.size * state.scale, 0, 0, state.size, 0, state.rise), times(matrix, state.ctm))
-            if text:
-                self.glyph(text, place, advance, state)
-            tx = (advance * state.size + state.char + (state.word if blank else 0)) * state.scale
-            matrix = times((1, 0, 0, 1, tx, 0), matrix)
-        return matrix
+        """Shows a string; returns the text matrix behind it.
 
-    def glyph(self, text: str, place: tuple, advance: float, state: State) -> None:
+        Only the place moves from glyph to glyph, along the baseline, so everything else of the
+        transformation is computed once a string.
+        """
+        font = state.font
+        if font is None:
+            return matrix
+        place = times((state.size * state.scale, 0, 0, state.size, 0, state.rise), base := times(matrix, state.ctm))
         size = abs((place[0] + place[2]) * (place[1] + place[3])) ** 0.5 or (abs(place[0]) + abs(place[3])) / 2
-        x, y = place[4] - self.low[0], self.out.height - (place[5] - self.low[1])
-        if (clip := state.clip) is not None and not (clip[0] - size <= place[4] <= clip[2] + size and clip[1] - size <= place[5] <= clip[3] + size):
-            return
-        end = x + advance * size
-        if self.first:
-            if abs(y - self.last_y) > 1.5 * size:
-                self.out.flat.append("\n")
-            if x < self.last_x and abs(y - self.last_y) > 0.5 * size:
-                self.out.flat.append("\n")
-            if x > self.last_x + 0.1 * size:
-                self.out.flat.append(" ")
-            self.first = False
-        self.out.flat.append(text)
-        self.out.glyphs.append((text, x, y, size))
-        self.last_x, self.last_y = end, y
+        step_x, step_y = base[0], base[1]
+        at_x, at_y = place[4] - self.low[0], self.out.height - (place[5] - self.low[1])
+        clip = state.clip
+        if clip is not None:
+            clip = (clip[0] - size - self.low[0], self.out.height - (clip[3] + size - self.low[1]), clip[2] + size - self.low[0], self.out.height - (clip[1] - size - self.low[1]))
+        moved, first = 0.0, True
+        flat, glyphs = self.out.flat, self.out.glyphs
+        for text, advance, blank in font.glyphs(data):
+            if text:
+                x, y = at_x + moved * step_x, at_y - moved * step_y
+                if clip is None or (clip[0] <= x <= clip[2] and clip[1] <= y <= clip[3]):
+                    end = x + advance * size
+                    if first:
+                        down = abs(y - self.last_y)
+                        if down > 1.5 * size:
+                            flat.append("\n")
+                        if x < self.last_x and down > 0.5 * size:
+                            flat.append("\n")
+                        if x > self.last_x + 0.1 * size:
+                            flat.append(" ")
+                        first = False
+                    flat.append(text)
+                    glyphs.append((text, x, y, size))
+                    self.last_x, self.last_y = end, y
+                    self.extend_span(text, x, y, end, size)
+            moved += (advance * state.size + state.char + (state.word if blank else 0)) * state.scale
+        return (*matrix[:4], matrix[4] + moved * matrix[0], matrix[5] + moved * matrix[1])
+
+    def extend_span(self, text: str, x: float, y: float, end: float, size: float) -> None:
+        """Adds a glyph to the open span, or begins another after a jump."""
         s = self.span
-        if s and (abs(y - self.span_y) > max(size, s.size) * 0.5 or x < self.span_x - 0.1 * size or x > self.span_x + 0.5 * size):
+        if s is not None and (abs(y - self.span_y) > max(size, s.size) * 0.5 or x < self.span_x - 0.1 * size or x > self.span_x + 0.5 * size):
             self.flush()
             s = None
         if s is None:
-            self.span = Span(text, x, end, y, size)
+            self.span, self.parts = Span("", x, end, y, size), [text]
         else:
-            s.text += (" " if x > self.span_x + 0.1 * size else "") + text
-            s.x1 = max(s.x1, end)
+            if x > self.span_x + 0.1 * size:
+                self.parts.append(" ")
+            self.parts.append(text)
+            if end > s.x1:
+                s.x1 = end
         self.span_x, self.span_y = end, y
 
     def flush(self) -> None:
-        if self.span and self.span.text.strip():
-            self.out.spans.append(self.span)
+        if self.span is not None:
+            self.span.text = "".join(self.parts)
+            if self.span.text.strip():
+                self.out.spans.append(self.span)
         self.span = None
 
 

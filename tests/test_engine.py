@@ -380,3 +380,34 @@ def test_ciphers_by_published_vectors():
         aes = Aes(bytes(range(n)))
         assert aes.encrypt_block(block).hex() == want and aes.decrypt_block(bytes.fromhex(want)) == block
     assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+
+
+def test_workbook_cell_kinds():
+    """Shared strings with phonetic runs, formula results, errors, builtin date formats and sparse rows."""
+    s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="x"><sheets><sheet name="A" r:id="r1"/><sheet name="B" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": g.rels({"r1": ("worksheet", "/xl/worksheets/one.xml"), "r2": ("worksheet", "worksheets/two.xml")}),
+        "xl/styles.xml": f'<styleSheet xmlns="{s}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="21"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>Head</t></si><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>no</t></rPh></si></sst>',
+        "xl/worksheets/one.xml": f'<worksheet xmlns="{s}"><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>Mid</t></is></c><c r="D2" t="s"><v>1</v></c></row>'
+        '<row r="4"><c r="B4" t="str"><f>A1</f><v>made</v></c><c r="C4" t="e"><v>#DIV/0!</v></c><c r="D4" s="1"><v>45000</v></c></row>'
+        '<row r="5"><c r="B5" s="2"><v>0.5</v></c><c r="C5" t="b"><v>1</v></c><c r="D5"><v>12345.6789</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/two.xml": f'<worksheet xmlns="{s}"><sheetData/></worksheet>',
+    }
+    (t,) = parsed(g.archive(parts), "a.xlsx")["tables"]
+    assert t["workbook_sheets"] == ["A", "B"] and t["header_row"] == 2 and t["range"] == "A2:C5" and t["row_numbers"] == [4, 5]
+    assert t["rows"] == [{"Head": "made", "Mid": "#DIV/0!", "two runs": "2023-03-15"}, {"Head": "12:00:00", "Mid": "TRUE", "two runs": "12345.6789"}]
+    assert "## Sheet: B" in parsed(g.archive(parts), "a.xlsx", mode="document")["markdown"]
+
+
+def test_docx_lists_links_and_text_boxes():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    item = lambda n, lvl, t: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{lvl}"/><w:numId w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    body = item(1, 0, "a") + item(1, 1, "b") + item(1, 0, "c") + item(2, 0, "d")
+    body += '<w:p><w:r><w:t>outer</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p>'
+    body += '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:tc><w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc></w:tr></w:tbl>'
+    numbering = f'<w:numbering {w}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:abstractNum w:abstractNumId="8"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="8"/></w:num></w:numbering>'
+    r = parsed(g.archive({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/numbering.xml": numbering}))
+    assert r["markdown"] == "1. a\n\n  - b\n\n2. c\n\n- d\n\nboxed\n\nouter\n\n| x<br>inner |  |\n| --- | --- |\n"
+    assert [x["code"] for x in r["warnings"]] == ["merged_table_structure_not_preserved", "embedded_visuals_omitted"]
