@@ -250,7 +250,9 @@ def train(rows: list[tuple[str, str]], prose: set[str], rounds: int = 2) -> dict
     for _ in range(rounds):
         halves = [[x for x in pool if xxhash.xxh3_64_intdigest(max(x[1].split("\n"), key=len).strip()) % 2 == s] for s in (0, 1)]
         models = [Languages(_dictionaries(h), prose) for h in halves]
-        pool = [x for s in (0, 1) for x in halves[s] if x[0] in models[1 - s].compress and _agrees(models[1 - s], x[0], x[1])]
+        kept = [x for s in (0, 1) for x in halves[s] if x[0] not in models[1 - s].compress or _agrees(models[1 - s], x[0], x[1])]
+        left = {k for k, _ in kept}
+        pool = kept + [x for x in pool if x[0] not in left]  # too few rows to judge one another
         pool.sort(key=lambda x: xxhash.xxh3_64_intdigest(x[1]))
     return _dictionaries(pool)
 
