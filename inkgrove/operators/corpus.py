@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,7 +174,6 @@ def relinked(text: Column, prefix: str) -> Column:
 
 def token_counts(texts: DataFrame, counter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tokens: a counter (a function of a list of texts to their numbers of tokens) over batches; null counts 0."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(values: pd.Series) -> pd.Series:

@@ -411,3 +411,15 @@ def test_docx_lists_links_and_text_boxes():
     r = parsed(g.archive({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/numbering.xml": numbering}))
     assert r["markdown"] == "1. a\n\n  - b\n\n2. c\n\n- d\n\nboxed\n\nouter\n\n| x<br>inner |  |\n| --- | --- |\n"
     assert [x["code"] for x in r["warnings"]] == ["merged_table_structure_not_preserved", "embedded_visuals_omitted"]
+
+
+def test_agent_bodies_and_token_counts(rows, spark):
+    _, p = rows
+    bodies = {r.doc_id: r.body for r in corpus.agent_bodies(p, most=9).collect()}
+    assert bodies["f.md"].startswith("# T\n\ntext\n[cut]") and "format: markdown" in bodies["f.md"]
+    assert "page 2: bytes" in bodies["b.pdf"] and "pages: 2" in bodies["b.pdf"]
+    t = spark.createDataFrame([(1, "a b c"), (2, None), (3, "é" * 10)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus.token_counts(t, lambda xs: [len(x.split()) for x in xs]).collect()) == [(1, 3), (2, 0), (3, 1)]
+    d = spark.createDataFrame([("aé" * 10,)], "markdown string").selectExpr("'x' as doc_id", "'document' as kind", "markdown", "'text' as format", "named_struct('page_count', cast(null as int)) as stats", "array() as warnings", "cast(null as array<struct<out_start:bigint,out_end:bigint,page_number:int>>) as provenance")
+    d = d.withColumn("warnings", d.warnings.cast("array<struct<code:string>>"))
+    assert corpus.agent_bodies(d, most=5).first().body.startswith("aéa\n[cut]")
