@@ -136,6 +136,8 @@ def may_be_prompt(block: str) -> bool:
 def outside(blocks: list[str], recurring: frozenset | set) -> list[int]:
     """Numbers of the blocks outside the main body."""
     n = len(blocks)
+    if not n:
+        return []
     heading = [bool(_HEADING.match(b)) for b in blocks]
     prompt = [not h and may_be_prompt(b) and (wording(b) in recurring or bool(_PROMPT.search(b))) for b, h in zip(blocks, heading)]
     earned = [0.0 if h or p else points(b) for b, h, p in zip(blocks, heading, prompt)]
@@ -236,6 +238,24 @@ def judged_blocks(results: DataFrame) -> DataFrame:
 
 
 def main_bodies(results: DataFrame) -> DataFrame:
-    """parse_id, body: the main body of each web page in its order; pages without one keep out."""
-    kept = judged_blocks(results).where("main")
-    return kept.groupBy("parse_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block_no", "block")))["block"], "\n\n").alias("body"))
+    """parse_id, body: the main body of each web page in its order; pages without one keep out.
+
+    Blocks are joined where they were judged, so nothing is shuffled but the wordings' keys.
+    """
+    ship(results.sparkSession)
+    pages = _pages(results)
+    shared = results.sparkSession.sparkContext.broadcast(frozenset(recurring_wordings(pages)))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recurring = shared.value
+        for b in batches:
+            at, bodies = [], []
+            for i, text in enumerate(b["markdown"].to_pylist()):
+                blocks = blocks_of(text)
+                out = set(outside(blocks, recurring))
+                if len(out) < len(blocks):
+                    at.append(i)
+                    bodies.append("\n\n".join(x for k, x in enumerate(blocks) if k not in out))
+            yield pa.RecordBatch.from_arrays([b["parse_id"].take(pa.array(at, pa.int64())), pa.array(bodies, pa.string())], ["parse_id", "body"])
+
+    return pages.select("parse_id", "markdown").mapInArrow(join, "parse_id bigint, body string")
