@@ -15,6 +15,9 @@ from inkgrove.parsers import dispatch
 from inkgrove.schema import LISTED_FAILURES, MEDIA, PARSED, SCHEME, ParseError
 from inkgrove.session import ship, spread
 
+#: Bytes of results after which a batch is handed over.
+OUT_BYTES = 16 << 20
+
 
 def parse(inputs: DataFrame, content: str = "content", source: str = "source", doc_id: str | None = None, content_type: str | None = None, **options) -> DataFrame:
     """One parsed row for each input row: doc_id, source, format, kind, markdown, tables,
@@ -42,7 +45,7 @@ def parse(inputs: DataFrame, content: str = "content", source: str = "source", d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for i, s, kind, c, n in zip(*(b[k] for k in ("doc_id", "source", "content_type", "content", "n"))):
                 row = dispatch.parse(c.as_py(), s.as_py(), kind.as_py(), o)
                 if not c.is_valid and n.is_valid:
@@ -54,7 +57,12 @@ def parse(inputs: DataFrame, content: str = "content", source: str = "source", d
                     if t["preamble"]:
                         t["preamble"] = t["preamble"] | {"content": list(t["preamble"]["content"].items())}
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                size += row["stats"]["output_bytes"] or 0
+                if size > OUT_BYTES:  # results may be much larger than their inputs
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return frame.mapInArrow(run, PARSED)
 
