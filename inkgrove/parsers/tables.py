@@ -260,8 +260,8 @@ class Workbook:
                         self._shared.append("".join(item))
         return self._shared
 
-    def rows(self, path: str) -> list[tuple[int, list[str]]]:
-        """(row number, cells) from the first to the last row that has any."""
+    def rows(self, path: str) -> tuple[list[tuple[int, list[str]]], int]:
+        """(row number, cells) from the first to the last row that has any, and the first column used."""
         cells: dict[int, dict[int, str]] = {}
         row = column = 0
         a: dict = {}
@@ -291,9 +291,9 @@ class Workbook:
                     if text := self.shown("".join(value), a):
                         cells.setdefault(row, {})[column] = text
         if not cells:
-            return []
+            return [], 1
         low, high = min(min(r) for r in cells.values()), max(max(r) for r in cells.values())
-        return [(n, [cells.get(n, {}).get(c, "") for c in range(low, high + 1)]) for n in range(min(cells), max(cells) + 1)]
+        return [(n, [cells.get(n, {}).get(c, "") for c in range(low, high + 1)]) for n in range(min(cells), max(cells) + 1)], low
 
     def shown(self, value: str, a: dict) -> str:
         kind = a.get("t", "n")
@@ -339,7 +339,7 @@ def xlsx_entries(data: bytes, source: str, options: ParseOptions) -> list[dict]:
     for name, path in book.sheets:
         if options.sheet is not None and name != options.sheet:
             continue
-        rows = book.rows(path)
+        rows, low = book.rows(path)
         if not rows:
             continue
         at = header_index(rows)
@@ -351,11 +351,12 @@ def xlsx_entries(data: bytes, source: str, options: ParseOptions) -> list[dict]:
             start = 0 if title_at is None else title_at + 1
             found = next(((n, r) for n, r in rows[start:at] if filled(r)), None)
             if found:
-                preamble = {"row": found[0], "content": {letters(i + 1): c for i, c in enumerate(found[1]) if trimmed(c)}}
+                cells = zip(row_keys(rows[at][1]), found[1])
+                preamble = {"row": found[0], "content": {k: c for k, c in sorted(cells) if not options.columns or k in options.columns}}
         body = [(n, r) for n, r in rows[at + 1 :] if filled(r)]
         out.append(
             entry(source, "xlsx", rows[at][1], body, width, options, "sheet", sheet=name, workbook_sheets=names, title=title, preamble=preamble,
-                  header_row=rows[at][0], range=f"A{rows[at][0]}:{letters(width)}{rows[-1][0]}")
+                  header_row=rows[at][0], range=f"{letters(low)}{rows[0][0]}:{letters(low + width - 1)}{rows[-1][0]}")
         )
     return out
 
@@ -365,7 +366,7 @@ def xlsx_markdown(data: bytes, most: int) -> str:
     page = Page(most)
     for name, path in book.sheets:
         page.heading(2, f"Sheet: {name}")
-        rows = book.rows(path)
+        rows, _ = book.rows(path)
         if rows:
             page.table([rows[0][1], *(r for _, r in rows[1:] if filled(r))])
     return page.text()

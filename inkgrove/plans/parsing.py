@@ -293,7 +293,7 @@ WITH rows AS (SELECT (s_suppkey // 500)::BIGINT AS file_no, row_number() OVER (P
   [s_suppkey::VARCHAR, s_name, CASE WHEN s_acctbal = floor(s_acctbal) THEN s_acctbal::BIGINT::VARCHAR ELSE s_acctbal::VARCHAR END, upper((s_acctbal > 0)::VARCHAR), strftime(DATE '1899-12-30' + (45000 + s_nationkey)::INTEGER, '%Y-%m-%d')] AS v FROM supplier) """
     + _CELLS,
     "xlsx_header_detection": """
-SELECT r_regionkey::BIGINT AS region_key, r_name AS sheet, 'Nations of ' || r_name AS title, 4::INTEGER AS header_row, 'A4:C' || (4 + count(*)) AS cell_range, 2::INTEGER AS note_row, 5::BIGINT AS first_row, (4 + count(*))::BIGINT AS last_row, 'Cover,' || r_name AS sheets
+SELECT r_regionkey::BIGINT AS region_key, r_name AS sheet, 'Nations of ' || r_name AS title, 4::INTEGER AS header_row, 'A1:C' || (4 + count(*)) AS cell_range, 2::INTEGER AS note_row, 5::BIGINT AS first_row, (4 + count(*))::BIGINT AS last_row, 'Cover,' || r_name AS sheets
 FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
     "html_render": _ITEM
     + r"""SELECT item_id, 'html' AS format, '# Item ' || item_id || chr(10) || chr(10) || '**Start**' || chr(10) || chr(10) || '**' || trim(regexp_replace(t, '\s+', ' ', 'g')) || '**' || chr(10) || chr(10) || '**' || trim(substr(t, 1, 20)) || ' [more](https://site.example/a/x?q=1)**' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || item_id || ' | x\|y |' || chr(10) AS markdown FROM i""",

@@ -396,7 +396,7 @@ def test_workbook_cell_kinds():
         "xl/worksheets/two.xml": f'<worksheet xmlns="{s}"><sheetData/></worksheet>',
     }
     (t,) = parsed(g.archive(parts), "a.xlsx")["tables"]
-    assert t["workbook_sheets"] == ["A", "B"] and t["header_row"] == 2 and t["range"] == "A2:C5" and t["row_numbers"] == [4, 5]
+    assert t["workbook_sheets"] == ["A", "B"] and t["header_row"] == 2 and t["range"] == "B2:D5" and t["row_numbers"] == [4, 5]
     assert t["rows"] == [{"Head": "made", "Mid": "#DIV/0!", "two runs": "2023-03-15"}, {"Head": "12:00:00", "Mid": "TRUE", "two runs": "12345.6789"}]
     assert "## Sheet: B" in parsed(g.archive(parts), "a.xlsx", mode="document")["markdown"]
 
