@@ -28,17 +28,22 @@ def paragraph_chunks(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def table_chunks(parsed: DataFrame) -> DataFrame:
-    """doc_id, table_no, kind, index, text: a schema chunk and one chunk a row of every table."""
+    """doc_id, table_no, kind, index, row, text: a schema chunk and one chunk a row of every table.
+
+    A schema's index is its table's number, a row's its place among the shown rows; row is its
+    number in the file.
+    """
     t = parsed.select("doc_id", F.posexplode("tables").alias("table_no", "t"))
-    head = t.select("doc_id", "table_no", F.lit("table_schema").alias("kind"), F.lit(0).cast("bigint").alias("index"), F.to_json(F.struct("t.sheet", "t.range", F.map_keys("t.headers").alias("headers"), "t.truncated")).alias("text"))
-    rows = t.select("doc_id", "table_no", F.explode(F.arrays_zip(F.col("t.row_numbers").alias("n"), F.col("t.rows").alias("v"))).alias("r"))
-    rows = rows.select("doc_id", "table_no", F.lit("table_row").alias("kind"), F.col("r.n").alias("index"), F.to_json("r.v").alias("text"))
+    about = F.struct(F.col("table_no").alias("table_index"), "t.sheet", "t.range", "t.headers", "t.truncated", "t.warnings")
+    head = t.select("doc_id", "table_no", F.lit("table_schema").alias("kind"), F.col("table_no").alias("index"), F.lit(None).cast("bigint").alias("row"), F.to_json(about).alias("text"))
+    rows = t.select("doc_id", "table_no", F.posexplode(F.arrays_zip(F.col("t.row_numbers").alias("n"), F.col("t.rows").alias("v"))).alias("index", "r"))
+    rows = rows.select("doc_id", "table_no", F.lit("table_row").alias("kind"), "index", F.col("r.n").alias("row"), F.to_json("r.v").alias("text"))
     return head.unionByName(rows)
 
 
 def chunks(parsed: DataFrame) -> DataFrame:
     """All chunks of a parsed corpus with their kind."""
-    paragraphs = paragraph_chunks(parsed.where("kind = 'document'")).select("doc_id", F.lit(None).cast("int").alias("table_no"), F.lit("paragraph").alias("kind"), F.col("index").cast("bigint").alias("index"), "text")
+    paragraphs = paragraph_chunks(parsed.where("kind = 'document'")).select("doc_id", F.lit(None).cast("int").alias("table_no"), F.lit("paragraph").alias("kind"), "index", F.lit(None).cast("bigint").alias("row"), "text")
     return paragraphs.unionByName(table_chunks(parsed))
 
 

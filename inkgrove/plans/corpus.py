@@ -172,11 +172,35 @@ def answer_trace(spark, d):
     return t.select("suite", F.col("p.id").alias("id"), F.col("p.claim").alias("claim"), F.col("p.verdict").alias("verdict"))
 
 
+SEGMENTS = [
+    (1, 0, "text", "Intro", None, None, None, None), (1, 1, "claim", "It grew", "supported", "Revenue grew strongly", None, None), (1, 2, "claim", "Costs fell", "supported", "Costs fell by half", None, "they rose"),
+    (1, 3, "text", "and", None, None, None, None), (1, 4, "claim", "Margin", "partial", "Margin 13.1%", "rounded", None), (2, 0, "claim", "No quote", "supported", " ", None, None), (2, 1, "claim", "Denied", "unsupported", "Revenue grew strongly", "says nothing", None),
+]
+
+
+def trace_evidence(spark, d):
+    """Evidence of complete traces over a fixed report: one row a claim."""
+    ship(spark)
+    rows = spark.createDataFrame(SEGMENTS, "answer_id int, seq int, kind string, text string, verdict string, quote string, note string, truth string")
+    t = evidence.assembled(rows.withColumn("markdown", F.lit(REPORT)).withColumn("source", F.lit("report")))
+    e = t.select("answer_id", "audit.supported", F.size("parts").alias("parts"), F.explode("evidence").alias("e"))
+    return e.select("answer_id", "supported", "parts", F.col("e.id").alias("id"), F.col("e.kind").alias("kind"), F.col("e.verdict").alias("verdict"), F.col("e.page").alias("page"), F.col("e.hit").alias("hit"), F.col("e.reason").alias("reason"), F.col("e.expected_truth").alias("truth"))
+
+
+def chunk_tables(spark, d):
+    """Chunks of generated tables by kind, with their places and rows."""
+    from inkgrove.plans.parsing import CUSTOMER, _csv_files
+
+    parsed = engine.parse(_csv_files(spark, d, "customer", "c_custkey", CUSTOMER), doc_id="file_no", limit=10**9)
+    c = corpus.chunks(parsed)
+    return c.groupBy(F.col("doc_id").cast("bigint").alias("file_no"), "kind").agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("last_index"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_paragraphs, keyword_search, search_snippets, search_summary, corpus_metrics, corpus_manifest, ready_by_format, concat_corpus, gfm_cells, squeezed_text, suspicious_results, result_sizes,
-        page_texts, page_spans, page_of_offset, warnings_by_code, entry_heads, media_links, markdown_cap, budget_fold, locate_quotes, locate_tiers, verdict_gate, answer_trace,
+        page_texts, page_spans, page_of_offset, warnings_by_code, entry_heads, media_links, markdown_cap, budget_fold, locate_quotes, locate_tiers, verdict_gate, answer_trace, trace_evidence, chunk_tables,
     )
 }
 
@@ -248,6 +272,14 @@ SELECT suite, item_id, size, accepted FROM f""",
     "locate_tiers": """
 SELECT * FROM (VALUES (1, 'exact', 1, 'Revenue grew strongly'), (2, 'whitespace', 1, 'Revenue grew strongly'), (3, 'number', 2, '| Revenue | 1,234.50 | 1,335.00 |'), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'number', 2, '| Margin | 12.5% | 13.1% |'),
   (7, NULL, NULL, NULL), (8, NULL, NULL, NULL), (9, 'amount', 3, '13.35'), (10, NULL, NULL, NULL)) AS t(id, tier, page, hit)""",
+    "trace_evidence": """
+SELECT * FROM (VALUES (1, 1, 5, 'e1', 'quote', 'supported', 1, 'Revenue grew strongly', NULL, NULL), (1, 1, 5, 'e2', 'none', 'unsupported', NULL, NULL, 'the quote given is not in the source; it may be invented', 'they rose'),
+  (1, 1, 5, 'e3', 'quote', 'partial', 2, '| Margin | 12.5% | 13.1% |', NULL, NULL), (2, 0, 2, 'e1', 'none', 'unsupported', NULL, NULL, 'nothing in the source supports this', NULL),
+  (2, 0, 2, 'e2', 'none', 'unsupported', NULL, NULL, 'says nothing', NULL)) AS t(answer_id, supported, parts, id, kind, verdict, page, hit, reason, truth)""",
+    "chunk_tables": """
+WITH f AS (SELECT (c_custkey // 500)::BIGINT AS file_no, count(*) AS n FROM customer GROUP BY 1)
+SELECT file_no, 'table_schema' AS kind, 1::BIGINT AS n, 0::INTEGER AS last_index, NULL::BIGINT AS first_row, NULL::BIGINT AS last_row FROM f
+UNION ALL SELECT file_no, 'table_row', n, (n - 1)::INTEGER, 2, n + 1 FROM f""",
     "verdict_gate": _GATE + "SELECT item_id, verdict, final_verdict, evidence_kind, reason FROM gate",
     "answer_trace": _GATE + "SELECT suite, 'e' || row_number() OVER (PARTITION BY suite ORDER BY item_id) AS id, claim, final_verdict AS verdict FROM gate",
 }
