@@ -111,7 +111,7 @@ def fitting(values: pa.Array, specs: np.ndarray) -> np.ndarray:
 def check_records(raws: pa.Array, delimiters: pa.Array, counts: pa.Array, specs: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Reason (null: valid) and fields (null: rejected) of each record.
 
-    delimiters: null means a comma. counts: wanted number of fields, null means any. specs: one
+    delimiters: null or empty means a comma. counts: wanted number of fields, null means any. specs: one
     KIND_CODES letter a column; columns beyond it are plain optional text.
     """
     n = len(raws)
@@ -120,7 +120,7 @@ def check_records(raws: pa.Array, delimiters: pa.Array, counts: pa.Array, specs:
     starts, ends = offsets[:-1], offsets[1:].copy()
     if len(data):
         ends -= (ends > starts) & (data[np.maximum(ends - 1, 0)] == CR)
-    marks = pc.fill_null(delimiters, ",").to_pylist()
+    marks = [x or "," for x in delimiters.to_pylist()]
     single = np.array([len(x) == 1 and ord(x) < 128 and x != '"' for x in marks], bool)
     byte = np.array([ord(x[0]) if ok else 0 for x, ok in zip(marks, single)], np.uint8)
     wanted = pc.fill_null(counts, -1).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -75,6 +75,10 @@ def test_any_records(raws):
     check(raws, [","] * len(raws), [2] * len(raws), ["xi"] * len(raws))
 
 
+def test_delimiters_of_any_kind():
+    check(["a||b", "a；b", "a,b", '"x||y"||b', 'a"b||c'], ["||", "；", "", "||", "||"], [2] * 5, ["xx"] * 5)
+
+
 def test_empty_batch_and_all_empty():
     check([], [], [], [])
     check([None, ""], [None, ","], [1, 1], ["x", "x"])
