@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,24 +46,50 @@ PROSE, CODE = 0.75, 0.5
 _TRIPLE = re.compile(r'"""|\'\'\'')
 
 
+class Closers:
+    """Where fences, tags, here-documents and quotes may end: each kind's lines are found once."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.kinds, self.whole = lines, {}, None
+
+    def after(self, i: int, kind: str, test) -> int | None:
+        """First line behind i that passes the test of its kind."""
+        found = self.kinds.get(kind)
+        if found is None:
+            found = self.kinds[kind] = [k for k, x in enumerate(self.lines) if test(x)]
+        at = bisect_right(found, i)
+        return found[at] if at < len(found) else None
+
+    def equal(self, i: int, text: str) -> int | None:
+        """First line behind i that is this text alone."""
+        if self.whole is None:
+            self.whole = {}
+            for k, x in enumerate(self.lines):
+                self.whole.setdefault(x.strip(), []).append(k)
+        found = self.whole.get(text, [])
+        at = bisect_right(found, i)
+        return found[at] if at < len(found) else None
+
+
 def embedded(lines: list[str]) -> list[tuple[int, int]]:
     """Ranges of whole lines inside fences, tags, here-documents and quotes of several lines."""
-    found, i, n = [], 0, len(lines)
+    found, i, n, closers = [], 0, len(lines), Closers(lines)
     while i < n:
         line = lines[i]
         end = None
         if (m := _FENCE.match(line)) is not None:
             mark = m[1]
-            end = next((k for k in range(i + 1, n) if lines[k].strip().startswith(mark) and not lines[k].strip().strip(mark[0])), None)
+            end = closers.after(i, mark, lambda x: (y := x.strip()).startswith(mark) and not y.strip(mark[0]))
         elif "<" in line and (m := _TAG.match(line)) is not None:
             close = f"</{m[1].lower()}>"
-            end = next((k for k in range(i + 1, n) if close in lines[k].lower()), None)
+            end = closers.after(i, close, lambda x: close in x.lower())
         elif "<<" in line and (m := _HEREDOC.search(line)) is not None:
-            end = next((k for k in range(i + 1, n) if lines[k].strip() == m[2]), None)
+            end = closers.equal(i, m[2])
         elif ('"""' in line or "'''" in line) and len(marks := _TRIPLE.findall(line)) % 2:
-            end = next((k for k in range(i + 1, n) if marks[-1] in lines[k]), None)
+            last = marks[-1]
+            end = closers.after(i, last, lambda x: last in x)
         elif line.count("`") % 2 and "```" not in line:
-            end = next((k for k in range(i + 1, n) if lines[k].count("`") % 2), None)
+            end = closers.after(i, "`", lambda x: x.count("`") % 2 == 1)
         if end is None:
             i += 1
             continue
