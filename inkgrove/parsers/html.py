@@ -25,6 +25,10 @@ BLOCKS = frozenset((*HEADINGS, "p", "ul", "ol", "table", "blockquote", "pre", "a
 CONTAINERS = frozenset(("article", "main", "section", "div", "body"))
 
 
+#: Open elements at most; bounds the work of every look up the stack.
+DEEPEST = 256
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -95,6 +99,8 @@ class Tree(HTMLParser):
             self.pop_to(("p",))
 
     def insert(self, tag: str, attrs: dict[str, str]) -> Node:
+        if len(self.open) >= DEEPEST:  # deeper elements become siblings
+            self.open.pop()
         node = Node(tag, attrs)
         self.here().add(node)
         self.open.append(node)

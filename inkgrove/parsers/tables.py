@@ -52,7 +52,7 @@ def records(text: str, delimiter: str) -> list[list[str]]:
 def _quoted(text: str, delimiter: str) -> tuple[list[list[str]], bool]:
     """Records of a text with quotes, and whether its last field was closed: a quote that opens no
     field is plain, an open one runs to the end."""
-    out, record, n, at, whole = [], [], len(text), 0, True
+    out, record, n, at, whole, line_end = [], [], len(text), 0, True, -1
     while at <= n:
         if at < n and text[at] == '"':
             value, at = [], at + 1
@@ -72,8 +72,11 @@ def _quoted(text: str, delimiter: str) -> tuple[list[list[str]], bool]:
             field = "".join(value)
         else:
             field = ""
-        stops = [x for x in (text.find(delimiter, at), text.find("\n", at)) if x >= 0]
-        stop = min(stops, default=n)
+        if line_end < at:  # looked up once a line, not once a field
+            line_end = text.find("\n", at)
+            line_end = n if line_end < 0 else line_end
+        stop = text.find(delimiter, at, line_end)
+        stop = line_end if stop < 0 else stop
         field += text[at:stop].removesuffix("\r") if stop == n or text[stop] == "\n" else text[at:stop]
         record.append(field)
         if stop == n:

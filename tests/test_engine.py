@@ -423,3 +423,15 @@ def test_agent_bodies_and_token_counts(rows, spark):
     d = spark.createDataFrame([("aé" * 10,)], "markdown string").selectExpr("'x' as doc_id", "'document' as kind", "markdown", "'text' as format", "named_struct('page_count', cast(null as int)) as stats", "array() as warnings", "cast(null as array<struct<out_start:bigint,out_end:bigint,page_number:int>>) as provenance")
     d = d.withColumn("warnings", d.warnings.cast("array<struct<code:string>>"))
     assert corpus.agent_bodies(d, most=5).first().body.startswith("aéa\n[cut]")
+
+
+def test_long_and_deep_inputs_stay_linear():
+    import time
+
+    start = time.time()
+    line = ",".join(['"a"', "b"] * 60_000)
+    assert len(tables.records(line + "\n" + line, ",")[1]) == 120_000
+    assert html.markdown_of("<div>" * 20_000 + "<p>x" + "<b>" * 2000 + "y", None, 10**7).startswith("x")
+    assert parsed(b"%PDF-1.4\n" + b"[" * 50_000, "a.pdf")["error"] is not None
+    assert len(tables.records('a"' + "\n" + '"open\n' * 20_000, ",")) > 1
+    assert time.time() - start < 30
