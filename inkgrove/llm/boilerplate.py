@@ -2,8 +2,11 @@
 
 A page is a tree: the page, its sections (a heading and what follows it), their blocks. A block
 earns points for its length and commas, discounted by its link density; shapes without running
-text (menus, link lists, prompts) earn none. Points go to the section and, halved, to the page. The
-best container is kept with every sibling that earned points, its headings included.
+text (menus, link lists, prompts) earn none. Points go to the section, where its own link density
+discounts them again, and, halved, to the page. The best container is kept with the siblings that
+reach a share of its score; a sibling under it is kept only if its blocks earn about as evenly as
+those of the best one, and it isn't several texts under a heading that recurs. All other sections
+go with their headings; sections of tables alone, empty ones and the title's are never dropped.
 
 A block whose wording (numbers and names aside) recurs on many different pages is a prompt of the
 sites, not of an article. Only wordings on at least RECURRING of all pages count, so there are fewer
@@ -27,6 +30,8 @@ from inkgrove.session import ship, spread
 WEB_FORMATS = ("html", "url")
 #: Share of all pages on which a wording must stand to count as recurring, and the fewest pages.
 RECURRING, FEWEST = 0.001, 3
+#: Share of the best container's score that a section needs, and share of its points a block.
+SIBLING, EVEN = 0.2, 0.15
 #: Longest block that can be a prompt, in characters.
 PROMPT_CHARS = 250
 #: More wordings than this would not be shared with the workers.
@@ -133,6 +138,38 @@ def may_be_prompt(block: str) -> bool:
     return len(block) <= PROMPT_CHARS and not (block[0] == "|" and _TABLE.match(block))
 
 
+def far_sections(blocks: list[str], sections: list[list[int]], heading: list[bool], prompt: list[bool], earned: list[float], density: list[float], common: list[bool]) -> set[int] | None:
+    """Sections with text that are no siblings of the best container; None if nothing earned points.
+
+    A section without any points (a title, a heading before another) is judged by its blocks alone.
+    """
+    scores, even = [], []
+    for own in sections:
+        # lists of linked titles are judged by their own rule
+        inner = [i for i in own if not heading[i] and not prompt[i] and not (density[i] >= 0.5 and link_list(blocks[i]))]
+        size = sum(len(blocks[i]) for i in inner)
+        linked = sum(density[i] * len(blocks[i]) for i in inner)
+        scores.append(sum(earned[i] for i in inner) * (1.0 - linked / size if size else 1.0))
+        # tables earn a fixed point and say nothing about the blocks around them
+        texts = [i for i in inner if blocks[i][0] != "|"]
+        even.append(sum(earned[i] for i in texts) / len(texts) if texts else 0.0)
+    best = max(range(len(sections)), key=scores.__getitem__)
+    if scores[best] <= 0:
+        return None
+    # points go up to the page halved; if it is the best container, its sections are measured by their mean
+    page = sum(scores) / 2
+    least = SIBLING * (page / sum(x > 0 for x in scores) if page > scores[best] else scores[best])
+    level = EVEN * even[best]
+    far = set()
+    for k, own in enumerate(sections):
+        if 0 < scores[k] < least and even[k] and heading[own[0]] and not blocks[own[0]].startswith("# "):
+            # copies of an article make its own headings recur, so a recurring one counts only over several texts
+            several = sum(earned[i] > 0 and blocks[i][0] != "|" for i in own) > 1
+            if even[k] < level or (common[own[0]] and several):
+                far.add(k)
+    return far
+
+
 def outside(blocks: list[str], recurring: frozenset | set) -> list[int]:
     """Numbers of the blocks outside the main body."""
     n = len(blocks)
@@ -141,27 +178,31 @@ def outside(blocks: list[str], recurring: frozenset | set) -> list[int]:
     heading = [bool(_HEADING.match(b)) for b in blocks]
     prompt = [not h and may_be_prompt(b) and (wording(b) in recurring or bool(_PROMPT.search(b))) for b, h in zip(blocks, heading)]
     earned = [0.0 if h or p else points(b) for b, h, p in zip(blocks, heading, prompt)]
-    links = [not h and link_density(b)[0] >= 0.5 for b, h in zip(blocks, heading)]
-    # points go up to the section and, halved, to the page
-    sections = [0.0]
+    density = [0.0 if h else link_density(b)[0] for b, h in zip(blocks, heading)]
+    links = [x >= 0.5 for x in density]
+    # a heading announces other stories if its wording recurs and links follow; the text behind them goes on above
+    common = [h and (wording(b) in recurring or bool(_ANNOUNCES.search(b))) for b, h in zip(blocks, heading)]
+    announces = [c and i + 1 < n and links[i + 1] and link_list(blocks[i + 1]) for i, c in enumerate(common)]
+    sections: list[list[int]] = [[]]
     for i in range(n):
-        if heading[i]:
-            sections.append(0.0)
-        sections[-1] += earned[i]
-    page = sum(sections) / 2
-    if max(page, *sections) <= 0:
+        if heading[i] and not announces[i]:
+            sections.append([])
+        sections[-1].append(i)
+    far = far_sections(blocks, sections, heading, prompt, earned, density, common)
+    if far is None:
         return list(range(n))
     keep = [x > 0 for x in earned]
     titled = False
     for i in range(n):
         if heading[i]:
-            # a heading stays, unless its wording recurs and links follow: it announces other stories
-            listed = i + 1 < n and links[i + 1] and link_list(blocks[i + 1])
-            keep[i] = not (listed and (wording(blocks[i]) in recurring or _ANNOUNCES.search(blocks[i])))
+            keep[i] = not announces[i]
             titled |= blocks[i].startswith("# ")
         elif links[i] and not prompt[i] and link_list(blocks[i]):
             # a list of linked titles is a sibling of the text around it, a menu or an announced list is not
             keep[i] = (i == 0 or keep[i - 1] or not heading[i - 1]) and not labels_only(blocks[i])
+    for k in far:
+        for i in sections[k]:
+            keep[i] = False
     # a title without a mark: the last plain line in front of the first kept block
     if not titled:
         first = next((i for i in range(n) if keep[i]), n)

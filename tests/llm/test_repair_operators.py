@@ -193,3 +193,17 @@ def test_language_frame(spark):
     assert got == [(1000, 0, "python"), (1001, 0, "python"), (1004, 0, "en")]
     assert langid.language_segments(df.limit(0), codes).count() == 0
     assert langid.language_segments(df, codes.limit(0)).count() == 0
+
+
+def test_sections_of_running_text_beside_the_article_are_outside():
+    article = ["# The old bridge"] + ["The committee measured the old bridge, the harbour and the canal, and nobody had asked for it, although some years later, it was repaired."] * 6
+    own = ["## The canal", "A short last note on the canal, which was measured, too, in the year after."]
+    comments = ["## What others wrote", "Anna, 3 hours ago", "Well done.", "Bert, 2 hours ago", "Reply", "Good to know.", "Cleo, 1 hour ago", "Reply", "Share", "Thanks."]
+    teasers = ["## Our letter", "Stay informed.", "One mail a week."]
+    blocks = article + own + comments + teasers
+    first = len(article) + len(own)
+    assert set(boilerplate.outside(blocks, set())) == {*range(first, first + len(comments))}
+    # several short texts under a heading that recurs
+    assert set(boilerplate.outside(blocks, {boilerplate.wording("## Our letter")})) == {*range(first, len(blocks))}
+    # a short own section, a section with a table and one without text stay
+    assert boilerplate.outside([*article, *own, "## Figures", "| a | b |\n| --- | --- |\n| 1 | 2 |", "## Next"], set()) == []
