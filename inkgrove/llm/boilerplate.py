@@ -9,8 +9,9 @@ those of the best one, and it isn't several texts under a heading that recurs. A
 go with their headings; sections of tables alone, empty ones and the title's are never dropped.
 
 A block whose wording (numbers and names aside) recurs on many different pages is a prompt of the
-sites, not of an article. Only wordings on at least RECURRING of all pages count, so there are fewer
-than (blocks a page) / RECURRING of them, however many pages there are.
+sites, not of an article. It counts by host, on at least HOST_SHARE of the host's pages, and over
+all pages, on at least RECURRING of them, so there are fewer than (blocks a page) / share of either,
+however many pages there are. A list of phrases adds to it where a host has too few pages.
 """
 
 from __future__ import annotations
@@ -22,21 +23,28 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.session import ship, spread
+from inkgrove.operators.joins import salted_left_join
+from inkgrove.session import durable, ship, spread
 
 WEB_FORMATS = ("html", "url")
 #: Share of all pages on which a wording must stand to count as recurring, and the fewest pages.
 RECURRING, FEWEST = 0.001, 3
+#: The same share of one host's pages.
+HOST_SHARE = 0.05
 #: Share of the best container's score that a section needs, and share of its points a block.
 SIBLING, EVEN = 0.2, 0.15
 #: Longest block that can be a prompt, in characters.
 PROMPT_CHARS = 250
 #: More wordings than this would not be shared with the workers.
 MAX_WORDINGS = 2_000_000
+#: More wordings of single hosts than this are joined to their pages instead of shared.
+MAX_SHARED = 200_000
 
+_HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _BREAK = re.compile(r"\n{2,}")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _HEADING = re.compile(r"#{1,6} ")
@@ -48,7 +56,7 @@ _NUMBER = re.compile(r"\d+")
 _NAME = re.compile(r"(?<=[^.!?\s] )[A-ZÄÖÜÉÀÁÓÍÑ][^\W\d_]+|(?<=[一-鿿])[A-Z][a-z]+")
 _COMMA = re.compile(r"[,，、;；]")
 _TABLE = re.compile(r"\|.*\n\|[ :|-]+\|?(?:\n|$)")
-#: Prompts by their wording, for pages without many others to compare with. Fixed values.
+#: Prompts by their wording, for hosts with too few pages to compare. Fixed values.
 _PROMPT = re.compile(
     r"""(?ix)
     ^©|^🍪
@@ -170,7 +178,7 @@ def far_sections(blocks: list[str], sections: list[list[int]], heading: list[boo
     return far
 
 
-def outside(blocks: list[str], recurring: frozenset | set) -> list[int]:
+def outside(blocks: list[str], recurring: frozenset | set | Evidence) -> list[int]:
     """Numbers of the blocks outside the main body."""
     n = len(blocks)
     if not n:
@@ -215,11 +223,13 @@ def outside(blocks: list[str], recurring: frozenset | set) -> list[int]:
 
 def _pages(results: DataFrame) -> DataFrame:
     web = results.where(F.col("doc_format").isin(*WEB_FORMATS) & F.col("markdown").isNotNull())
-    return spread(web.select("parse_id", "source", "markdown"))
+    # files and pages without an address have no host
+    host = F.nullif(F.regexp_extract(F.lower("source"), _HOST, 1), F.lit(""))
+    return spread(web.select("parse_id", "source", host.alias("host"), "markdown"))
 
 
-def recurring_wordings(pages: DataFrame) -> set[int]:
-    """Wordings on at least RECURRING of all pages (and FEWEST of them), by different addresses.
+def wordings_of_pages(pages: DataFrame) -> DataFrame:
+    """host, key, n: on how many different addresses each wording stands; key null: the host's addresses.
 
     Each page sends its short blocks' keys once; equal (key, page) pairs meet map-side and in the
     shuffle, so copies of a page count once and a frequent key is spread over all tasks.
@@ -227,27 +237,76 @@ def recurring_wordings(pages: DataFrame) -> set[int]:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ks, ps = [], []
-            for source, text in zip(b["source"].to_pylist(), b["markdown"].to_pylist()):
+            ks, ps, at = [], [], []
+            for i, (source, text) in enumerate(zip(b["source"].to_pylist(), b["markdown"].to_pylist())):
                 page = xxhash.xxh3_64_intdigest(source if source is not None else text) - (1 << 63)
                 found = {wording(x) for x in blocks_of(text) if may_be_prompt(x)}
                 ks.append(None)
-                ps.append(page)
                 ks.extend(found)
-                ps.extend([page] * len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ps, pa.int64())], ["key", "page"])
+                ps.extend([page] * (len(found) + 1))
+                at.extend([i] * (len(found) + 1))
+            yield pa.RecordBatch.from_arrays([b["host"].take(pa.array(at, pa.int64())), pa.array(ks, pa.int64()), pa.array(ps, pa.int64())], ["host", "key", "page"])
 
-    seen = pages.select("source", "markdown").mapInArrow(keys, "key bigint, page bigint").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.where(F.col("key").isNull() | (F.col("n") >= FEWEST)).persist()
+    seen = pages.select("source", "host", "markdown").mapInArrow(keys, "host string, key bigint, page bigint").distinct()
+    return seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def recurring_wordings(seen: DataFrame) -> set[int]:
+    """Wordings on at least RECURRING of all pages (and FEWEST of them), by different addresses."""
+    whole = seen.groupBy("key").agg(F.sum("n").alias("n"))
+    total = whole.where("key is null").select("n").first()
+    least = max(FEWEST, ceil(RECURRING * (total["n"] if total else 0)))
+    often = whole.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("key")
+    if often.limit(MAX_WORDINGS + 1).count() > MAX_WORDINGS:
+        raise ValueError("more recurring wordings than may be shared")
+    return {r["key"] for r in often.toLocalIterator()}
+
+
+def host_wordings(seen: DataFrame) -> DataFrame:
+    """host, keys: the wordings on at least HOST_SHARE of a host's pages (and FEWEST of them)."""
+    known = seen.where("host is not null")
+    pages = known.where("key is null").select("host", F.col("n").alias("pages"))
+    often = known.where(F.col("key").isNotNull() & (F.col("n") >= FEWEST))
+    often = salted_left_join(often, pages, "host", "key").where(F.col("n") >= F.ceil(F.col("pages") * HOST_SHARE))
+    return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
+
+
+def _with_evidence(results: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """parse_id, markdown and, where they can't be shared, keys: pages with their hosts' wordings;
+    the shared wordings of all pages and of each host.
+
+    All hosts' wordings are shared if they are few; otherwise each page gets those of its host by a
+    join in which a hot host is salted, so no worker holds more than its pages need.
+    """
+    pages = _pages(results)
+    seen = wordings_of_pages(pages).persist()
     try:
-        total = seen.where("key is null").select("n").first()
-        least = max(FEWEST, ceil(RECURRING * (total["n"] if total else 0)))
-        often = seen.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("key")
-        if often.limit(MAX_WORDINGS + 1).count() > MAX_WORDINGS:
-            raise ValueError("more recurring wordings than may be shared")
-        return {r["key"] for r in often.toLocalIterator()}
+        everywhere = frozenset(recurring_wordings(seen))
+        own = host_wordings(seen)
+        size = own.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+        if size <= MAX_SHARED:
+            hosts = {r["host"]: frozenset(r["keys"]) for r in own.toLocalIterator()}
+            return pages.select("parse_id", "host", "markdown").withColumn("keys", F.lit(None).cast("array<bigint>")), results.sparkSession.sparkContext.broadcast((everywhere, hosts))
+        own = durable(own)
     finally:
         seen.unpersist()
+    joined = salted_left_join(pages.select("parse_id", "host", "markdown"), own, "host", "parse_id")
+    return joined.select("parse_id", "host", "markdown", "keys"), results.sparkSession.sparkContext.broadcast((everywhere, {}))
+
+
+class Evidence:
+    """Wordings that recur for the pages of a host: its own and those of all pages."""
+
+    def __init__(self, everywhere: frozenset, hosts: dict[str, frozenset]):
+        self.everywhere, self.hosts = everywhere, hosts
+        self.own: frozenset = frozenset()
+
+    def of(self, host: str | None, keys: list[int] | None) -> Evidence:
+        self.own = frozenset(keys) if keys is not None else self.hosts.get(host, frozenset())
+        return self
+
+    def __contains__(self, key: int) -> bool:
+        return key in self.everywhere or key in self.own
 
 
 def judged_blocks(results: DataFrame) -> DataFrame:
@@ -258,24 +317,24 @@ def judged_blocks(results: DataFrame) -> DataFrame:
     by their text; other formats and columns are ignored.
     """
     ship(results.sparkSession)
-    pages = _pages(results)
-    shared = results.sparkSession.sparkContext.broadcast(frozenset(recurring_wordings(pages)))
+    pages, shared = _with_evidence(results)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recurring = shared.value
+        recurring = Evidence(*shared.value)
         for b in batches:
+            hosts, keys = b["host"].to_pylist(), b["keys"].to_pylist()
             at, no, main, texts = [], [], [], []
             for i, text in enumerate(b["markdown"].to_pylist()):
                 blocks = blocks_of(text)
                 if blocks:
-                    out = set(outside(blocks, recurring))
+                    out = set(outside(blocks, recurring.of(hosts[i], keys[i])))
                     at.extend([i] * len(blocks))
                     no.extend(range(len(blocks)))
                     main.extend(k not in out for k in range(len(blocks)))
                     texts.extend(blocks)
             yield pa.RecordBatch.from_arrays([b["parse_id"].take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(np.array(main, bool)), pa.array(texts, pa.string())], ["parse_id", "block_no", "main", "block"])
 
-    return pages.select("parse_id", "markdown").mapInArrow(judge, "parse_id bigint, block_no int, main boolean, block string")
+    return pages.mapInArrow(judge, "parse_id bigint, block_no int, main boolean, block string")
 
 
 def main_bodies(results: DataFrame) -> DataFrame:
@@ -284,19 +343,19 @@ def main_bodies(results: DataFrame) -> DataFrame:
     Blocks are joined where they were judged, so nothing is shuffled but the wordings' keys.
     """
     ship(results.sparkSession)
-    pages = _pages(results)
-    shared = results.sparkSession.sparkContext.broadcast(frozenset(recurring_wordings(pages)))
+    pages, shared = _with_evidence(results)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recurring = shared.value
+        recurring = Evidence(*shared.value)
         for b in batches:
+            hosts, keys = b["host"].to_pylist(), b["keys"].to_pylist()
             at, bodies = [], []
             for i, text in enumerate(b["markdown"].to_pylist()):
                 blocks = blocks_of(text)
-                out = set(outside(blocks, recurring))
+                out = set(outside(blocks, recurring.of(hosts[i], keys[i])))
                 if len(out) < len(blocks):
                     at.append(i)
                     bodies.append("\n\n".join(x for k, x in enumerate(blocks) if k not in out))
             yield pa.RecordBatch.from_arrays([b["parse_id"].take(pa.array(at, pa.int64())), pa.array(bodies, pa.string())], ["parse_id", "body"])
 
-    return pages.select("parse_id", "markdown").mapInArrow(join, "parse_id bigint, body string")
+    return pages.mapInArrow(join, "parse_id bigint, body string")

@@ -207,3 +207,19 @@ def test_sections_of_running_text_beside_the_article_are_outside():
     assert set(boilerplate.outside(blocks, {boilerplate.wording("## Our letter")})) == {*range(first, len(blocks))}
     # a short own section, a section with a table and one without text stay
     assert boilerplate.outside([*article, *own, "## Figures", "| a | b |\n| --- | --- |\n| 1 | 2 |", "## Next"], set()) == []
+
+
+@pytest.mark.parametrize("shared", [200_000, 0])
+def test_wording_that_recurs_on_one_host_only(spark, monkeypatch, shared):
+    """On 4 of one host's 40 pages; over all 5,040 pages it would need 6."""
+    monkeypatch.setattr(boilerplate, "MAX_SHARED", shared)
+    name = lambda i: "".join("abcdefghij"[int(x)] for x in str(i))
+    text = "# T\n\nThe {0} article, with {0} words of its own, is about {0} and nothing else at all."
+    odd = "\n\nOur patrons in all towns ask for more."
+    rows = [(i, f"https://U@Small.example:80/{i}", "html", text.format(name(i)) + odd * (i < 4)) for i in range(40)]
+    rows += [(i, f"https://h{i % 400}.example/{i}", "html", text.format(name(i)) + odd * (i == 50)) for i in range(40, 5040)]
+    df = spark.createDataFrame(rows, "parse_id long, source string, doc_format string, markdown string").repartition(4)
+    got = {(r.parse_id, r.block_no) for r in boilerplate.judged_blocks(df).where("not main").collect()}
+    assert got == {(i, 2) for i in range(4)}
+    bodies = {r.parse_id: r.body for r in boilerplate.main_bodies(df).collect()}
+    assert len(bodies) == 5040 and "patrons" not in bodies[0] and "patrons" in bodies[50]
