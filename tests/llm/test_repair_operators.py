@@ -223,3 +223,16 @@ def test_wording_that_recurs_on_one_host_only(spark, monkeypatch, shared):
     assert got == {(i, 2) for i in range(4)}
     bodies = {r.parse_id: r.body for r in boilerplate.main_bodies(df).collect()}
     assert len(bodies) == 5040 and "patrons" not in bodies[0] and "patrons" in bodies[50]
+
+
+def test_free_edits_need_both_neighbours():
+    words = {"seen": 900, "before": 900, "the": 900, "defore": 1, "meeting": 900, "melting": 900}
+    pairs = {scanfix.key_of(p): 5 for p in ("seen before", "before the", "seen defore", "defore the", "the meeting", "meeting seen", "the melting", "melting seen")}
+    v = scanfix.Vocabulary(words, pairs)
+    for read in ("hefore", "efore", "beforre", "bexore"):
+        assert v.printed(read, "seen", "the") == "before"
+        assert v.printed(read, "seen", "other") is None and v.printed(read, "", "the") is None
+    assert v.printed("meetinx", "the", "seen") == "meeting"
+    assert v.printed("meting", "the", "seen") is None  # meeting or melting
+    assert v.printed("hexore", "seen", "the") is None
+    assert scanfix.Repairer(v).repaired("Seen hefore the meeting") == "Seen before the meeting"
