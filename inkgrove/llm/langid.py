@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.session import ship, spread
@@ -231,23 +231,34 @@ def confidence(margin: float) -> float:
 
 
 def sample_rows(documents: DataFrame, codes: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """(language, text) of about so many labelled rows of each language, chosen by a hash of the text.
+    """(language, text) of about so many different labelled texts of each language, chosen by a hash of the text.
 
-    One aggregate over the labels gives each language's rate; the sample is then a filter of the
-    scan, so nothing is sorted or shuffled and at most 4 * rows a language reach the driver.
+    One aggregate over the labels gives each language's number of different texts and with it the
+    range of 64-bit hashes that are sampled. Copies meet map-side before the first 4 * rows of each
+    language by hash reach the driver, so neither many rows nor many copies of a text displace others.
     """
     names = [r["lang"] for r in codes.select("lang").distinct().limit(1000).collect()]
-    labelled = documents.where(F.col("lang").isin(names) & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.lit(0)
+    key = F.xxhash64("text")
+    labelled = documents.where(F.col("lang").isin(names) & F.col("text").isNotNull()).select("lang", key.alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    # hashes lie evenly between -2^63 and 2^63; those up to the last one are sampled
+    last = F.lit(-(1 << 63))
     for name, n in counts.items():
-        rate = F.when(F.col("lang") == name, F.lit(int(min(1.0, 1.5 * rows / n) * 1_000_000))).otherwise(rate)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    out = [(r["lang"], r["text"]) for r in chosen.limit(4 * rows * max(1, len(names))).collect()]
+        last = F.when(F.col("lang") == name, F.lit(last_hash(rows, n))).otherwise(last)
+    chosen = labelled.where(F.col("key") <= last).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    chosen = chosen.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("no") <= 4 * rows)
+    out = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
     out.sort(key=lambda x: xxhash.xxh3_64_intdigest(x[1]))
     return out
 
 
+def last_hash(rows: int, n: int) -> int:
+    """The hash up to which about 1.5 * rows of n different texts lie."""
+    if 2 * n <= 3 * rows:
+        return (1 << 63) - 1
+    return (3 * rows << 64) // (2 * n) - (1 << 63)
+
+
 def dictionary(texts: list[str]) -> bytes:
     """The texts' bytes, different ones first to last, up to the size of a dictionary."""
     out, size = [], 0

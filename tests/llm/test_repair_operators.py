@@ -236,3 +236,15 @@ def test_free_edits_need_both_neighbours():
     assert v.printed("meting", "the", "seen") is None  # meeting or melting
     assert v.printed("hexore", "seen", "the") is None
     assert scanfix.Repairer(v).repaired("Seen hefore the meeting") == "Seen before the meeting"
+
+
+def test_sample_of_very_many_rows_and_of_copies(spark):
+    codes = spark.createDataFrame([("python", "code"), ("sql", "code"), ("en", "prose")], "lang string, kind string")
+    many = spark.range(10_000_000).selectExpr("'sql' lang", "concat('select ', id) text")
+    copies = spark.range(20_000).selectExpr("'python' lang", "'x = 1' text")
+    few = spark.createDataFrame([("en", f"Text {i}.") for i in range(5)], "lang string, text string")
+    got = langid.sample_rows(many.union(copies).union(few), codes, 4)
+    by = {k: [t for x, t in got if x == k] for k in ("python", "sql", "en")}
+    assert by["python"] == ["x = 1"] and len(by["en"]) == 5
+    assert 1 <= len(by["sql"]) <= 16 and len(set(by["sql"])) == len(by["sql"])
+    assert langid.last_hash(400, 10**12) > langid.last_hash(400, 10**13) > -(1 << 63)
