@@ -1,17 +1,21 @@
 """Main bodies of web pages: tree scoring of blocks, with what recurs over pages as evidence.
 
-A page is a tree: the page, its sections (a heading and what follows it), their blocks. A block
-earns points for its length and commas, discounted by its link density; shapes without running
-text (menus, link lists, prompts) earn none. Points go to the section, where its own link density
-discounts them again, and, halved, to the page. The best container is kept with the siblings that
-reach a share of its score; a sibling under it is kept only if its blocks earn about as evenly as
-those of the best one, and it isn't several texts under a heading that recurs. All other sections
-go with their headings; sections of tables alone, empty ones and the title's are never dropped.
-
-A block whose wording (numbers and names aside) recurs on many different pages is a prompt of the
-sites, not of an article. It counts by host, on at least HOST_SHARE of the host's pages, and over
-all pages, on at least RECURRING of them, so there are fewer than (blocks a page) / share of either,
-however many pages there are. A list of phrases adds to it where a host has too few pages.
+A page is a tree: the page, its containers (what stands in front of the title, and each heading with
+what follows it), their blocks. A block earns points for its length and commas, discounted by its
+link density; menus, link lists, controls and furniture earn none. Points go to the container,
+where its own link density discounts them again, and, halved, to the page. The best container is
+kept with the siblings that reach a share of its score; a sibling under it is kept only if its
+blocks earn about as evenly as those of the best one, and it isn't several texts under a heading
+that recurs; what stands in front of a title needs the share itself. All other containers go with
+their headings; containers of tables alone, empty ones and the title's are never dropped. Between
+the first and last block with points, plain lists, code and lines without a full stop are kept too.
+
+A block whose wording (numbers and names aside) recurs beside many different articles is furniture
+of the sites; a menu is known by its labels in the same way. It counts by host, beside at least
+HOST_SHARE of the host's articles, and over all pages, beside at least RECURRING of them, so there
+are fewer than (blocks a page) / share of either, however many pages there are. An article is known
+by its title and longest block, so that copies of one under many addresses don't make its own
+paragraphs recur. No wording is known beforehand.
 """
 
 from __future__ import annotations
@@ -37,8 +41,6 @@ RECURRING, FEWEST = 0.001, 3
 HOST_SHARE = 0.05
 #: Share of the best container's score that a section needs, and share of its points a block.
 SIBLING, EVEN = 0.2, 0.15
-#: Longest block that can be a prompt, in characters.
-PROMPT_CHARS = 250
 #: More wordings than this would not be shared with the workers.
 MAX_WORDINGS = 2_000_000
 #: More wordings of single hosts than this are joined to their pages instead of shared.
@@ -54,37 +56,13 @@ _SENTENCE = re.compile(r"""[.!?。！？…]["'”’»）)]*(?=\s|$)|[。！？
 _DIVIDED = re.compile(r" [|·•>›»/] ")
 _NUMBER = re.compile(r"\d+")
 _NAME = re.compile(r"(?<=[^.!?\s] )[A-ZÄÖÜÉÀÁÓÍÑ][^\W\d_]+|(?<=[一-鿿])[A-Z][a-z]+")
+#: A name at the beginning is known by its coming again.
+_FIRST_NAME = re.compile(r"^([A-ZÄÖÜÉÀÁÓÍÑ][^\W\d_]+)\b(?=.*\b\1\b)", re.S)
+#: Check boxes, buttons (labels in brackets without a target), links into the page itself, marks of
+#: copyright and of the way up: controls of a site in any language.
+_CONTROL = re.compile(r"\[[ x]?\](?!\()|\[[^\]\n]{1,24}\]$|\]\(#[^)\n]*\)|^©|[↑⇧▲]$")
 _COMMA = re.compile(r"[,，、;；]")
 _TABLE = re.compile(r"\|.*\n\|[ :|-]+\|?(?:\n|$)")
-#: Prompts by their wording, for hosts with too few pages to compare. Fixed values.
-_PROMPT = re.compile(
-    r"""(?ix)
-    ^©|^🍪
-    |\[\ \]|\[[^\]\n]{1,24}\]$
-    |cookies?\ .*\b(?:policy|consent|settings|help\ \w+\ run|verwendet|richtlinie)|verwendet\ cookies|cookie-richtlinie|política\ de\ cookies|dépôt\ de\ cookies|使用\ ?cookie|隐私政策。
-    |your\ privacy\ matters|we\ and\ our\ \d+\ partners|wir\ und\ \d+\ partner|nous\ et\ nos\ \d+\ partenaires|nosotros\ y\ \d+\ socios|^manage\ consent
-    |^sign\ up\ for\ the\ .*\ letter|^newsletter\ von|^recevez\ la\ lettre|^reciba\ el\ boletín|^订阅
-    |^support\ \w+\ from\ only|is\ published\ by\ the\ .*,\ po\ box|^page\ generated\ in|^\d+\ readers\ are
-    |^comments?\ \(\d+\)|^kommentare\ \(\d+\)|^\d+\ commentaires|^comentarios\ \(\d+\)|^评论（\d+）
-    |^follow\ us:|^share\ this:|^teilen:|^partager\ ?:|^compartir:|^分享：
-    |^(?:read\ also|lesen\ sie\ auch|lire\ aussi|lea\ también|延伸阅读)\ ?[:：]
-    |^(?:skip\ to\ content|zum\ inhalt\ springen|aller\ au\ contenu|saltar\ al\ contenido|跳到正文|advertisement|anzeige|publicité|publicidad|广告|story\ continues\ below)$
-    |↑$
-    """
-)
-
-
-#: Headings that announce links to other stories. Fixed values.
-_ANNOUNCES = re.compile(
-    r"""(?ix)^\#+\ (?:
-    related\ stories|trending|you\ may\ also\ like|most\ read|popular\ this\ week|more\ from\ \w+
-    |mehr\ zum\ thema|das\ könnte\ sie\ auch\ interessieren|meistgelesen
-    |sur\ le\ même\ sujet|à\ lire\ aussi|les\ plus\ lus
-    |también\ te\ puede\ interesar|lo\ más\ leído
-    |相关阅读|热门文章|猜你喜欢
-    )$"""
-)
-
 
 def blocks_of(text: str) -> list[str]:
     """Trimmed, non-empty parts between runs of two or more line feeds."""
@@ -92,10 +70,8 @@ def blocks_of(text: str) -> list[str]:
 
 
 def wording(block: str) -> int:
-    """64-bit key of a block without its numbers and, in a sentence, without names."""
-    flat = _NUMBER.sub("0", block)
-    if _ENDED.search(flat):
-        flat = _NAME.sub("N", flat)
+    """64-bit key of a block without its numbers and names (capitals inside, or first and again)."""
+    flat = _NAME.sub("N", _FIRST_NAME.sub("N", _NUMBER.sub("0", block)))
     return xxhash.xxh3_64_intdigest(flat) - (1 << 63)
 
 
@@ -109,12 +85,13 @@ def link_density(block: str) -> tuple[float, str]:
     return (min(1.0, inside / bare) if bare else 1.0), visible
 
 
-def menu(lines: list[str]) -> bool:
-    """Short labels, one a line or divided by marks, none of them a sentence."""
-    if len(lines) == 1:
-        parts = _DIVIDED.split(lines[0])
-        return len(parts) > 1 and all(len(p) <= 40 and not _ENDED.search(p) for p in parts)
-    return all(len(x) <= 40 and not _ENDED.search(x) for x in lines)
+def labels_of(block: str) -> list[str]:
+    """The labels of a menu: short, one a line or divided by marks, none of them a sentence."""
+    lines = block.split("\n")
+    parts = lines if len(lines) > 1 else _DIVIDED.split(block)
+    if len(parts) > 1 and all(len(p) <= 40 and not _ENDED.search(p) for p in parts):
+        return [_MARKER.sub("", p) for p in parts]
+    return []
 
 
 def link_list(block: str) -> bool:
@@ -137,16 +114,26 @@ def points(block: str) -> float:
     if density >= 0.5:
         return 0.0
     flat = _MARKER.sub("", visible)
-    if not _SENTENCE.search(flat) or menu(flat.split("\n")):
+    if not _SENTENCE.search(flat):
         return 0.0
     return (1.0 + len(_COMMA.findall(flat)) + min(len(flat) / 100, 3.0)) * (1.0 - density)
 
 
-def may_be_prompt(block: str) -> bool:
-    return len(block) <= PROMPT_CHARS and not (block[0] == "|" and _TABLE.match(block))
+def table(block: str) -> bool:
+    return block[0] == "|" and bool(_TABLE.match(block))
+
+
+def furniture(block: str, recurring: frozenset | set | Evidence) -> bool:
+    """Whether a block recurs, is a menu of labels that mostly recur, or is a control."""
+    if table(block):
+        return False
+    if wording(block) in recurring or _CONTROL.search(block):
+        return True
+    labels = labels_of(_LINK.sub(r"\1", block))
+    return 2 * sum(wording(x) in recurring for x in labels) > len(labels)
 
 
-def far_sections(blocks: list[str], sections: list[list[int]], heading: list[bool], prompt: list[bool], earned: list[float], density: list[float], common: list[bool]) -> set[int] | None:
+def far_sections(blocks: list[str], sections: list[list[int]], heading: list[bool], prompt: list[bool], earned: list[float], density: list[float], common: list[bool], title: int) -> set[int] | None:
     """Sections with text that are no siblings of the best container; None if nothing earned points.
 
     A section without any points (a title, a heading before another) is judged by its blocks alone.
@@ -158,8 +145,8 @@ def far_sections(blocks: list[str], sections: list[list[int]], heading: list[boo
         size = sum(len(blocks[i]) for i in inner)
         linked = sum(density[i] * len(blocks[i]) for i in inner)
         scores.append(sum(earned[i] for i in inner) * (1.0 - linked / size if size else 1.0))
-        # tables earn a fixed point and say nothing about the blocks around them
-        texts = [i for i in inner if blocks[i][0] != "|"]
+        # tables earn a fixed point and lines of links none; they say nothing about the blocks around them
+        texts = [i for i in inner if blocks[i][0] != "|" and density[i] < 0.5]
         even.append(sum(earned[i] for i in texts) / len(texts) if texts else 0.0)
     best = max(range(len(sections)), key=scores.__getitem__)
     if scores[best] <= 0:
@@ -170,7 +157,9 @@ def far_sections(blocks: list[str], sections: list[list[int]], heading: list[boo
     level = EVEN * even[best]
     far = set()
     for k, own in enumerate(sections):
-        if 0 < scores[k] < least and even[k] and heading[own[0]] and not blocks[own[0]].startswith("# "):
+        if own and own[0] < title and k != best and scores[k] < least:
+            far.add(k)  # in front of the title
+        elif 0 < scores[k] < least and even[k] and heading[own[0]] and own[0] != title:
             # copies of an article make its own headings recur, so a recurring one counts only over several texts
             several = sum(earned[i] > 0 and blocks[i][0] != "|" for i in own) > 1
             if even[k] < level or (common[own[0]] and several):
@@ -184,75 +173,99 @@ def outside(blocks: list[str], recurring: frozenset | set | Evidence) -> list[in
     if not n:
         return []
     heading = [bool(_HEADING.match(b)) for b in blocks]
-    prompt = [not h and may_be_prompt(b) and (wording(b) in recurring or bool(_PROMPT.search(b))) for b, h in zip(blocks, heading)]
+    prompt = [not h and furniture(b, recurring) for b, h in zip(blocks, heading)]
     earned = [0.0 if h or p else points(b) for b, h, p in zip(blocks, heading, prompt)]
     density = [0.0 if h else link_density(b)[0] for b, h in zip(blocks, heading)]
     links = [x >= 0.5 for x in density]
-    # a heading announces other stories if its wording recurs and links follow; the text behind them goes on above
-    common = [h and (wording(b) in recurring or bool(_ANNOUNCES.search(b))) for b, h in zip(blocks, heading)]
-    announces = [c and i + 1 < n and links[i + 1] and link_list(blocks[i + 1]) for i, c in enumerate(common)]
+    listed = [x and link_list(b) for x, b in zip(links, blocks)]
+    common = [h and wording(b) in recurring for b, h in zip(blocks, heading)]
+    title = next((i for i in range(n) if blocks[i].startswith("# ")), -1)
+    # a heading announces other stories if links follow and its wording recurs; text behind the links goes on
+    # above. Where the host has shown nothing yet, also if nothing else in its container has points
+    lone = not getattr(recurring, "own", None)
+    announces, texts = [False] * n, 0
+    for i in range(n - 1, -1, -1):
+        texts += earned[i] > 0
+        if heading[i]:
+            announces[i] = i != title and i + 1 < n and listed[i + 1] and (common[i] or (lone and not texts))
+            texts = 0
     sections: list[list[int]] = [[]]
     for i in range(n):
         if heading[i] and not announces[i]:
             sections.append([])
         sections[-1].append(i)
-    far = far_sections(blocks, sections, heading, prompt, earned, density, common)
+    far = far_sections(blocks, sections, heading, prompt, earned, density, common, title)
     if far is None:
         return list(range(n))
-    keep = [x > 0 for x in earned]
-    titled = False
+    gone = {i for k in far for i in sections[k]}
+    keep = [earned[i] > 0 and i not in gone for i in range(n)]
+    texts = [i for i in range(n) if keep[i]]
+    first, last = (texts[0], texts[-1]) if texts else (n, -1)
+    # a list that the text announces belongs to it
+    while last >= 0 and last + 2 < n and not any(prompt[last + 1 : last + 3]) and not heading[last + 1] and blocks[last + 1][-1] in ":：" and link_list(blocks[last + 2]) and not listed[last + 2]:
+        last += 2
     for i in range(n):
+        if i in gone:
+            continue
         if heading[i]:
             keep[i] = not announces[i]
-            titled |= blocks[i].startswith("# ")
-        elif links[i] and not prompt[i] and link_list(blocks[i]):
+        elif prompt[i]:
+            continue
+        elif listed[i]:
             # a list of linked titles is a sibling of the text around it, a menu or an announced list is not
             keep[i] = (i == 0 or keep[i - 1] or not heading[i - 1]) and not labels_only(blocks[i])
-    for k in far:
-        for i in sections[k]:
-            keep[i] = False
+        elif not links[i] and not keep[i]:
+            # no points, but inside the container of the text
+            keep[i] = first < i <= last
     # a title without a mark: the last plain line in front of the first kept block
-    if not titled:
-        first = next((i for i in range(n) if keep[i]), n)
-        for i in range(first - 1, -1, -1):
-            if not (prompt[i] or links[i] or heading[i] or "\n" in blocks[i] or menu([blocks[i]])):
+    if title < 0:
+        start = next((i for i in range(n) if keep[i]), n)
+        for i in range(start - 1, -1, -1):
+            if not (prompt[i] or links[i] or heading[i] or "\n" in blocks[i] or labels_of(blocks[i])):
                 keep[i] = True
                 break
     return [i for i in range(n) if not keep[i]]
 
 
+def article(blocks: list[str]) -> int:
+    """Key of the article on a page: its title, if it has one, and its longest block."""
+    title = next((b for b in blocks if b.startswith("# ")), "")
+    return xxhash.xxh3_64_intdigest(f"{title}\n{max(blocks, key=len, default='')}") - (1 << 63)
+
+
 def _pages(results: DataFrame) -> DataFrame:
     web = results.where(F.col("doc_format").isin(*WEB_FORMATS) & F.col("markdown").isNotNull())
     # files and pages without an address have no host
     host = F.nullif(F.regexp_extract(F.lower("source"), _HOST, 1), F.lit(""))
-    return spread(web.select("parse_id", "source", host.alias("host"), "markdown"))
+    return spread(web.select("parse_id", host.alias("host"), "markdown"))
 
 
 def wordings_of_pages(pages: DataFrame) -> DataFrame:
-    """host, key, n: on how many different addresses each wording stands; key null: the host's addresses.
+    """host, key, n: beside how many different articles each wording stands; key null: the host's articles.
 
-    Each page sends its short blocks' keys once; equal (key, page) pairs meet map-side and in the
-    shuffle, so copies of a page count once and a frequent key is spread over all tasks.
+    Each page sends the keys of its blocks and menu labels once; equal (key, article) pairs meet
+    map-side and in the shuffle, so copies count once and a frequent key is spread over all tasks.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ks, ps, at = [], [], []
-            for i, (source, text) in enumerate(zip(b["source"].to_pylist(), b["markdown"].to_pylist())):
-                page = xxhash.xxh3_64_intdigest(source if source is not None else text) - (1 << 63)
-                found = {wording(x) for x in blocks_of(text) if may_be_prompt(x)}
+            for i, text in enumerate(b["markdown"].to_pylist()):
+                blocks = blocks_of(text)
+                page = article(blocks)
+                found = {k for x in blocks if not table(x) for k in (wording(x), *map(wording, labels_of(_LINK.sub(r"\1", x))))}
                 ks.append(None)
                 ks.extend(found)
                 ps.extend([page] * (len(found) + 1))
                 at.extend([i] * (len(found) + 1))
             yield pa.RecordBatch.from_arrays([b["host"].take(pa.array(at, pa.int64())), pa.array(ks, pa.int64()), pa.array(ps, pa.int64())], ["host", "key", "page"])
 
-    seen = pages.select("source", "host", "markdown").mapInArrow(keys, "host string, key bigint, page bigint").distinct()
+    seen = pages.select("host", "markdown").mapInArrow(keys, "host string, key bigint, page bigint").distinct()
     return seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recurring_wordings(seen: DataFrame) -> set[int]:
-    """Wordings on at least RECURRING of all pages (and FEWEST of them), by different addresses."""
+    """Wordings on at least RECURRING of all pages (and FEWEST of them), beside different articles."""
     whole = seen.groupBy("key").agg(F.sum("n").alias("n"))
     total = whole.where("key is null").select("n").first()
     least = max(FEWEST, ceil(RECURRING * (total["n"] if total else 0)))
@@ -313,8 +326,8 @@ def judged_blocks(results: DataFrame) -> DataFrame:
     """parse_id, block_no, main, block: every block of every web page and whether it is main body.
 
     Null and blank texts have no blocks; a page may be all main body or all furniture; repeated
-    results are judged each for itself but count once as evidence; pages without an address count
-    by their text; other formats and columns are ignored.
+    results are judged each for itself but count once as evidence; pages without an address have
+    no host; other formats and columns are ignored.
     """
     ship(results.sparkSession)
     pages, shared = _with_evidence(results)
