@@ -1,6 +1,8 @@
 """Small cases of main bodies, scan repair and languages."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from inkgrove.llm import boilerplate, langid, scanfix
 
@@ -137,8 +139,30 @@ def test_candidates_are_complete():
         return d[-1][-1]
 
     for token in ("rnap", "mop", "1amp", "tops", "", "xyz", "rn"):
-        want = {w: round(distance(token, w), 6) for w in words if distance(token, w) <= 2 + 1e-9}
-        assert {w: round(c, 6) for w, c in v.candidates(token, 2.0)} == want
+        for most in (scanfix.MOST, *(m for m, _ in scanfix.FREE)):  # the limits of production
+            want = {w: round(distance(token, w), 6) for w in words if distance(token, w) <= most + 1e-9}
+            assert {w: round(c, 6) for w, c in v.candidates(token, most)} == want
+
+
+@given(st.lists(st.text("abrmn", max_size=7), max_size=30), st.text("abrmn1", max_size=7))
+@settings(max_examples=60, deadline=None)
+def test_the_trie_over_sorted_words(words, token):
+    """Whatever part of the trie is thrown away between lookups, free edits are complete."""
+    v = scanfix.Vocabulary(dict.fromkeys((w for w in words if w), 1), ())
+    v = scanfix.Vocabulary.unpacked(v.packed())
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = {w for w, _ in v.candidates(token, 1.0)}
+    v.nodes = scanfix.MAX_NODES + 1
+    assert {w for w in words if w and edits(token, w) <= 1} <= got and {w for w, _ in v.candidates(token, 2.0)} >= got
+    assert all(v.uses_of(w) == 1 for w in words if w) and v.uses_of("zz") == 0
 
 
 def test_scan_frame(spark):
@@ -282,6 +306,39 @@ def test_free_edits_need_both_neighbours():
     assert scanfix.Repairer(v).repaired("Seen hefore the meeting") == "Seen before the meeting"
 
 
+def test_misread_words_of_any_kind():
+    """Characters added, dropped and replaced that no table of confusions holds."""
+    words = {"harbour": 900, "report": 900, "machine": 900, "the": 900, "old": 900, "was": 900, "irrigation": 900}
+    v = scanfix.Vocabulary(words, [scanfix.key_of(p) for w in words for p in (f"old {w}", f"{w} was")])
+    for printed, reads in {"harbour": ("harbcur", "harbonr", "hzrbour"), "machine": ("maehine", "machne"), "report": ("repoft", "reporrt", "xeport"), "irrigation": ("irxigatign", "irigtion")}.items():
+        for read in reads:
+            assert v.printed(read, "old", "was") == printed
+            assert v.printed(read, "the", "the") is None or len(v.candidates(read, scanfix.MOST)) > 0
+    # another form of a word is not misread, nor is a short one two edits away
+    assert v.printed("harbours", "old", "was") is None and v.printed("rexxrt", "old", "was") is None
+    # where most words are unknown a confusion must fit as well
+    assert v.printed("rnachine", "x", "y") == "machine" and v.printed("rnachine", "x", "y", strict=True) is None
+
+
+def test_words_beyond_the_trie_are_looked_up(spark, monkeypatch):
+    text = " ".join(["the same council restored another library"] * 40 + ["anotherr"] * 3 + ["slatefie1d manuscript-like"] * 4)
+    scan = "## Page 1\n\nThe anotherr slatefie1d counc1l and manuscript-\nlike library was here."
+    rows = [(1, "text", text), (2, "pdf", scan), (3, "pdf", "")]
+    df = spark.createDataFrame(rows, "parse_id long, doc_format string, markdown string")
+    whole = {(r.parse_id, r.line_no, r.kind, r.fixed) for r in scanfix.scan_noise(df).collect()}
+    assert whole == {(2, 2, "misread", "council"), (2, 2, "hyphen", "manuscript-like")}
+    monkeypatch.setattr(scanfix, "MAX_WORDS", 6)
+    data, rest = scanfix.vocabulary(df)
+    assert {r.word for r in rest.collect()} == {"anotherr", "slatefie1d", "manuscript-like"}
+    assert {(r.parse_id, r.line_no, r.kind, r.fixed) for r in scanfix.scan_noise(df).collect()} == whole
+    assert {r.parse_id: r.text for r in scanfix.repaired_texts(df).collect()} == {2: "The anotherr slatefie1d council and manuscript-like library was here.", 3: ""}
+
+
+def test_page_numbers_of_results_set_in_paragraphs(repairer):
+    pages = "\n".join(f"## Page {k}\n\nThe same council {'restored another library in a report that few people read and ' * 4}it.\n\n{40 + k}\n" for k in (1, 2, 3))
+    assert [(k, f) for _, k, f in repairer.find(pages)] == [("page_number", "")] * 3
+
+
 def test_sample_of_very_many_rows_and_of_copies(spark):
     codes = spark.createDataFrame([("python", "code"), ("sql", "code"), ("en", "prose")], "lang string, kind string")
     many = spark.range(10_000_000).selectExpr("'sql' lang", "concat('select ', id) text")
