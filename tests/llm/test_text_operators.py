@@ -2,6 +2,7 @@
 
 import os
 import random
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -124,13 +125,58 @@ def test_consistent_form():
         assert lookalike.consistent(a) != lookalike.consistent(b)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("aеéo\u0301\u0323\u0308\u200d\ufeffｅﬁ가가👩🏴\U000e0067", max_size=20)))
 def test_consistent_form_is_stable(text):
     once = lookalike.consistent(text)
     assert lookalike.consistent(once) == once
 
 
+def test_every_code_point_with_another_form_is_mapped():
+    """Whatever Unicode calls a compatibility form of other characters looks like them; what has no mark is gone."""
+    for n in range(0x80, 0x110000):
+        c = chr(n)
+        if 0xD800 <= n < 0xE000 or any(c in letters for letters, _ in lookalike.SHAPES):
+            continue  # by its shape: a lunate sigma looks like c, not like the sigma it is
+        form = lookalike.consistent(f"x{c}y")
+        if unicodedata.decomposition(c):
+            plain = unicodedata.normalize("NFKD", c)
+            assert form == lookalike.consistent(f"x{plain}y"), hex(n)
+            assert form == lookalike.consistent(f"x{unicodedata.normalize('NFKC', c)}y"), hex(n)
+        elif unicodedata.category(c) == "Cf" and c not in lookalike.PRINTED or c in lookalike.UNSEEN:
+            assert form == "xy", hex(n)
+        elif unicodedata.category(c) == "Zs":
+            assert form == "x y", hex(n)
+
+
+def test_clusters_and_longest_keys():
+    same = [("ệ", "e\u0323\u0302"), ("ệ", "е\u0302\u0323"), ("Ó", "Ο\u2060\u0301"), ("각", "\u1100\u1161\u11a8"), ("🯱23", "123"), ("ρaν", "pav"), ("ᎪᏴ", "AB"), ("ｶﾞ", "ガ"), ("a\u0301\u200bb", "áb")]
+    for a, b in same:
+        assert lookalike.consistent(a) == lookalike.consistent(b), (a, b)
+    family, three = "👨\u200d👩\u200d👧", "👨👩👧"
+    assert lookalike.consistent(family) != lookalike.consistent(three) and lookalike.consistent("a\u200db") == "ab"
+    assert lookalike.consistent(f"é{family}é") == f"é{family}é"
+
+
+@pytest.mark.parametrize("keys", ["AA", "ABC"])
+def test_conflicting_mappings_are_refused(monkeypatch, keys):
+    # one letter with two shapes; a shape that is a letter with another shape
+    monkeypatch.setattr(lookalike, "SHAPES", (("аа", "ab"),) if keys == "AA" else (("аѕ", "ѕs"),))
+    with pytest.raises(ValueError):
+        lookalike.compiled()
+
+
+def test_hot_forms_and_classes_are_split(spark, monkeypatch):
+    """More classes of a form and more members of a class than one part holds."""
+    monkeypatch.setattr(lookalike, "HOT", 3)
+    variants = ["abcdef", *("abcdef"[:i] + "\u200b" + "abcdef"[i:] for i in range(1, 6)), "аbcdef"]
+    texts = [v for k, v in enumerate(variants) for _ in range(10 if k == 1 else k % 3 + 1)] + ["other"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "parse_id long, markdown string")
+    got = sorted((r.left_id, r.right_id) for r in lookalike.same_looking_pairs(df, "parse_id", "markdown").collect())
+    n = len(texts) - 9
+    assert got == [(i, j) for i in range(n) for j in range(i + 1, n) if texts[i] != texts[j]]
+
+
 def test_same_looking_pairs(spark):
     rows = [(1, "abc"), (2, "аbc"), (3, "abc"), (4, None), (5, ""), (6, " "), (7, " "), (8, "abd"), (9, "a​bc")]
     df = spark.createDataFrame(rows, "parse_id long, markdown string")
