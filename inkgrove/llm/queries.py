@@ -67,12 +67,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_passages(spark, d).select("doc_id", "item_id")
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Also where in the original text the leaked passages stand."""
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Where in the original text the leaked passages stand, one row a passage."""
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id", "first", "last")
 
 
 def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:

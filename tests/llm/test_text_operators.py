@@ -39,25 +39,45 @@ def test_encode_corpus_frame(spark):
 
 
 def brute_leaks(text, item, n=13):
-    w, v = leakage.normalised(text).split(), leakage.normalised(item).split()
-    return any(w[i : i + n] == v[j : j + n] for i in range(len(w) - n + 1) for j in range(len(v) - n + 1))
+    """Numbers of the text's words that stand in runs of n or more words of the item."""
+    w, v = leakage.word_list(text), leakage.word_list(item)
+    return {i + k for i in range(len(w) - n + 1) for j in range(len(v) - n + 1) if w[i : i + n] == v[j : j + n] for k in range(n)}
 
 
-def test_leaks_equal_brute_force():
+@pytest.mark.parametrize("n", [1, 2, 4, 5])
+def test_leaks_equal_brute_force(n):
     random.seed(5)
     word = lambda: random.choice(["a", "B", "c3", "Straße", "é", "数"])
-    items = [(k, " ".join(word() for _ in range(random.randint(5, 40)))) for k in range(20)]
-    finder = leakage.LeakFinder(items, 4)
-    for _ in range(300):
+    items = [(k, " ".join(word() for _ in range(random.randint(1, 40)))) for k in range(20)]
+    finder = leakage.LeakFinder(items, n)
+    for _ in range(200):
         text = random.choice(["_", ", ", "\n// "]).join(word().upper() for _ in range(random.randint(0, 30)))
-        assert set(finder.find(text)) == {k for k, t in items if brute_leaks(text, t, 4)}
+        spans = [m.span() for m in leakage.WORD.finditer(text)]
+        got = {}
+        for k, first, last in finder.find(text):
+            own = {i for i, (a, z) in enumerate(spans) if first <= a and z <= last}
+            assert not own & got.setdefault(k, set())
+            got[k] |= own
+        assert got == {k: x for k, t in items if (x := brute_leaks(text, t, n))}
+
+
+def test_leaks_with_more_words_than_codes(monkeypatch):
+    """Words whose numbers share a code are told apart by the words themselves."""
+    monkeypatch.setattr(leakage, "CODES", ["ab", "ba"] * (1 << 15))
+    item = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"w{i + 2}" for i in range(40))
+    finder = leakage.LeakFinder([(1, item), (2, " ".join(f"v{i}" for i in range(40)))])
+    assert [k for k, _, _ in finder.find(other)] == [1] and finder.find(" ".join(f"w{39 - i}" for i in range(40))) == []
 
 
 def test_leak_offsets_are_those_of_the_original():
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    text = "# Intro\n# ONE two-three four, five SIX seven\n# eight nine ten eleven twelve thirteen and more"
-    (span,) = leakage.LeakFinder([(7, item)]).find(text).values()
-    assert text[span[0] : span[1]].startswith("ONE two") and text[span[0] : span[1]].endswith("thirteen")
+    leak = "ONE two-three four, five SIX seven\n# eight nine ten eleven twelve thirteen"
+    text = f"# Intro\n# {leak} and more {'x ' * 5000} {leak}"
+    found = leakage.LeakFinder([(7, item)]).find(text)
+    # passages far apart stay apart
+    assert [text[a:z] for _, a, z in found] == [leak, leak] and {k for k, _, _ in found} == {7}
+    assert len(leakage.LeakFinder([(7, "a " * 200)]).find("a " * 5000)) == 1
 
 
 def test_leak_frame(spark):
@@ -65,7 +85,18 @@ def test_leak_frame(spark):
     docs = spark.createDataFrame([(1, f"x {item} y"), (2, item[:-3]), (3, None), (4, "")], "doc_id long, text string")
     items = spark.createDataFrame([(5, item, "s"), (6, item, None), (7, "short", "s"), (8, None, "s")], "item_id long, text string, suite string")
     assert sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items).collect()) == [(1, 5), (1, 6)]
-    assert leakage.leaked_items(docs, items.limit(0)).count() == 0
+    assert leakage.leaked_items(docs, items.limit(0)).count() == 0 and leakage.leaked_items(docs.limit(0), items).count() == 0
+
+
+def test_items_in_parts(spark, monkeypatch):
+    """Items over the bound of one automaton are searched in parts, with the same result."""
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(12)], "item_id int, text string")
+    docs = spark.createDataFrame([(f"d{k}", f"a w{k}x4 " + " ".join(f"w{k}x{i}" for i in range(5, 20)) + f" and {k} " + " ".join(f"w{k}x{i}" for i in range(14))) for k in range(12)], "doc_id string, text string")
+    whole = sorted(leakage.leaked_passages(docs, items).drop("nth").collect())
+    assert len(whole) == 24 and len(leakage.leaked_items(docs, items).collect()) == 12
+    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 500)
+    assert sorted(leakage.leaked_passages(docs, items).drop("nth").collect()) == whole
+    assert sorted(tuple(r) for r in leakage.leaked_items(docs, items).collect()) == sorted((f"d{k}", k) for k in range(12))
 
 
 @pytest.fixture(scope="module")
