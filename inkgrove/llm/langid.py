@@ -1,9 +1,11 @@
 """Languages of documents and of the parts of mixed ones, by compression.
 
 Every language has a dictionary of raw text. A text belongs to the language whose dictionary
-compresses it to the fewest bytes; the margin to the next one gives the confidence, and a narrow
-margin leaves a part with its surroundings. The dictionaries are filled from a bounded sample of
-labelled rows, from which wrongly labelled ones are dropped by cross-validation.
+compresses it to the fewest bytes; the margin to the next one gives the confidence. A narrow margin
+decides nothing: a part stays with its surroundings, a document with its own label if that is one
+of those in question, and without such a label its language is undetermined. The dictionaries are
+filled from a bounded sample of labelled rows, from which wrongly labelled ones are dropped by
+cross-validation.
 
 Parts: blocks in fences, script and style tags, here-documents and quotes over several lines are
 candidates for another code language; the lines of prose are put in order of languages by
@@ -35,6 +37,10 @@ SWITCH = 14
 EMBEDDED_MARGIN = 0.1
 #: Margin under which a code text is judged again without its running words.
 NARROW = 0.25
+#: Margin under which nothing is decided.
+REJECT = 0.02
+#: Most languages that there are dictionaries for.
+MAX_LANGUAGES = 1000
 
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
 _TAG = re.compile(r"^\s*<(script|style)\b[^>]*>\s*$", re.I)
@@ -144,8 +150,11 @@ class Languages:
         share = prose_share(text)
         return (self.prose if share >= PROSE else self.code if share < CODE else self.names) or self.names
 
-    def segments(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(first line, line after the last, language, confidence) over all lines of a text."""
+    def segments(self, text: str, label: str | None = None) -> list[tuple[int, int, str | None, float]]:
+        """(first line, line after the last, language, confidence) over all lines of a text.
+
+        label is what the document is said to be; it stands where the margin is narrow.
+        """
         lines = text.split("\n")
         inner = embedded(lines)
         marked = set()
@@ -161,6 +170,8 @@ class Languages:
             other, surer = self.best(_RUNNING.sub(" ", host), self.code)
             if surer > margin:
                 lang, margin = other, surer
+        if margin < REJECT and lang in self.code:
+            lang = self.rejected(host, among, label)
         owner: list[tuple[str, float] | None] = [None] * len(lines)
         for a, b in inner:
             inside = "\n".join(lines[a:b])
@@ -168,7 +179,7 @@ class Languages:
                 continue  # a quoted text, not another code language
             sizes = dict(zip(self.code, self.sizes(inside, self.code)))
             part = min(sizes, key=lambda k: (sizes[k], k))
-            around = sizes[lang] if lang in sizes else self.sizes(inside, [lang])[0]
+            around = sizes[lang] if lang in sizes else self.sizes(inside, [lang])[0] if lang else max(sizes.values())
             gap = (around - sizes[part]) / max(1, sizes[part])
             if part != lang and gap >= EMBEDDED_MARGIN:
                 owner[a:b] = [(part, gap)] * (b - a)
@@ -186,8 +197,18 @@ class Languages:
                 segments.append([i, i + 1, *own])
         if segments:
             segments[0][0] = 0
+        # of prose, the lines decide: a whole text of two languages has a narrow margin, too
+        if len(segments) == 1 and segments[0][2] in self.prose and max(segments[0][3], margin) < REJECT:
+            segments[0][2] = self.rejected(host, among, label)
         return [(a, b, k, confidence(m)) for a, b, k, m in segments]
 
+    def rejected(self, text: str, names: list[str], label: str | None) -> str | None:
+        """The label if it is about as good as the best language, else None."""
+        if label not in self.compress:
+            return None
+        sizes = dict(zip(self.names, self.sizes(text, self.names)))
+        return label if sizes[label] <= min(sizes[k] for k in names) * (1 + REJECT) else None
+
     def paragraphs(self, lines: list[str], owner: list) -> None:
         """Languages of the lines not yet owned, by the cheapest path over their sizes."""
         n = len(lines)
@@ -230,14 +251,17 @@ def confidence(margin: float) -> float:
 # ---- training ----
 
 
-def sample_rows(documents: DataFrame, codes: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """(language, text) of about so many different labelled texts of each language, chosen by a hash of the text.
+def sample_rows(documents: DataFrame, codes: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """lang, text: about so many different labelled texts of each language, chosen by a hash of the text.
 
     One aggregate over the labels gives each language's number of different texts and with it the
     range of 64-bit hashes that are sampled. Copies meet map-side before the first 4 * rows of each
-    language by hash reach the driver, so neither many rows nor many copies of a text displace others.
+    language by hash are taken, so neither many rows nor many copies of a text displace others.
+    Raises if there are more than MAX_LANGUAGES languages.
     """
-    names = [r["lang"] for r in codes.select("lang").distinct().limit(1000).collect()]
+    names = [r["lang"] for r in codes.select("lang").where("lang is not null").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     key = F.xxhash64("text")
     labelled = documents.where(F.col("lang").isin(names) & F.col("text").isNotNull()).select("lang", key.alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
@@ -247,9 +271,26 @@ def sample_rows(documents: DataFrame, codes: DataFrame, rows: int = SAMPLE_ROWS)
         last = F.when(F.col("lang") == name, F.lit(last_hash(rows, n))).otherwise(last)
     chosen = labelled.where(F.col("key") <= last).groupBy("lang", "key").agg(F.first("text").alias("text"))
     chosen = chosen.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("no") <= 4 * rows)
-    out = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
-    out.sort(key=lambda x: xxhash.xxh3_64_intdigest(x[1]))
-    return out
+    return chosen.select("lang", "text")
+
+
+def trained(documents: DataFrame, codes: DataFrame) -> DataFrame:
+    """lang, dictionary: what language_segments() needs of the labelled documents, as a small table.
+
+    The sample is bounded (README gives its size), so one task learns from it; the table can be
+    written once and given to many runs.
+    """
+    ship(documents.sparkSession)
+    prose = {r["lang"] for r in codes.where("kind = 'prose'").select("lang").collect()}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(b["lang"].to_pylist(), b["text"].to_pylist())]
+        rows.sort(key=lambda x: (xxhash.xxh3_64_intdigest(x[1]), x[0]))
+        if rows:
+            names, data = zip(*sorted(train(rows, prose).items()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["lang", "dictionary"])
+
+    return sample_rows(documents, codes).coalesce(1).mapInArrow(learn, "lang string, dictionary binary")
 
 
 def last_hash(rows: int, n: int) -> int:
@@ -319,20 +360,22 @@ def _model(data: bytes) -> Languages:
     return _MODELS[key]
 
 
-def language_segments(documents: DataFrame, codes: DataFrame, only_doubtful: bool = False) -> DataFrame:
+def language_segments(documents: DataFrame, codes: DataFrame, only_doubtful: bool = False, dictionaries: DataFrame | None = None) -> DataFrame:
     """doc_id, seg_no, lang, confidence, first_line, lines: the languages of every document in order.
 
     A document in one language has one row, seg_no 0; neighbouring segments differ. Null and blank
-    texts have no language and give no rows; equal texts give equal rows; labels other than those
-    of codes count as wrong. only_doubtful leaves out documents in one language whose label says
-    so. Without any labelled row there is nothing to learn from and the result is empty. The
-    documents are read in one pass without a shuffle.
+    texts have no language and give no rows; equal texts with equal labels give equal rows; labels
+    other than those of codes count as wrong. Where the margin is narrow the document's own label
+    stands if it is about as good; otherwise lang is null (undetermined). only_doubtful leaves out
+    documents in one language whose label says so. dictionaries are those of trained(), learnt from
+    these documents if none are given; without any labelled row there is nothing to learn from and
+    the result is empty. The documents are read in one pass without a shuffle.
     """
     spark = documents.sparkSession
     ship(spark)
-    prose = {r["lang"] for r in codes.where("kind = 'prose'").limit(1000).collect()}
-    dictionaries = train(sample_rows(documents, codes), prose)
-    shared = spark.sparkContext.broadcast(pickle.dumps((dictionaries, prose)))
+    prose = {r["lang"] for r in codes.where("kind = 'prose'").select("lang").collect()}
+    learnt = dictionaries if dictionaries is not None else trained(documents, codes)
+    shared = spark.sparkContext.broadcast(pickle.dumps(({r["lang"]: bytes(r["dictionary"]) for r in learnt.collect()}, prose)))
     source = spread(documents.select("doc_id", "lang", "text").where("text is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +387,8 @@ def language_segments(documents: DataFrame, codes: DataFrame, only_doubtful: boo
                 if not model.names or not text.strip():
                     continue
                 found = segments(text)
+                if any(x[2] is None for x in found):
+                    found = segments(text, label)
                 if only_doubtful and len(found) == 1 and found[0][2] == label:
                     continue
                 for no, (first, end, lang, sure) in enumerate(found):

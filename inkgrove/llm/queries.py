@@ -83,7 +83,7 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = langid.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"), only_doubtful=True)
-    return found.select("doc_id", "seg_no", "lang")
+    return found.where("lang is not null").select("doc_id", "seg_no", "lang")
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:

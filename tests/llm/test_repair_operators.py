@@ -222,6 +222,26 @@ def test_language_frame(spark):
     assert langid.language_segments(df, codes.limit(0)).count() == 0
 
 
+def test_narrow_margins_decide_nothing(languages, spark, monkeypatch):
+    for text in ("ok", "12 34 56 78", "#", "zxqv wklp"):
+        (found,) = languages.segments(text)
+        assert found[2] is None and found[3] < 0.5
+        # a label that fits as well as any stands, one that isn't known doesn't
+        (found,) = languages.segments(text, "sql")
+        assert found[2] in ("sql", None)
+        assert languages.segments(text, "xx")[0][2] is None
+    rows = [(i, k, code(k, i)) for k in ("python", "sql", "en") for i in range(30)] + [(99, None, "#"), (98, "python", "7")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    codes = spark.createDataFrame([("python", "code"), ("sql", "code"), ("en", "prose")], "lang string, kind string")
+    table = langid.trained(df, codes)
+    assert {r["lang"] for r in table.collect()} == {"python", "sql", "en"}
+    got = {r.doc_id: r.lang for r in langid.language_segments(df, codes, dictionaries=table).collect()}
+    assert got[99] is None and got[98] in ("python", None) and got[3] == "en"
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.trained(df, codes)
+
+
 def test_sections_of_running_text_beside_the_article_are_outside():
     article = ["# The old bridge"] + ["The committee measured the old bridge, the harbour and the canal, and nobody had asked for it, although some years later, it was repaired."] * 6
     own = ["## The canal", "A short last note on the canal, which was measured, too, in the year after."]
@@ -344,7 +364,7 @@ def test_sample_of_very_many_rows_and_of_copies(spark):
     many = spark.range(10_000_000).selectExpr("'sql' lang", "concat('select ', id) text")
     copies = spark.range(20_000).selectExpr("'python' lang", "'x = 1' text")
     few = spark.createDataFrame([("en", f"Text {i}.") for i in range(5)], "lang string, text string")
-    got = langid.sample_rows(many.union(copies).union(few), codes, 4)
+    got = [(r["lang"], r["text"]) for r in langid.sample_rows(many.union(copies).union(few), codes, 4).collect()]
     by = {k: [t for x, t in got if x == k] for k in ("python", "sql", "en")}
     assert by["python"] == ["x = 1"] and len(by["en"]) == 5
     assert 1 <= len(by["sql"]) <= 16 and len(set(by["sql"])) == len(by["sql"])
