@@ -62,18 +62,28 @@ def items_of(results: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFra
 
     An item is the byte range of a distinct, valid span, or the whole text of a result without any
     row in spans (span_no -1). Only results larger than their limit leave the scan, as no part of
-    a smaller one can be larger, and only they are shuffled.
+    a smaller one can be larger, and only they are shuffled. A result meets its spans as one array
+    and is encoded once, whatever their number. An overlap over half of the limit counts as half.
     """
     text = results.select("parse_id", "doc_format", "markdown").where("markdown is not null")
     limits = checked_broadcast(limits.select("doc_format", "max_bytes", "overlap_bytes").where("max_bytes is not null").dropDuplicates(["doc_format"]), MAX_LIMIT_ROWS)
-    large = text.join(limits, "doc_format").withColumn("n", F.octet_length("markdown")).where("n > max_bytes")
-    spans = spans.select("parse_id", F.coalesce("span_no", F.lit(-2)).alias("span_no"), "out_start", "out_end").distinct()
-    both = large.join(spans, "parse_id", "left")
-    both = both.where("span_no is null or (0 <= out_start and out_start < out_end and out_end <= n and out_end - out_start > max_bytes)")
-    return both.select(
+    large = text.join(limits, "doc_format").where(F.octet_length("markdown") > F.col("max_bytes"))
+    span = F.struct(F.coalesce("span_no", F.lit(-2)).alias("span_no"), "out_start", "out_end")
+    both = large.join(spans.groupBy("parse_id").agg(F.collect_set(span).alias("spans")), "parse_id", "left")
+
+    def ranges(data: Column) -> Column:
+        """span_no and bytes of the valid spans that are large enough, or of the whole."""
+        size = lambda s: s["out_end"] - s["out_start"]
+        valid = F.filter("spans", lambda s: (0 <= s["out_start"]) & (s["out_end"] <= F.length(data)) & (size(s) > F.col("max_bytes")))
+        part = F.transform(valid, lambda s: F.struct(s["span_no"].alias("span_no"), F.substring(data, s["out_start"].cast("int") + 1, size(s).cast("int")).alias("item")))
+        return F.when(F.col("spans").isNull(), F.array(F.struct(F.lit(-1).alias("span_no"), data.alias("item")))).otherwise(part)
+
+    # the array of one element gives the bytes a name inside the expression, so they are made once
+    items = F.transform(F.array(as_bytes(F.col("markdown"))), ranges)[0]
+    return both.select("parse_id", F.explode(items).alias("i"), "max_bytes", "overlap_bytes").select(
         "parse_id",
-        F.coalesce("span_no", F.lit(-1)).alias("span_no"),
-        F.when(F.col("span_no").isNull(), as_bytes(F.col("markdown"))).otherwise(F.substring(as_bytes(F.col("markdown")), F.col("out_start").cast("int") + 1, (F.col("out_end") - F.col("out_start")).cast("int"))).alias("item"),
+        "i.span_no",
+        "i.item",
         "max_bytes",
         F.greatest(F.lit(0), F.least(F.coalesce("overlap_bytes", F.lit(0)), F.floor(F.col("max_bytes") / 2).cast("int"))).alias("overlap_bytes"),
     )
@@ -96,7 +106,7 @@ def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) ->
     """parse_id, span_no, piece_no, start, size, shared, hard, piece: the pieces of each oversized item.
 
     Pieces have at most max_bytes bytes; piece k > 0 begins with `shared` bytes of what stands in
-    front of it: about overlap_bytes, less if its own core leaves no room or the nearest natural
+    front of it: about overlap_bytes (at most half of max_bytes), less if its own core leaves no room or the nearest natural
     boundary is nearer. Pieces without their shared bytes make up the item again. No piece ends or
     begins inside a character, unless the span itself does. Null texts, formats without a limit
     and invalid spans have no items; repeated spans count once; an empty table gives no rows.
