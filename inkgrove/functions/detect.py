@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,9 +88,10 @@ def format_column(content: Column, source: Column, content_type: Column | None =
     web = F.coalesce(source, F.lit("")).rlike(r"\Ahttps?://")
     kind = F.coalesce(content_type, F.lit(""))
 
-    @F.udf(T.StringType())
-    def archive(data):
-        return None if data is None else first_kind(bytes(data))  # also called for rows that need no look
+    @F.arrow_udf(T.StringType())
+    def archive(data: pa.Array) -> pa.Array:
+        # also called for rows that need no look
+        return pa.array((None if x is None else first_kind(x) for x in data.to_pylist()), pa.string())
 
     by_name = F.when(F.try_element_at(table, ext).isNotNull(), F.try_element_at(table, ext)).when(web, F.lit("url"))
     head = F.substring(content, 1, SNIFF_BYTES)

@@ -71,12 +71,16 @@ def gfm_size(rows: list[list[str]]) -> int:
     return inside + len(rows) * (3 * width + 2) + 6 * width + 2
 
 
+def cut_notice(most: int) -> str:
+    return f"\n\n> [!WARNING]\n> Output was cut at {most} bytes and is incomplete. Narrow the input or raise the limit.\n"
+
+
 def capped(text: str, most: int = MAX_OUTPUT_BYTES) -> tuple[str, bool]:
     """Text within a limit of bytes: cut after the last line that leaves room for a notice of the cut."""
     data = text.encode()
     if len(data) <= most:
         return text, False
-    notice = f"\n\n> [!WARNING]\n> Output was cut at {most} bytes and is incomplete. Narrow the input or raise the limit.\n"
+    notice = cut_notice(most)
     head = data[: max(0, most - len(notice.encode()))].decode("utf-8", "ignore")
     at = head.rfind("\n")
     return (head if at < 0 else head[: at + 1]).rstrip(WHITE) + notice, True

@@ -1,8 +1,7 @@
-"""Decoding, white space and addresses."""
+"""White space and addresses."""
 
 from __future__ import annotations
 
-import codecs
 import re
 
 #: Unicode's White_Space, which differs from what str.isspace accepts. Fixed values.
@@ -24,23 +23,6 @@ def trimmed(text: str) -> str:
     return text.strip(WHITE)
 
 
-def decoded(data: bytes) -> str:
-    """Text of bytes: by its mark if it has one, else the first of a fixed list of charsets that fits.
-
-    The order is UTF-8, GB18030, Big5 and Windows-1252, whose undefined bytes become U+FFFD; so the
-    same bytes give the same text everywhere.
-    """
-    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
-        if data.startswith(mark):
-            return data[len(mark) :].decode(name, "replace")
-    for name in ("utf-8", "gb18030", "big5"):
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            pass
-    return data.decode("cp1252", "replace")
-
-
 def is_url(source: str) -> bool:
     return source.startswith(("http://", "https://"))
 

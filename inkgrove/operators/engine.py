@@ -93,12 +93,24 @@ def provenance(parsed: DataFrame) -> DataFrame:
 
 def pages(parsed: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """doc_id, page, text of documents with page provenance: the bytes of each span."""
-    data = F.encode("markdown", "UTF-8")
-    rows = parsed.where("provenance is not null").select("doc_id", "markdown", F.explode("provenance").alias("p"))
+    spans = F.col("provenance")
     if first is not None or last is not None:
-        rows = rows.where(F.col("p.page_number").between(first or 1, last or 2**31 - 1))
-    text = F.substring(data, F.col("p.out_start").cast("int") + 1, (F.col("p.out_end") - F.col("p.out_start")).cast("int"))
-    return rows.select("doc_id", F.col("p.page_number").alias("page"), F.decode(text, "UTF-8").alias("text"))
+        spans = F.filter(spans, lambda p: p["page_number"].between(first or 1, last or 2**31 - 1))
+    return parsed.where("provenance is not null").select("doc_id", F.explode(span_bytes(F.col("markdown"), spans)).alias("p")).select("doc_id", F.col("p.span.page_number").alias("page"), F.decode("p.data", "UTF-8").alias("text"))
+
+
+def span_bytes(text: Column, spans: Column) -> Column:
+    """Array of (span, data) of a text's byte spans.
+
+    The array of one element gives the bytes a name inside the expression, so that a text is
+    encoded once, whatever the number of its spans.
+    """
+
+    def parts(data: Column) -> Column:
+        part = lambda p: F.substring(data, p["out_start"].cast("int") + 1, (p["out_end"] - p["out_start"]).cast("int"))
+        return F.transform(spans, lambda p: F.struct(p.alias("span"), part(p).alias("data")))
+
+    return F.transform(F.array(F.encode(text, "UTF-8")), parts)[0]
 
 
 def media(parsed: DataFrame) -> DataFrame:
@@ -132,13 +144,17 @@ def default_mode(parsed: DataFrame) -> DataFrame:
 def extract_media(content: Column, uri: Column, max_parse_bytes: int = ParseOptions.max_parse_bytes) -> Column:
     """Bytes behind a media link, null if the link or the file doesn't allow it."""
 
-    @F.udf(T.BinaryType())
-    def get(data, link):
+    def one(data: bytes | None, link: str | None) -> bytes | None:
         try:
-            return dispatch.media(bytes(data), link, "", ParseOptions(max_parse_bytes=max_parse_bytes))
+            return dispatch.media(data, link, "", ParseOptions(max_parse_bytes=max_parse_bytes))
         except Exception:
             return None
 
+    @F.arrow_udf(T.BinaryType())
+    def get(data: pa.Array, links: pa.Array) -> pa.Array:
+        # a file at a time, as containers may be large
+        return pa.array((one(d.as_py(), k.as_py()) for d, k in zip(data, links)), pa.binary())
+
     return get(content, uri)
 
 

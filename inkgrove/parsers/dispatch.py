@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from inkgrove.functions.detect import detect, is_table
-from inkgrove.functions.text import decoded
+from inkgrove.functions.charset import decoded
 from inkgrove.options import ParseOptions
 from inkgrove.parsers import docx, html, pdf, slides, tables
 from inkgrove.parsers.container import Container, safe_path

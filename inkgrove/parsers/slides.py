@@ -8,7 +8,8 @@ import re
 from urllib.parse import unquote
 
 from inkgrove.functions.markdown import Page
-from inkgrove.functions.text import decoded, trimmed
+from inkgrove.functions.charset import decoded
+from inkgrove.functions.text import trimmed
 from inkgrove.parsers import html
 from inkgrove.parsers.container import END, START, TEXT, Container, events, relations, safe_path
 from inkgrove.parsers.result import Extracted

@@ -11,7 +11,8 @@ import numpy as np
 
 from inkgrove.functions.markdown import Page, gfm_size
 from inkgrove.functions.structural import split_fields
-from inkgrove.functions.text import decoded, trimmed
+from inkgrove.functions.charset import decoded
+from inkgrove.functions.text import trimmed
 from inkgrove.options import ParseOptions
 from inkgrove.parsers.container import END, START, TEXT, Container, events, relations
 from inkgrove.schema import HEADER_ROWS, LONG_CELL, MARKDOWN_RECORDS, PREVIEW_ROWS, SNIFF_LINES, ParseError

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkgrove.functions import markdown as md
+from inkgrove.functions.charset import decoded_text
 from inkgrove.operators import corpus, engine, evidence
 from inkgrove.session import checked_broadcast, ship, spread
 from inkgrove.sources.tables import table
@@ -82,17 +82,40 @@ def result_sizes(spark, d):
 
 def page_texts(spark, d):
     """Pages of results by the byte ranges of their spans, repeated and invalid spans aside."""
-    spans = table(spark, d, "provenance_spans").select("parse_id", "span_no", "out_start", "out_end", "page_number").distinct()
-    rows = table(spark, d, "parse_results").where("doc_format = 'pdf' and markdown is not null").select("parse_id", "markdown")
-    both = rows.join(spans, "parse_id").where("0 <= out_start and out_start < out_end and out_end <= octet_length(markdown)")
-    text = F.substring(F.encode("markdown", "UTF-8"), F.col("out_start").cast("int") + 1, (F.col("out_end") - F.col("out_start")).cast("int"))
-    return both.select("parse_id", "span_no", "page_number", F.md5(text).alias("text_md5"))
+    return _page_blocks(spark, d).select("parse_id", "span_no", "page_number", F.md5("data").alias("text_md5"))
+
+
+def _page_blocks(spark, d):
+    """parse_id, span_no, page_number, data: the bytes of every valid span, each result encoded once."""
+    span = F.struct("span_no", "out_start", "out_end", "page_number")
+    spans = table(spark, d, "provenance_spans").groupBy("parse_id").agg(F.collect_set(span).alias("spans"))
+    rows = table(spark, d, "parse_results").where("doc_format = 'pdf' and markdown is not null").select("parse_id", "markdown").join(spans, "parse_id")
+    valid = F.filter("spans", lambda s: (0 <= s["out_start"]) & (s["out_start"] < s["out_end"]) & (s["out_end"] <= F.octet_length("markdown")))
+    return rows.select("parse_id", F.explode(engine.span_bytes(F.col("markdown"), valid)).alias("p")).select("parse_id", "p.span.span_no", "p.span.page_number", "p.data")
+
+
+#: Texts whose only characters outside of ASCII are those of one charset's languages.
+CHARSETS = {"gb18030": "一-鿿，。：；、（）", "windows-1251": "А-Яа-яЁё", "windows-1252": "éèàüöäßñóíáçêãõúôâîÄÖÜÉ"}
+
+
+def decode_charsets(spark, d):
+    """Texts of documents and results in the charset of their language, decoded without being told which."""
+    ship(spark)
+    texts = table(spark, d, "documents").select("doc_id", F.lit("documents").alias("origin"), "text").unionByName(table(spark, d, "parse_results").select(F.col("parse_id").alias("doc_id"), F.lit("parse_results").alias("origin"), F.col("markdown").alias("text")))
+    charset = F.coalesce(*[F.when(F.regexp_count("text", F.lit(f"[{own}]")) >= 10, F.when(~F.col("text").rlike(rf"[^\x00-\x7f{own}]"), F.lit(name))) for name, own in CHARSETS.items()])
+
+    @F.arrow_udf("binary")
+    def encoded(data: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([t.encode(n) for t, n in zip(data.to_pylist(), names.to_pylist())], pa.binary())
+
+    rows = spread(texts.withColumn("charset", charset).where("charset is not null"))
+    return rows.select("origin", "doc_id", "charset", F.md5(decoded_text(encoded("text", "charset"))).alias("text_md5"))
 
 
 def page_spans(spark, d):
-    """Byte ranges rebuilt from the page blocks of the delivered spans."""
-    spans = table(spark, d, "provenance_spans").select("parse_id", "span_no", (F.col("out_end") - F.col("out_start")).alias("size")).distinct().where("size > 0").groupBy("parse_id", "span_no").agg(F.max("size").alias("size"))
-    return corpus.page_spans(spans.withColumn("block", F.repeat(F.lit("x"), F.col("size").cast("int"))), "parse_id", "span_no", "block")
+    """Byte ranges rebuilt from the texts of the pages (the longest one, where a page has several)."""
+    blocks = _page_blocks(spark, d).groupBy("parse_id", "span_no").agg(F.max_by(F.col("data"), F.octet_length("data")).alias("data"))
+    return corpus.page_spans(blocks.select("parse_id", "span_no", F.decode("data", "UTF-8").alias("block")), "parse_id", "span_no", "block")
 
 
 def page_of_offset(spark, d):
@@ -121,16 +144,19 @@ def media_links(spark, d):
     return df.select("id", "uri", engine.valid_media_link(F.col("uri")).alias("valid"))
 
 
+CAP = 1500
+
+
 def markdown_cap(spark, d):
     """Documents cut at a byte limit after a whole line, with a notice: no row is over the limit."""
     ship(spark)
 
-    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([md.capped(t, 1500) for t in texts], columns=["text", "cut"])
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([md.capped(t, CAP)[0] for t in texts.to_pylist()], pa.string())
 
     rows = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).withColumn("c", cut("text"))
-    return rows.select("doc_id", F.col("c.cut").alias("cut"), (F.octet_length("c.text") <= 1500).alias("fits"))
+    return rows.select("doc_id", F.md5("c").alias("text_md5"), (F.octet_length("c") <= CAP).alias("fits"))
 
 
 def budget_fold(spark, d):
@@ -156,6 +182,28 @@ def locate_tiers(spark, d):
     return found.select("id", F.col("l.tier").alias("tier"), F.col("l.page").alias("page"), F.col("l.hit").alias("hit"))
 
 
+def _order_reports(spark, d):
+    """One report a customer: a table of the customer's orders with their totals."""
+    row = F.concat(F.lit("| Order "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" |"))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("rows"))
+    return rows.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("## Page 1\n\n| Order | Total |\n| --- | --- |\n"), F.array_join(F.col("rows.row"), "\n"), F.lit("\n")).alias("text"))
+
+
+def _order_quotes(spark, d):
+    """Totals of every hundredth order, as written and in units of ten thousand."""
+    own = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    number = own.select((2 * F.col("o_orderkey")).alias("quote_id"), F.concat(F.lit("Total of Order: "), price.cast("string")).alias("quote"))
+    amount = own.select((2 * F.col("o_orderkey") + 1).alias("quote_id"), F.concat(F.lit("Order of "), F.round(price / 10000, 1).cast("decimal(18,1)").cast("string"), F.lit("万")).alias("quote"))
+    return number.unionByName(amount)
+
+
+def locate_orders(spark, d):
+    """Recombined and rounded figures, wherever they stand in the reports over all orders."""
+    found = evidence.evidence_hits(_order_reports(spark, d), _order_quotes(spark, d))
+    return found.select("doc_id", "quote_id", "tier", "hit", "page")
+
+
 def _claims(spark, d):
     hits = locate_quotes(spark, d).select(F.col("quote_id").alias("item_id")).distinct().withColumn("located", F.lit(True))
     verdict = F.element_at(F.array(F.lit("supported"), F.lit("partial"), F.lit("unsupported")), (F.col("item_id") % 3 + 1).cast("int"))
@@ -200,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_paragraphs, keyword_search, search_snippets, search_summary, corpus_metrics, corpus_manifest, ready_by_format, concat_corpus, gfm_cells, squeezed_text, suspicious_results, result_sizes,
-        page_texts, page_spans, page_of_offset, warnings_by_code, entry_heads, media_links, markdown_cap, budget_fold, locate_quotes, locate_tiers, verdict_gate, answer_trace, trace_evidence, chunk_tables,
+        page_texts, decode_charsets, page_spans, page_of_offset, warnings_by_code, entry_heads, media_links, markdown_cap, budget_fold, locate_quotes, locate_tiers, locate_orders, verdict_gate, answer_trace, trace_evidence, chunk_tables,
     )
 }
 
@@ -241,12 +289,15 @@ SELECT suite, md5(corpus) AS corpus_md5, strlen(corpus)::BIGINT AS bytes FROM c"
     "result_sizes": """
 SELECT parse_id, strlen(markdown)::BIGINT AS bytes, CASE WHEN strlen(markdown) < 1024 THEN strlen(markdown) || ' B' WHEN strlen(markdown) < 1048576 THEN (strlen(markdown) * 10 + 512) // 1024 // 10 || '.' || (strlen(markdown) * 10 + 512) // 1024 % 10 || ' KiB' ELSE (strlen(markdown) * 10 + 524288) // 1048576 // 10 || '.' || (strlen(markdown) * 10 + 524288) // 1048576 % 10 || ' MiB' END AS size,
   len(regexp_extract_all(markdown, '## Page '))::BIGINT AS pages, coalesce(output_bytes <> strlen(markdown), true) AS stale FROM parse_results WHERE markdown IS NOT NULL""",
+    "decode_charsets": "WITH t AS (SELECT doc_id, 'documents' AS origin, text FROM documents UNION ALL SELECT parse_id, 'parse_results', markdown FROM parse_results), c AS (SELECT *, coalesce("
+    + ", ".join(rf"CASE WHEN len(regexp_extract_all(text, '[{own}]')) >= 10 AND NOT regexp_matches(text, '[^\x00-\x7f{own}]') THEN '{name}' END" for name, own in CHARSETS.items())
+    + ") AS charset FROM t) SELECT origin, doc_id, charset, md5(text) AS text_md5 FROM c WHERE charset IS NOT NULL",
     "page_texts": """
 WITH s AS (SELECT DISTINCT parse_id, span_no, out_start, out_end, page_number FROM provenance_spans)
 SELECT parse_id, span_no, page_number, md5(decode(unhex(substr(hex(encode(markdown)), CAST(2 * out_start + 1 AS BIGINT), CAST(2 * (out_end - out_start) AS BIGINT))))) AS text_md5
 FROM parse_results JOIN s USING (parse_id) WHERE doc_format = 'pdf' AND 0 <= out_start AND out_start < out_end AND out_end <= strlen(markdown)""",
     "page_spans": """
-WITH s AS (SELECT parse_id, span_no, max(out_end - out_start) AS size FROM provenance_spans WHERE out_end - out_start > 0 GROUP BY 1, 2
+WITH s AS (SELECT parse_id, span_no, max(out_end - out_start) AS size FROM provenance_spans JOIN parse_results USING (parse_id) WHERE doc_format = 'pdf' AND 0 <= out_start AND out_start < out_end AND out_end <= strlen(markdown) GROUP BY 1, 2
 ), b AS (SELECT *, coalesce(sum(size + 2) OVER (PARTITION BY parse_id ORDER BY span_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
 SELECT parse_id, span_no, pos AS out_start, (pos + size)::BIGINT AS out_end FROM b""",
     "page_of_offset": """
@@ -260,7 +311,9 @@ SELECT entry_id, coalesce(head, '') AS head, cardinality(headers)::INTEGER AS n,
     "media_links": """
 SELECT * FROM (VALUES (1, 'grove://docx/part/word/media/a.png', true), (2, 'grove://pdf/obj/7/0', true), (2, 'grove://pdf/page/3', true), (4, 'grove://docx/part/ppt/media/a.png', false), (5, 'grove://pdf/obj/07/0', false), (5, 'grove://pdf/page/0', false),
   (5, 'grove://pptx/part/ppt/media/../a', false)) AS t(id, uri, valid)""",
-    "markdown_cap": "SELECT doc_id, strlen(text) > 1500 AS cut, true AS fits FROM documents WHERE text IS NOT NULL",
+    "markdown_cap": f"""
+WITH h AS (SELECT doc_id, text, coalesce({", ".join(f"try(decode(unhex(substr(hex(encode(text)), 1, {2 * (CAP - len(md.cut_notice(CAP).encode()) - j)}))))" for j in range(4))}) AS head FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(CASE WHEN strlen(text) <= {CAP} THEN text ELSE regexp_replace(CASE WHEN contains(head, chr(10)) THEN regexp_extract(head, '^.*\\n', 0, 's') ELSE head END, '{_WHITE}+$', '') || '{md.cut_notice(CAP)}' END) AS text_md5, true AS fits FROM h""",
     "budget_fold": """
 WITH RECURSIVE x AS (SELECT coalesce(suite, 'none') AS suite, item_id, strlen(text)::BIGINT AS size, row_number() OVER (PARTITION BY coalesce(suite, 'none') ORDER BY item_id) AS r FROM eval_items
 ), f AS (
@@ -269,6 +322,18 @@ WITH RECURSIVE x AS (SELECT coalesce(suite, 'none') AS suite, item_id, strlen(te
   SELECT x.suite, x.item_id, x.size, x.r, f.used + x.size <= 3000, CASE WHEN f.used + x.size <= 3000 THEN f.used + x.size ELSE f.used END FROM f JOIN x ON x.suite = f.suite AND x.r = f.r + 1)
 SELECT suite, item_id, size, accepted FROM f""",
     "locate_quotes": _HITS + "SELECT * FROM h",
+    "locate_orders": """
+WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders),
+n AS (SELECT 2 * k AS quote_id, p AS quote FROM o WHERE k % 100 = 0),
+a AS (SELECT 2 * k + 1 AS quote_id, CAST(CAST(round(CAST(p AS DECIMAL(18,2)) / 10000, 1) AS DECIMAL(18,1)) AS VARCHAR) AS quote FROM o WHERE k % 100 = 0),
+both_ AS (SELECT *, NULL AS target FROM n UNION ALL SELECT quote_id, quote, CASE WHEN length(ltrim(replace(quote, '.', ''), '0')) >= 3 AND CAST(quote AS DOUBLE) * 10000 >= 1000 THEN CAST(quote AS DOUBLE) * 10000 END FROM a),
+-- third tier: the number as part of a row's text without blanks; fourth: a key or total near the amount
+h AS (
+  SELECT doc_id, quote_id, 'number' AS tier, min(k) AS k FROM o JOIN both_ ON contains('|Order' || k || '|' || p || '|', quote) GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, quote_id, 'amount' AS tier, min(k) AS k FROM o JOIN both_ ON (length(CAST(k AS VARCHAR)) >= 3 AND k BETWEEN target - 0.002 * target AND target + 0.002 * target) OR (length(ltrim(replace(p, '.', ''), '0')) >= 3 AND CAST(p AS DOUBLE) BETWEEN target - 0.002 * target AND target + 0.002 * target) GROUP BY ALL
+), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, quote_id ORDER BY tier DESC) AS r FROM h)
+SELECT b.doc_id, quote_id, tier, '| Order ' || b.k || ' | ' || p || ' |' AS hit, 1 AS page FROM b JOIN o ON o.doc_id = b.doc_id AND o.k = b.k WHERE r = 1""",
     "locate_tiers": """
 SELECT * FROM (VALUES (1, 'exact', 1, 'Revenue grew strongly'), (2, 'whitespace', 1, 'Revenue grew strongly'), (3, 'number', 2, '| Revenue | 1,234.50 | 1,335.00 |'), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'number', 2, '| Margin | 12.5% | 13.1% |'),
   (7, NULL, NULL, NULL), (8, NULL, NULL, NULL), (9, 'amount', 3, '13.35'), (10, NULL, NULL, NULL)) AS t(id, tier, page, hit)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,14 +249,19 @@ def csv_delimiters(spark, d):
 
 
 def links_absolute(spark, d):
-    """Links of web results made absolute by their page's address."""
+    """Links of web results, of every kind, made absolute by their page's address.
+
+    Each of a result's own links is also taken below the folder, as a query and as a place in it.
+    """
     ship(spark)
     rows = table(spark, d, "parse_results").where("doc_format in ('html', 'url') and markdown is not null and source like 'http%'")
-    links = rows.select("parse_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\]\((/[^)\s]*)\)"), F.lit(1)))).alias("link"))
+    own = rows.select("parse_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\]\(([^)\s]*)\)"), F.lit(1)))).alias("own"))
+    name = F.regexp_replace("own", r"\A[/#?]+", "")
+    links = own.select("parse_id", "source", F.explode(F.array_distinct(F.array("own", name, F.concat(F.lit("../"), name), F.concat(F.lit("./"), name), F.concat(F.lit("?q="), name), F.concat(F.lit("#"), name), F.concat(F.lit("//cdn.example/"), name)))).alias("link")).distinct()
 
-    @F.pandas_udf(T.StringType())
-    def full(base: pd.Series, link: pd.Series) -> pd.Series:
-        return pd.Series([absolute(b, x) for b, x in zip(base, link)])
+    @F.arrow_udf(T.StringType())
+    def full(base: pa.Array, link: pa.Array) -> pa.Array:
+        return pa.array([absolute(b, x) for b, x in zip(base.to_pylist(), link.to_pylist())], pa.string())
 
     return spread(links).select("parse_id", "link", full("source", "link").alias("address"))
 
@@ -330,8 +336,14 @@ SELECT * FROM (VALUES (1, 'invalid_container'), (2, 'invalid_container'), (3, 'l
 }
 SQL["csv_delimiters"] = "SELECT id, CASE id WHEN 1 THEN ',' WHEN 2 THEN chr(9) WHEN 3 THEN ';' ELSE '|' END AS delimiter, 'A1:B' || (SELECT count(*) + 1 FROM nation) AS cell_range FROM (VALUES (1), (2), (3), (4)) AS t(id)"
 SQL["links_absolute"] = r"""
-WITH l AS (SELECT parse_id, source, unnest(list_distinct(regexp_extract_all(markdown, '\]\((/[^)\s]*)\)', 1))) AS link FROM parse_results WHERE doc_format IN ('html', 'url') AND source LIKE 'http%')
-SELECT parse_id, link, regexp_extract(source, '^https?://[^/]*') || link AS address FROM l"""
+WITH o AS (SELECT parse_id, source, unnest(list_distinct(regexp_extract_all(markdown, '\]\(([^)\s]*)\)', 1))) AS own FROM parse_results WHERE doc_format IN ('html', 'url') AND source LIKE 'http%'
+), n AS (SELECT *, regexp_replace(own, '^[/#?]+', '') AS name FROM o
+), l AS (SELECT DISTINCT parse_id, source, unnest([own, name, '../' || name, './' || name, '?q=' || name, '#' || name, '//cdn.example/' || name]) AS link FROM n
+), p AS (SELECT *, regexp_extract(source, '^https?://[^/?#]*') AS root, regexp_extract(source, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(path, '/[^/]*$', '') AS dir FROM l)
+SELECT parse_id, link, CASE WHEN link = '' OR link[1] = '#' OR starts_with(link, '//') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
+  WHEN link[1] = '/' THEN root || link WHEN link[1] = '?' THEN root || CASE WHEN path = '' THEN '/' ELSE path END || link
+  WHEN starts_with(link, '../') THEN root || regexp_replace(dir, '/[^/]*$', '') || link[3:] WHEN starts_with(link, './') THEN root || dir || link[2:]
+  ELSE root || dir || '/' || link END AS address FROM p"""
 _KINDS = """CASE lower(regexp_extract(regexp_extract(regexp_extract(file_path, '^[^?#]*'), '[^/]*$'), '\\.([^.]*)$', 1))
   WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'xlsx' THEN 'xlsx' WHEN 'xlsm' THEN 'xlsx'
   WHEN 'pptx' THEN 'pptx' WHEN 'csv' THEN 'csv' WHEN 'tsv' THEN 'csv' WHEN 'ipynb' THEN 'ipynb' WHEN 'epub' THEN 'epub'

@@ -23,8 +23,13 @@ def inside(path: str, root: str) -> str:
     return full
 
 
-def read_files(spark: SparkSession, *paths: str, glob: str | None = None, recursive: bool = False, max_parse_bytes: int = MAX_PARSE_BYTES) -> DataFrame:
-    """source, content, input_bytes of files; of a file over the limit the content is null and was never read."""
+def read_files(spark: SparkSession, *paths: str, glob: str | None = None, recursive: bool = False, max_parse_bytes: int = MAX_PARSE_BYTES, root: str | None = None) -> DataFrame:
+    """source, content, input_bytes of files; of a file over the limit the content is null and was never read.
+
+    With a root folder, paths are taken below it and one that leaves it is an error.
+    """
+    if root is not None:
+        paths = tuple(inside(p, root) for p in paths)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)

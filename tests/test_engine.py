@@ -7,13 +7,15 @@ import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkgrove import sinks, sql
 from inkgrove.functions import markdown as md
 from inkgrove.functions.detect import detect, extension, image_type
-from inkgrove.functions.text import absolute, decoded, squeezed
+from inkgrove.functions.charset import decoded, decoded_text
+from inkgrove.functions.text import absolute, squeezed
 from inkgrove.operators import corpus, engine, evidence
 from inkgrove.options import ParseOptions, number_range
 from inkgrove.parsers import dispatch, html, pdf, tables
@@ -289,6 +291,56 @@ def test_locate():
     assert evidence.locate(text, "Costs 1,335.00") is None and evidence.locate(text, "") is None and evidence.locate(None, "x") is None
 
 
+CHARSET_TEXTS = {
+    "cp1252": ["Übergröße für Mädchen", "naïve café", "El niño comió piñas en España.", "Ça va très bien, merci à tous.", "São Paulo é uma cidade muito grande, não é?", "Straße", "It’s a “quoted” word – here…", "Fünf Äpfel ÜBER der BRÜCKE", "Å ikke forstå, ærlig talt, på øya"],
+    "cp1251": ["Привет, мир", "Московский государственный университет", "ПРИВЕТ", "Съешь ещё этих мягких французских булок"],
+    "gb18030": ["你好，世界", "这是一个简单的句子。", "营业总收入（百万元）,1335\n"],
+    "big5": ["你好，世界", "這是一個簡單的句子。", "國立臺灣大學圖書館", "今天天氣很好，我們去公園散步。"],
+    "shift_jis": ["こんにちは世界", "これは簡単な文章です。", "東京都千代田区", "カタカナとひらがな"],
+    "euc_jp": ["こんにちは世界", "これは簡単な文章です。", "今日は天気がいいですね"],
+    "euc_kr": ["안녕하세요 세계", "이것은 간단한 문장입니다.", "오늘은 날씨가 좋네요"],
+    "cp1250": ["Zażółć gęślą jaźń", "Příliš žluťoučký kůň úpěl ďábelské ódy"],
+    "cp1253": ["Καλημέρα κόσμε", "Η γρήγορη αλεπού"],
+    "cp1256": ["مرحبا بالعالم"],
+    "iso2022_jp": ["これは簡単な文章です。"],
+}
+
+
+def test_charsets(spark):
+    rows = [(name, text, text.encode(name)) for name, texts in CHARSET_TEXTS.items() for text in texts]
+    for name, text, data in rows:
+        assert decoded(data) == text, (name, text)
+    rows += [("utf-8", "Ä ok", "Ä ok".encode()), ("utf-8", "Ä ok", b"\xef\xbb\xbf" + "Ä ok".encode()), ("utf-16-le", "Ä", b"\xff\xfe" + "Ä".encode("utf-16-le")), ("utf-8", "", b""), ("none", None, None), ("utf-8", "é" * 50 + "\ufffd" + "日本" * 50, ("é" * 50).encode() + b"\xff" + ("日本" * 50).encode())]
+    df = spark.createDataFrame(rows, "name string, text string, data binary")
+    assert df.where(~decoded_text(F.col("data")).eqNullSafe(F.col("text"))).count() == 0
+
+
+def test_every_tier_of_a_set_of_quotes(spark):
+    """One pass with all quotes gives what each quote gives alone; parts change nothing."""
+    text = "## Page 1\n\n营业收入 (百万元)\n\n| 营业收入（百万元） | 777,102 | 12.5% |\n| 净利润 | 53128 | 7 |\n\n## Page 2\n净利润 为 13.35亿 元, sum 4711.\na  b\nc d\n"
+    want = {"净利润 为": "exact", "a b c": "whitespace", "2024A 净利润 53128": "number", "海外业务 53128": None, "4711": "exact", "999 4711": "number", "净利润 7": None, "12.5%": "exact", "x 12.5%": "number", "净利润 133500万": "amount", "利息 777102万": None, "利息 77.7万": None, "利息 77.71亿": None, "利息 7771.02亿": "amount", "": None, " ": None}
+    quotes = [(k, q) for k, q in enumerate(want)]
+    got = evidence.QuoteSet(quotes).find(text)
+    for k, q in quotes:
+        alone = evidence.locate(text, q)
+        assert got.get(k) == alone and (alone and alone["tier"]) == want[q], q
+        if alone and alone["tier"] in ("exact", "whitespace"):
+            assert "".join(text[alone["start"] : alone["end"]].split()) == "".join(q.split())
+    row = evidence.locate(text, "2024A 净利润 53128")
+    assert row["hit"] == "| 净利润 | 53128 | 7 |" and row["page"] == 1 and evidence.locate(text, "a b c")["page"] == 2
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "nothing"), (1, text)], "doc_id int, text string")
+    df = spark.createDataFrame(quotes, "quote_id int, quote string")
+    whole = sorted(tuple(r) for r in evidence.evidence_hits(docs, df).collect())
+    assert len(whole) == 2 * len(got) and {r[1] for r in whole} == set(got)
+    most, evidence.MAX_QUOTE_CHARS = evidence.MAX_QUOTE_CHARS, 60
+    try:
+        assert sorted(tuple(r) for r in evidence.evidence_hits(docs, df).collect()) == whole
+    finally:
+        evidence.MAX_QUOTE_CHARS = most
+    assert evidence.evidence_hits(docs, df.limit(0)).count() == 0 and evidence.evidence_hits(docs.limit(0), df).count() == 0
+    assert docs.select(evidence.located(docs.text, F.lit("x 12.5%"))["tier"].alias("t")).where("t = 'number'").count() == 2
+
+
 def test_gate(spark):
     rows = [(1, "supported", True), (2, "supported", None), (3, "unsupported", True), (4, "partial", True)]
     out = evidence.gated(spark.createDataFrame(rows, "k int, verdict string, located boolean"))
