@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,26 +59,64 @@ def rejected(loaded: DataFrame) -> DataFrame:
     return loaded.where("reason is not null").select("raw_id", "reason")
 
 
-def named_rows(loaded: DataFrame, entries: DataFrame) -> DataFrame:
-    """The valid records' cells by header: raw_id, entry_id, line_no, column_index, header, value.
+def column_names(entries: DataFrame) -> DataFrame:
+    """entry_id, names: header by column number, null where none is given, in one small array a table.
 
-    Where several headers claim a column the first in order of text names it; a cell without a
-    header is called column_{i+1}.
+    Where several headers claim a column the first in order of text names it.
     """
     names = (
-        entries.select("entry_id", F.explode(F.map_entries("headers")).alias("h"))
+        entries.select("entry_id", "column_count", F.explode(F.map_entries("headers")).alias("h"))
+        .where("h.value.column_index >= 0 and h.value.column_index < column_count")
         .groupBy("entry_id", F.col("h.value.column_index").alias("column_index"))
         .agg(F.min("h.key").alias("header"))
         .groupBy("entry_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("column_index", "header"))).alias("names"))
     )
-    good = loaded.where("reason is null").select("raw_id", "entry_id", "line_no", "fields")
-    joined = salted_left_join(good, names, "entry_id", "raw_id")
-    return joined.select("raw_id", "entry_id", "line_no", "names", F.posexplode("fields").alias("column_index", "value")).select(
-        "raw_id", "entry_id", "line_no", "column_index",
-        F.coalesce(F.try_element_at("names", F.col("column_index")), F.concat(F.lit("column_"), (F.col("column_index") + 1).cast("string"))).alias("header"),
-        "value",
-    )
+    last = F.array_max(F.map_keys("names"))
+    return names.select("entry_id", F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at("names", i)).alias("names"))
+
+
+def load_cells(records: DataFrame, entries: DataFrame, columns: DataFrame) -> DataFrame:
+    """The valid records' cells by header: raw_id, entry_id, line_no, column_index, header, value.
+
+    A cell without a header is called column_{i+1}. Names come with the specification in the one
+    join that loading needs, so every record is shuffled and parsed once.
+    """
+    ship(records.sparkSession)
+    specs = record_specs(entries, columns).join(column_names(entries), "entry_id", "left")
+    joined = salted_left_join(records.select("raw_id", "entry_id", "line_no", "raw"), specs, "entry_id", "raw_id")
+    joined = joined.select("raw_id", "entry_id", "line_no", "raw", "delimiter", "column_count", "spec", "names")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fields = check_records(b["raw"], b["delimiter"], b["column_count"], b["spec"])[1]
+                row, index, value = cells_of(fields)
+                own = [b[k].take(row) for k in ("raw_id", "entry_id", "line_no")]
+                yield pa.RecordBatch.from_arrays([*own, index, named(b["names"], row, index), value], ["raw_id", "entry_id", "line_no", "column_index", "header", "value"])
+
+    return joined.mapInArrow(load, "raw_id bigint, entry_id bigint, line_no int, column_index int, header string, value string")
+
+
+def cells_of(fields: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Row, place in it and value of every field."""
+    row = pc.list_parent_indices(fields)
+    sizes = pc.fill_null(pc.list_value_length(fields), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    index = np.arange(len(row)) - first[row.to_numpy()]
+    return row, pa.array(index.astype(np.int32)), pc.list_flatten(fields)
+
+
+def named(names: pa.ListArray, row: pa.Array, index: pa.Array) -> pa.Array:
+    """The name of each field's column."""
+    place = index.to_numpy()
+    default = pa.array([f"column_{i + 1}" for i in range(int(place.max(initial=-1)) + 1)], pa.string()).take(index)
+    sizes = pc.fill_null(pc.list_value_length(names), 0).to_numpy(zero_copy_only=False)
+    flat, first = pc.list_flatten(names), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    at = row.to_numpy()
+    known = place < sizes[at]
+    own = flat.take(pa.array(np.where(known, first[at] + place, 0), mask=~known)) if len(flat) else pa.nulls(len(place), pa.string())
+    return pc.coalesce(own.cast(pa.string()), default)
 
 
 #: Column types of the declared kinds.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.operators.records import load_records, named_rows, rejected
+from inkgrove.operators.records import load_cells, load_records, rejected
 from inkgrove.sources.tables import table
 
 
@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     """The valid records' cells, as they load under their tables' headers."""
-    return named_rows(_loaded(spark, d), table(spark, d, "table_entries"))
+    return load_cells(table(spark, d, "csv_records"), table(spark, d, "table_entries"), table(spark, d, "table_columns"))
 
 
 def p1_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from inkgrove.functions import structural as s
 from inkgrove.operators.joins import salted_left_join
-from inkgrove.operators.records import load_records, named_rows, rejected
+from inkgrove.operators.records import load_cells, load_records, rejected
 
 
 def plain(raw, d, count, spec):
@@ -90,7 +90,8 @@ def test_frame(spark):
     columns = spark.createDataFrame([(7, 0, "text", True), (7, 1, "integer", False), (8, 0, "text", None), (8, 1, None, True)], "entry_id long, column_index int, kind string, required boolean")
     loaded = load_records(records, entries, columns)
     assert sorted((r.raw_id, r.reason) for r in rejected(loaded).collect()) == [(2, "invalid_value"), (3, "empty")]
-    cells = {(r.raw_id, r.header): r.value for r in named_rows(loaded, entries).collect()}
+    cells = {(r.raw_id, r.header): r.value for r in load_cells(records, entries, columns).collect()}
+    assert load_cells(records.limit(0), entries, columns).count() == 0 and len(cells) == 8
     assert cells[1, "A"] == "a" and cells[1, "N"] == "1" and cells[4, "column_2"] == "2" and cells[5, "column_1"] == "lost"
     assert load_records(records.limit(0), entries, columns).count() == 0
     assert load_records(records, entries.limit(0), columns.limit(0)).count() == 6
