@@ -7,10 +7,12 @@ import glob
 import json
 import sys
 
-from inkgrove.functions.markdown import capped, capped_tables, rendered
+from inkgrove.functions.markdown import capped, capped_tables, pages_shown, rendered
+from inkgrove.functions.text import is_url
 from inkgrove.options import ParseOptions
 from inkgrove.parsers import dispatch
-from inkgrove.schema import MAX_OUTPUT_BYTES, MAX_PARSE_BYTES
+from inkgrove.schema import LISTED_FAILURES, MAX_OUTPUT_BYTES, MAX_PARSE_BYTES, ParseError
+from inkgrove.sources.files import fetch_one
 
 
 def expanded(names: list[str]) -> list[str]:
@@ -27,11 +29,20 @@ def expanded(names: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def read(name: str, most: int) -> bytes | None:
-    if name == "-":
-        return sys.stdin.buffer.read(most + 1)
-    with open(name, "rb") as f:
-        return f.read(most + 1)
+def read(name: str, most: int) -> tuple[bytes | None, str | None, dict | None]:
+    """Content, content type and error of an input: a file, - for what comes in, or a web address."""
+    try:
+        if is_url(name):
+            data, kind, status = fetch_one(name, most=most)
+            if status == "parse_budget_exceeded":
+                return None, None, ParseError(status, f"input over {most} bytes", "read").row()
+            return data, kind, None if status == "ok" else ParseError("parse_failed", status, "read").row()
+        if name == "-":
+            return sys.stdin.buffer.read(most + 1), None, None
+        with open(name, "rb") as f:
+            return f.read(most + 1), None, None
+    except OSError as e:
+        return None, None, ParseError("parse_failed", str(e), "read").row()
 
 
 def main(args: list[str] | None = None) -> int:
@@ -51,21 +62,33 @@ def main(args: list[str] | None = None) -> int:
     common = dict(format=a.format, pages=a.pages, sheet=a.sheet, rows=a.rows, columns=a.columns, limit=a.limit, offset=a.offset, max_work_units=a.max_work_units, provenance=a.provenance or "off")
     names = expanded(a.inputs)
     if a.extract:
-        sys.stdout.buffer.write(dispatch.media(read(names[0], budget), a.extract, names[0]))
+        data, _, error = read(names[0], budget)
+        if error:
+            print(json.dumps({"source": names[0], "error": error}), file=sys.stderr)
+            return 1
+        sys.stdout.buffer.write(dispatch.media(data, a.extract, names[0]))
         return 0
-    rows, left = [], budget
+    # one budget for all inputs, and one for all results: an input that doesn't fit is left out with its
+    # reason and uses nothing
+    rows, left, made = [], budget, 0
+    failed: list[tuple[str, dict]] = []
     for n in names:
-        try:
-            data = read(n, left)
-        except OSError as e:
-            print(json.dumps({"source": n, "error": str(e)}), file=sys.stderr)
+        data, kind, error = read(n, left)
+        if error:
+            failed.append((n, error))
             continue
-        row = dispatch.parse(data, n, None, ParseOptions.of(**common, mode={"md": "document", "json": "tables", None: "auto"}[a.mode], max_parse_bytes=max(1, left)))
+        row = dispatch.parse(data, n, kind, ParseOptions.of(**common, mode={"md": "document", "json": "tables", None: "auto"}[a.mode], max_parse_bytes=max(1, left)))
+        size = row["stats"]["output_bytes"] or 0
+        if not row["error"] and made + size > budget:
+            row["error"] = ParseError("parse_budget_exceeded", f"results over {budget} bytes").row()
         if row["error"]:
-            print(json.dumps({"source": n, "error": row["error"]}), file=sys.stderr)
+            failed.append((n, row["error"]))
             continue
         left -= len(data)
+        made += size
         rows.append(row)
+    for n, error in failed:
+        print(json.dumps({"source": n, "error": error}), file=sys.stderr)
     if a.provenance and len(rows) == 1:
         print(json.dumps({k: rows[0][k] for k in ("source", "format", "markdown", "provenance")}, ensure_ascii=False, indent=2))
     elif rows and all(r["kind"] == "tables" for r in rows):
@@ -73,7 +96,13 @@ def main(args: list[str] | None = None) -> int:
         print(capped_tables(tables, most)[0])
     elif rows:
         docs = [(r["source"], r["format"], r["markdown"]) for r in rows if r["kind"] == "document"]
-        sys.stdout.write(capped(rendered(docs), most)[0])
+        # failures stand behind the text, so their room is kept free
+        notes = capped("".join(f"\n> [!CAUTION]\n> {n}: {e['code']}: {e['reason']}\n" for n, e in failed[:LISTED_FAILURES]), most // 2)[0]
+        text, cut = capped(rendered(docs), most - len(notes.encode()))
+        sys.stdout.write(text + notes)
+        pages, shown = sum(r["stats"]["page_count"] or 0 for r in rows), pages_shown(text)
+        if pages and (cut or shown < pages):
+            print(f"{'warning: cut after' if cut else 'info: these are'} about {shown} of {pages} pages; --pages FIRST,LAST gives others", file=sys.stderr)
     return 0 if rows else 1
 
 

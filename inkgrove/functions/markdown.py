@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 from inkgrove.functions.text import WHITE, trimmed
@@ -86,15 +87,18 @@ def capped(text: str, most: int = MAX_OUTPUT_BYTES) -> tuple[str, bool]:
     return (head if at < 0 else head[: at + 1]).rstrip(WHITE) + notice, True
 
 
-def capped_tables(tables: list[dict], most: int = MAX_OUTPUT_BYTES) -> tuple[str, bool]:
-    """JSON envelope of tables within a limit: the last table's rows are halved, then it is dropped."""
+def capped_tables(tables: list[dict], most: int = MAX_OUTPUT_BYTES, left_out: int = 0) -> tuple[str, bool]:
+    """JSON envelope of tables within a limit: the last table's rows are halved, then it is dropped.
+
+    left_out inputs aren't among the tables; that is a cut, too.
+    """
     tables = [dict(t) for t in tables]
     notice = f"output was cut at {most} bytes; narrow the input or raise the limit"
     envelope = {"schema_version": TABLE_SCHEMA_VERSION, "usage": TABLE_USAGE, "tables": tables, "truncated": False, "warnings": []}
     text = json.dumps(envelope, ensure_ascii=False, indent=2)
-    if len(text.encode()) <= most:
+    if len(text.encode()) <= most and not left_out:
         return text, False
-    envelope |= {"truncated": True, "warnings": [notice]}
+    envelope |= {"truncated": True, "warnings": [notice, *([f"{left_out} more inputs are left out"] if left_out else [])]}
     while True:
         text = json.dumps(envelope, ensure_ascii=False, indent=2)
         if len(text.encode()) <= most or not tables:
@@ -122,3 +126,8 @@ def rendered(documents: Iterable[tuple[str, str, str]]) -> str:
             body += "\n"
         out.append(body if len(documents) == 1 else f"# Source: {name}\n\n{body}")
     return "\n".join(out)
+
+
+def pages_shown(text: str) -> int:
+    """Pages of a paged document that a text shows."""
+    return len(re.findall("## Page ", text))

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkgrove.options import ParseOptions
 from inkgrove.parsers import dispatch
-from inkgrove.schema import LISTED_FAILURES, MEDIA, PARSED, SCHEME, ParseError
+from inkgrove.schema import LISTED_FAILURES, MEDIA, MEDIA_LINK, PARSED, SCHEME, ParseError
 from inkgrove.session import ship, spread
 
 #: Bytes of results after which a batch is handed over.
@@ -67,6 +67,33 @@ def parse(inputs: DataFrame, content: str = "content", source: str = "source", d
     return frame.mapInArrow(run, PARSED)
 
 
+def parsed_media(inputs: DataFrame, content: str = "content", source: str = "source", doc_id: str | None = None, **options) -> DataFrame:
+    """doc_id, uri, data: the bytes of all extractable media of the inputs, in one pass over them.
+
+    doc_id is the given column, else the source, as text. Inputs that can't be parsed give no rows.
+    """
+    o = ParseOptions.of(**options)
+    ship(inputs.sparkSession)
+    name = inputs[doc_id if doc_id is not None else source].cast("string")
+    frame = spread(inputs.select(name.alias("doc_id"), inputs[source].cast("string").alias("source"), inputs[content].cast("binary").alias("content")).where(F.octet_length("content") <= o.max_parse_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["doc_id", "uri", "data"]
+        for b in batches:
+            rows, size = [], 0
+            for i, s, c in zip(b["doc_id"], b["source"], b["content"]):
+                for uri, data in dispatch.media_of(c.as_py(), s.as_py(), o):
+                    rows.append((i.as_py(), uri, data))
+                    size += len(data)
+                    if size > OUT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], keys)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], keys)
+
+    return frame.mapInArrow(run, "doc_id string, uri string, data binary")
+
+
 # ---- views: plain Catalyst over parsed rows ----
 
 
@@ -165,10 +192,8 @@ def media_links(text: Column) -> Column:
 
 def valid_media_link(uri: Column) -> Column:
     """Whether a text is a well-formed link to embedded media."""
-    component = r"(?!\.{1,2}(?:/|\z))[A-Za-z0-9\-_.]+"
-    part = rf"(?:docx/part/word|pptx/part/ppt|xlsx/part/xl)/media/{component}(?:/{component})*"
-    number = F.regexp_extract(uri, SCHEME + r"pdf/obj/(\d+)/(\d+)\z", 1)
-    generation = F.regexp_extract(uri, SCHEME + r"pdf/obj/(\d+)/(\d+)\z", 2)
-    grammar = uri.rlike(rf"\A{SCHEME}(?:{part}|pdf/obj/(?:0|[1-9]\d{{0,9}})/(?:0|[1-9]\d{{0,4}})|pdf/page/[1-9]\d{{0,8}})\z")
+    part = lambda k: F.regexp_extract(uri, rf"\A{MEDIA_LINK}\z", k)
+    number, generation = part(1), part(2)
+    grammar = uri.rlike(rf"\A{MEDIA_LINK}\z")
     small = (number == "") | ((F.lpad(number, 10, "0") <= "4294967295") & (F.lpad(generation, 5, "0") <= "65535"))
     return F.coalesce(grammar & small, F.lit(False))

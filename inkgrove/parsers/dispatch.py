@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from inkgrove.functions.detect import detect, is_table
 from inkgrove.functions.charset import decoded
+from inkgrove.functions.detect import detect, is_table
 from inkgrove.options import ParseOptions
 from inkgrove.parsers import docx, html, pdf, slides, tables
-from inkgrove.parsers.container import Container, safe_path
+from inkgrove.parsers.container import Container
+from inkgrove.parsers.pdf_objects import Pdf
 from inkgrove.parsers.result import Extracted
-from inkgrove.schema import SCHEME, ParseError
+from inkgrove.schema import MEDIA_LINK, SCHEME, ParseError
 
-_PART_LINK = re.compile(re.escape(SCHEME) + r"(docx|pptx|xlsx)/part/(word|ppt|xl)/(.+)", re.S)
-ROOTS = {"docx": "word", "pptx": "ppt", "xlsx": "xl"}
+_LINK = re.compile(MEDIA_LINK)
 
 
 def document(data: bytes, fmt: str, source: str, content_type: str | None, o: ParseOptions) -> Extracted:
@@ -73,10 +74,8 @@ def parse(data: bytes | None, source: str | None, content_type: str | None, o: P
 
 def valid_link(uri: str) -> bool:
     """Whether a text is a link to embedded media: an office part, a PDF object or a PDF page."""
-    if m := pdf.PDF_LINK.fullmatch(uri):
-        return m[3] is not None or int(m[1]) < 1 << 32 and int(m[2]) < 1 << 16
-    m = _PART_LINK.fullmatch(uri)
-    return m is not None and ROOTS[m[1]] == m[2] and safe_path(m[3])
+    m = _LINK.fullmatch(uri)
+    return m is not None and (m[1] is None or int(m[1]) < 1 << 32 and int(m[2]) < 1 << 16)
 
 
 def media(data: bytes, uri: str, source: str = "", o: ParseOptions | None = None) -> bytes:
@@ -87,9 +86,32 @@ def media(data: bytes, uri: str, source: str = "", o: ParseOptions | None = None
     fmt = detect(data, source, None, o.format, o.max_parse_bytes)
     if not uri.startswith(f"{SCHEME}{fmt}/") or fmt == "xlsx":
         raise ParseError("parse_failed", f"the link is not of a {fmt} file")
-    if fmt == "pdf":
-        m = pdf.PDF_LINK.fullmatch(uri)
-        if m[3]:
-            return pdf.page_svg(data, int(m[3]), o.max_parse_bytes, o.max_work_units)
-        return pdf.image(data, int(m[1]), int(m[2]), o.max_parse_bytes)
-    return Container(data, o.max_parse_bytes).part(uri.split("/part/", 1)[1])
+    return resource(opened(data, fmt, o), uri, o)
+
+
+def opened(data: bytes, fmt: str, o: ParseOptions) -> Pdf | Container:
+    return Pdf(data, o.max_parse_bytes) if fmt == "pdf" else Container(data, o.max_parse_bytes)
+
+
+def resource(box: Pdf | Container, uri: str, o: ParseOptions) -> bytes:
+    """What a valid link means in an opened file."""
+    if isinstance(box, Container):
+        return box.part(uri.split("/part/", 1)[1])
+    m = _LINK.fullmatch(uri)
+    if m[3]:
+        return pdf.page_svg(box, int(m[3]), o.max_work_units)
+    return pdf.image(box, int(m[1]), int(m[2]), o.max_parse_bytes)
+
+
+def media_of(data: bytes, source: str | None, o: ParseOptions) -> Iterator[tuple[str, bytes]]:
+    """Link and bytes of every extractable medium of a file, which is opened once; never raises."""
+    row = parse(data, source, None, o)
+    links = dict.fromkeys(m["uri"] for m in row["media"] if m["extractable"])
+    if not links:
+        return
+    box = opened(data, row["format"], o)
+    for uri in links:
+        try:
+            yield uri, resource(box, uri, o)
+        except (ParseError, KeyError, ValueError):
+            continue

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 import zlib
@@ -123,9 +122,8 @@ def png(width: int, height: int, colors: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if colors == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def image(data: bytes, number: int, generation: int, most: int) -> bytes:
-    """A picture of the file: JPEG and JPEG 2000 as they are, 8-bit gray and RGB as PNG."""
-    pdf = Pdf(data, most)
+def image(pdf: Pdf, number: int, generation: int, most: int) -> bytes:
+    """A picture of an opened file: JPEG and JPEG 2000 as they are, 8-bit gray and RGB as PNG."""
     stream = pdf.objects.get(number)
     if not isinstance(stream, Stream) or stream.info.get("Subtype") != "Image":
         raise ParseError("parse_failed", f"object {number} {generation} is no picture")
@@ -141,9 +139,8 @@ def image(data: bytes, number: int, generation: int, most: int) -> bytes:
     return png(width, height, colors, body[:need])
 
 
-def page_svg(data: bytes, number: int, most: int, max_work: int | None = None) -> bytes:
-    """A page as SVG: its paths and its characters."""
-    pdf = Pdf(data, most)
+def page_svg(pdf: Pdf, number: int, max_work: int | None = None) -> bytes:
+    """A page of an opened file as SVG: its paths and its characters."""
     if not 1 <= number <= len(pdf.pages):
         raise ParseError("parse_failed", f"there is no page {number}")
     page = read_page(pdf, pdf.pages[number - 1], Work(max_work))
@@ -155,6 +152,3 @@ def page_svg(data: bytes, number: int, most: int, max_work: int | None = None) -
             out.append(f'<text x="{x:.2f}" y="{y:.2f}" font-size="{size:.2f}">{escape(text)}</text>')
     out.append("</svg>")
     return "\n".join(out).encode()
-
-
-PDF_LINK = re.compile(re.escape(SCHEME) + r"pdf/(?:obj/(0|[1-9]\d{0,9})/(0|[1-9]\d{0,4})|page/([1-9]\d{0,8}))")

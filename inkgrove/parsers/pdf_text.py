@@ -258,8 +258,6 @@ class Interpreter:
         while (x := lexer.token()) is not END:
             if not isinstance(x, Word):
                 args.append(x)
-                if len(args) > 600:
-                    del args[:300]
                 continue
             self.work.charge()
             op, a = bytes(x), args

@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 #: Prefix of links to embedded media; the grammar behind it is part/<path>, obj/<id>/<gen> or page/<n>.
 SCHEME = "grove://"
+_NAME = r"(?!\.{1,2}(?:/|$))[A-Za-z0-9\-_.]+"
+#: A link to embedded media, to be matched as a whole: an office part, a PDF object and its generation, a PDF page.
+MEDIA_LINK = rf"{SCHEME}(?:(?:docx/part/word|pptx/part/ppt|xlsx/part/xl)/media/{_NAME}(?:/{_NAME})*|pdf/obj/(0|[1-9]\d{{0,9}})/(0|[1-9]\d{{0,4}})|pdf/page/([1-9]\d{{0,8}}))"
 TABLE_SCHEMA_VERSION = "grove-table-json-1"
 TABLE_USAGE = "Tables show their first 100 rows of each sheet. Narrow or page with sheet, rows first:last, columns, limit and offset; rows excludes limit and offset."
 

@@ -51,26 +51,29 @@ def stream_files(spark: SparkSession, folder: str, glob: str | None = None, file
     return reader.load(folder).select(_source(), "content", "modificationTime")
 
 
+def fetch_one(url: str | None, timeout: float = 30.0, most: int = MAX_PARSE_BYTES) -> tuple[bytes | None, str | None, str]:
+    """Content, content type and status of one web address."""
+    import urllib.request
+
+    if not url or not re.match(r"https?://", url):
+        return None, None, "not a web address"
+    try:
+        ask = urllib.request.Request(url, headers={"Accept": "text/markdown, text/html;q=0.9"})
+        with urllib.request.urlopen(ask, timeout=timeout) as answer:  # noqa: S310
+            if int(answer.headers.get("Content-Length") or 0) > most:
+                return None, None, "parse_budget_exceeded"
+            data = answer.read(most + 1)
+            return (None, None, "parse_budget_exceeded") if len(data) > most else (data, answer.headers.get("Content-Type"), "ok")
+    except Exception as e:
+        return None, None, str(e)[:200]
+
+
 def fetch(addresses: DataFrame, column: str = "url", timeout: float = 30.0, most: int = MAX_PARSE_BYTES) -> DataFrame:
     """source, content, content_type, status of web addresses, read on the executors within a limit.
 
     Only http and https are read; a failure leaves the content null and its reason in status.
     """
 
-    @F.udf("struct<content: binary, content_type: string, status: string>")
-    def get(url):
-        import urllib.request
-
-        if not url or not re.match(r"https?://", url):
-            return None, None, "not a web address"
-        try:
-            ask = urllib.request.Request(url, headers={"Accept": "text/markdown, text/html;q=0.9"})
-            with urllib.request.urlopen(ask, timeout=timeout) as answer:  # noqa: S310
-                if int(answer.headers.get("Content-Length") or 0) > most:
-                    return None, None, "parse_budget_exceeded"
-                data = answer.read(most + 1)
-                return (None, None, "parse_budget_exceeded") if len(data) > most else (data, answer.headers.get("Content-Type"), "ok")
-        except Exception as e:
-            return None, None, str(e)[:200]
-
+    # a row at a time: each waits for its server
+    get = F.udf(lambda url: fetch_one(url, timeout, most), "struct<content: binary, content_type: string, status: string>")
     return addresses.select(F.col(column).alias("source"), get(column).alias("r")).select("source", "r.*")

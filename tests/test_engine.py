@@ -1,20 +1,22 @@
 """Parsers, engine, corpus and evidence on small inputs."""
 
 import io
+import json
+import os
 import subprocess
 import sys
 import zlib
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkgrove import sinks, sql
 from inkgrove.functions import markdown as md
-from inkgrove.functions.detect import detect, extension, image_type
 from inkgrove.functions.charset import decoded, decoded_text
+from inkgrove.functions.detect import detect, extension, image_type
 from inkgrove.functions.text import absolute, squeezed
 from inkgrove.operators import corpus, engine, evidence
 from inkgrove.options import ParseOptions, number_range
@@ -260,13 +262,81 @@ def test_views(rows):
     assert engine.failures(p, 1).collect()[0].source == "d.bin"
     assert all(r.code in WARNING_CODES for r in engine.warnings(p).collect())
     assert engine.default_mode(p).first().mode == "md"
-    assert [(r.name, bytes(r.data)) for r in sinks.media_files(inputs, p, key="source").collect()] == [("docx_part_word_media_i.png", b"pic")]
+    assert [(r.name, bytes(r.data)) for r in sinks.media_files(inputs).collect()] == [("docx_part_word_media_i.png", b"pic")]
+    assert sinks.media_files(inputs, max_parse_bytes=1).count() == 0
     assert '"schema_version"' in sinks.envelope(p).first().json and '"provenance"' in sinks.provenance_json(p).first().json
     assert sinks.report(p).startswith("> [!CAUTION]") and '"tables"' in sinks.tables_report(p)
     empty = engine.parse(inputs.limit(0))
     assert empty.count() == 0 and corpus.metrics(empty).first().ready == 0
 
 
+def test_media_are_written(rows, tmp_path):
+    inputs, _ = rows
+    for _ in range(2):  # a task that runs again leaves the same files
+        got = sinks.write_media(sinks.media_files(inputs), str(tmp_path)).collect()
+        assert [(r.name, open(r.path, "rb").read()) for r in got] == [("docx_part_word_media_i.png", b"pic")]
+    assert [f for _, _, fs in os.walk(tmp_path) for f in fs] == ["docx_part_word_media_i.png"]
+
+
+def test_reports_of_many_inputs(spark):
+    """No number of inputs is fixed: the limit of bytes alone decides, and what is left out is counted."""
+    texts = spark.range(3000).selectExpr("format_string('%05d.txt', id) source", "cast(concat('text ', id) as binary) content")
+    p = engine.parse(texts, doc_id="source").persist()
+    whole = sinks.report(p, 1 << 20)
+    assert whole.count("# Source: ") == 3000 and "left out" not in whole
+    short = sinks.report(p, 3000)
+    shown = short.count("# Source: ")
+    assert len(short.encode()) <= 3000 and 10 < shown < 200 and f"> {3000 - shown} more inputs are left out" in short
+    csv = spark.range(1500).selectExpr("format_string('%05d.csv', id) source", "cast(concat('a\n', id) as binary) content")
+    t = engine.parse(csv, doc_id="source").persist()
+    found = json.loads(sinks.tables_report(t, 8 << 20))
+    assert len(found["tables"]) == 1500 and not found["truncated"]
+    cut = json.loads(sinks.tables_report(t, 20000))
+    assert cut["truncated"] and any("left out" in w for w in cut["warnings"])
+    assert sinks.report(p.limit(0)) == "" and json.loads(sinks.tables_report(t.limit(0)))["tables"] == []
+
+
+def cli(*args, stdin=b""):
+    out = subprocess.run([sys.executable, "-m", "inkgrove", *args], input=stdin, capture_output=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return out.returncode, out.stdout.decode(), out.stderr.decode()
+
+
+def test_command_line(tmp_path):
+    import http.server
+    import threading
+
+    (tmp_path / "a.md").write_text("# A\n" + "x" * 3000)
+    (tmp_path / "b.md").write_text("# B\n")
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            good = self.path == "/p"
+            self.send_response(200 if good else 404)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<main><h1>Web</h1><a href='/q'>q</a></main>" if good else b"no")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        code, out, err = cli(f"{base}/p", f"{base}/missing", str(tmp_path / "b.md"), str(tmp_path / "none.md"))
+        assert code == 0 and "# Web" in out and f"({base}/q)" in out and "# B" in out
+        # what failed stands in the output and in the messages
+        assert out.count("[!CAUTION]") == 2 and err.count("parse_failed") == 2
+    finally:
+        server.shutdown()
+    code, out, _ = cli("--max-output-kib", "1", str(tmp_path / "a.md"), str(tmp_path / "none.md"))
+    assert code == 0 and len(out.encode()) <= 1024 and "[!WARNING]" in out and "[!CAUTION]" in out
+    assert cli(str(tmp_path / "none.md"))[0] == 1 and cli("-", "--format", "markdown", stdin=b"# In")[1] == "# In\n"
+    (tmp_path / "p.pdf").write_bytes(g.pdf([[(50, 60, x)] for x in ("one", "two", "three")]))
+    code, out, err = cli("--pages", "2,2", str(tmp_path / "p.pdf"))
+    assert code == 0 and "two" in out and "these are about 1 of" in err
+
+
 def test_corpus_layer(rows, spark):
     _, p = rows
     assert {(r.kind, r.text) for r in corpus.chunks(p).where("doc_id = 'f.md'").collect()} == {("paragraph", "# T"), ("paragraph", "text | é"), ("paragraph", "last")}
