@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from inkgrove.functions.markdown import Page
 from inkgrove.functions.text import absolute, squeezed
 from inkgrove.parsers.result import Extracted
+from inkgrove.schema import ParseError
 
 # Element classes of the HTML standard and of the engine's rendering.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,8 +28,10 @@ BLOCKS = frozenset((*HEADINGS, "p", "ul", "ol", "table", "blockquote", "pre", "a
 CONTAINERS = frozenset(("article", "main", "section", "div", "body"))
 
 
-#: Open elements at most; bounds the work of every look up the stack.
-DEEPEST = 256
+#: Steps over open elements that repairing misnested formatting may take in one page.
+MOST_REPAIRS = 3_000_000
+#: Characters that may pass from element to element while a page is written: times its length, and more.
+MOST_PASSES, FREE_PASSES = 20, 30_000_000
 
 
 class Node:
@@ -63,6 +68,59 @@ class Node:
         return "".join(out)
 
 
+class Open:
+    """The open elements from the root on. Where the last one of a tag stands is known, so looking
+    for one takes the same time at any depth."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.held: set[int] = set()
+        self.work = 0
+
+    def append(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.held.add(id(node))
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        self.places[node.tag].pop()
+        self.held.discard(id(node))
+        return node
+
+    def last(self, tags) -> int:
+        """Place of the last open element of some tags, -1 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def set(self, nodes: list[Node]) -> None:
+        self.work += len(nodes)
+        if self.work > MOST_REPAIRS:
+            raise ParseError("parse_budget_exceeded", "formatting is misnested too deeply")
+        self.nodes, self.places = nodes, {}
+        for k, node in enumerate(nodes):
+            self.places.setdefault(node.tag, []).append(k)
+        self.held = set(map(id, nodes))
+
+    def remove(self, node: Node) -> None:
+        self.set([n for n in self.nodes if n is not node])
+
+    def __contains__(self, node: Node) -> bool:
+        return id(node) in self.held
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def __getitem__(self, k: int) -> Node:
+        return self.nodes[k]
+
+    def __reversed__(self):
+        return reversed(self.nodes)
+
+    def index(self, node: Node) -> int:
+        return next(k for k, n in enumerate(self.nodes) if n is node)
+
+
 class Tree(HTMLParser):
     """Builds the tree while the tokens come: implied ends, formatting that outlives its paragraph
     (at most three equal ones), and misnested formatting by the adoption procedure."""
@@ -72,7 +130,10 @@ class Tree(HTMLParser):
         self.root = Node("html")
         self.body = Node("body")
         self.root.add(self.body)
-        self.open: list[Node] = [self.root, self.body]
+        self.open = Open()
+        self.open.append(self.root)
+        self.open.append(self.body)
+        self.deepest = 0
         self.active: list[Node | None] = []  # None is a marker
         self.after_pre = False
 
@@ -82,12 +143,8 @@ class Tree(HTMLParser):
         return self.open[-1]
 
     def in_scope(self, tags, stop=SCOPE) -> bool:
-        for node in reversed(self.open):
-            if node.tag in tags:
-                return True
-            if node.tag in stop:
-                return False
-        return False
+        at = self.open.last(tags)
+        return at >= 0 and at >= self.open.last(stop)
 
     def pop_to(self, tags) -> None:
         while len(self.open) > 2:
@@ -99,11 +156,10 @@ class Tree(HTMLParser):
             self.pop_to(("p",))
 
     def insert(self, tag: str, attrs: dict[str, str]) -> Node:
-        if len(self.open) >= DEEPEST:  # deeper elements become siblings
-            self.open.pop()
         node = Node(tag, attrs)
         self.here().add(node)
         self.open.append(node)
+        self.deepest = max(self.deepest, len(self.open))
         return node
 
     def reconstruct(self) -> None:
@@ -146,7 +202,7 @@ class Tree(HTMLParser):
         elif tag in ("dd", "dt"):
             self.close_item(("dd", "dt"))
         elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"):
-            if not any(n.tag == "table" for n in self.open):
+            if self.open.last(("table",)) < 0:
                 return
             self.table_part(tag)
         elif tag == "option" and self.here().tag == "option":
@@ -234,7 +290,7 @@ class Tree(HTMLParser):
         elif tag in ("tr", "tbody", "thead", "tfoot", "table"):
             if self.in_scope((tag,), {"template"} if tag == "table" else {"table", "template"}):
                 if tag == "table":
-                    while self.active and self.active[-1] is None and any(n.tag in ("td", "th", "caption") for n in self.open):
+                    while self.active and self.active[-1] is None and self.open.last(("td", "th", "caption")) >= 0:
                         self.to_marker()
                         break
                 self.pop_to((tag,))
@@ -259,26 +315,27 @@ class Tree(HTMLParser):
                 self.active.remove(node)
                 return
             at = self.open.index(node)
-            if any(n.tag in SCOPE for n in self.open[at + 1 :]):
+            if self.open.last(SCOPE) > at:
                 return
-            block = next((n for n in self.open[at + 1 :] if n.tag in SPECIAL), None)
+            block = next((n for n in self.open.nodes[at + 1 :] if n.tag in SPECIAL), None)
             if block is None:
-                del self.open[at:]
+                self.open.set(self.open.nodes[:at])
                 self.active.remove(node)
                 return
             above = self.open[at - 1]
             mark = self.active.index(node)
             last, i = block, self.open.index(block)
+            between, gone, copies = self.open.nodes[at + 1 : i], {id(node)}, {}
             for depth in range(1, i - at):
-                inner = self.open[i - depth]
+                inner = between[-depth]
                 if inner not in self.active or depth > 3:
-                    self.open.remove(inner)
+                    gone.add(id(inner))
                     if inner in self.active:
                         self.active.remove(inner)
                     continue
                 copy = Node(inner.tag, dict(inner.attrs))
                 self.active[self.active.index(inner)] = copy
-                self.open[self.open.index(inner)] = copy
+                copies[id(inner)] = copy
                 copy.add(last)
                 last = copy
             above.add(last)
@@ -295,8 +352,13 @@ class Tree(HTMLParser):
                 mark = self.active.index(node)
                 self.active.remove(node)
             self.active.insert(min(mark, len(self.active)), copy)
-            self.open.remove(node)
-            self.open.insert(self.open.index(block) + 1, copy)
+            changed = []
+            for n in self.open.nodes:
+                if id(n) not in gone:
+                    changed.append(copies.get(id(n), n))
+                if n is block:
+                    changed.append(copy)
+            self.open.set(changed)
 
     def handle_data(self, data):
         if self.after_pre and data.startswith("\n"):
@@ -308,7 +370,7 @@ class Tree(HTMLParser):
         if target.tag in ("table", "tbody", "thead", "tfoot", "tr"):
             if not data.strip():
                 return
-            table = next(n for n in reversed(self.open) if n.tag == "table")
+            table = self.open[self.open.last(("table",))]
             if table.parent is not None:  # text loose in a table stands in front of it
                 table.parent.children.insert(table.parent.children.index(table), data)
             return
@@ -317,19 +379,20 @@ class Tree(HTMLParser):
         self.here().children.append(data)
 
 
-def tree(text: str) -> Node:
+def tree(text: str) -> tuple[Node, int]:
+    """The page's tree and its depth."""
     builder = Tree()
     builder.feed(text)
     builder.close()
-    return builder.root
+    return builder.root, builder.deepest
 
 
 class Renderer:
     """Markdown of a tree: the first article, else main, else the body. Text that stands directly in
     a container is not part of any block and is left out, nested lists likewise."""
 
-    def __init__(self, page: Page, base: str | None):
-        self.page, self.base = page, base
+    def __init__(self, page: Page, base: str | None, most: int):
+        self.page, self.base, self.left = page, base, most
 
     def children(self, node: Node) -> None:
         for child in node.elements():
@@ -350,7 +413,7 @@ class Renderer:
                     self.page.gap()
                     self.page.raw(f"{f'{number}.' if tag == 'ol' else '-'} {text}\n")
         elif tag == "table":
-            rows = [[self.inline(c) for c in r.walk() if c.tag in ("th", "td")] for r in node.walk() if r.tag == "tr"]
+            rows = [[self.inline(c) for c in self.below(r) if c.tag in ("th", "td")] for r in self.below(node) if r.tag == "tr"]
             self.page.table([r for r in rows if r])
         elif tag == "blockquote":
             if text := self.inline(node):
@@ -366,8 +429,21 @@ class Renderer:
         else:
             self.page.paragraph(self.inline(node))
 
+    def below(self, node: Node) -> Iterator[Node]:
+        """All elements of a node, which cost as characters do: tables in tables meet theirs at every level."""
+        for x in node.walk():
+            self.charge(10)
+            yield x
+
+    def charge(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise ParseError("parse_budget_exceeded", "elements are nested too deeply for their text")
+
     def inline(self, node: Node) -> str:
-        return squeezed("".join(map(self.piece, node.children)))
+        text = "".join([self.piece(x) for x in node.children])
+        self.charge(len(text) + 1)
+        return squeezed(text)
 
     def piece(self, x) -> str:
         if isinstance(x, str):
@@ -392,17 +468,19 @@ class Renderer:
         if mark:
             text = self.inline(x)
             return f"{mark}{text}{mark}" if text else ""
-        return "".join(map(self.piece, x.children))
+        return "".join([self.piece(y) for y in x.children])
 
 
 def markdown_of(text: str, base: str | None, most: int) -> str:
-    root = tree(text)
+    root, depth = tree(text)
+    # blocks and their pieces call one another, a few calls a level
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * depth + 1000))
     found = {}
     for n in root.walk():
         if n.tag in ("article", "main", "body"):
             found.setdefault(n.tag, n)
     page = Page(most)
-    Renderer(page, base).children(found.get("article") or found.get("main") or found["body"])
+    Renderer(page, base, MOST_PASSES * len(text) + FREE_PASSES).children(found.get("article") or found.get("main") or found["body"])
     return page.text()
 
 

@@ -270,6 +270,16 @@ def test_views(rows):
     assert empty.count() == 0 and corpus.metrics(empty).first().ready == 0
 
 
+def test_deep_pages():
+    """No depth is changed; what would take too long is an error, not another tree."""
+    for n in (300, 3000):
+        assert parsed(f"{'<div>' * n}<p>deep <b>b</b></p>{'</div>' * n}<p>after</p>".encode(), "a.html")["markdown"] == "deep **b**\n\nafter\n"
+        assert parsed(f"<p>{'<span>' * n}deep{'</span>' * n} x</p><p>after</p>".encode(), "a.html")["markdown"] == "deep x\n\nafter\n"
+        assert parsed(f"<ul>{'<li>x' * n}</ul>".encode(), "a.html")["markdown"].count("- x") == n
+    for bad in ("<b><i><div>" * 20_000 + "x" + "</b>" * 20_000, "<table><tr><td>" * 5000 + "x"):
+        assert parsed(bad.encode(), "a.html")["error"]["code"] == "parse_budget_exceeded"
+
+
 def test_media_are_written(rows, tmp_path):
     inputs, _ = rows
     for _ in range(2):  # a task that runs again leaves the same files
