@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkgrove.plans import corpus, parsing, records
+from inkgrove.plans import corpus, formats, parsing, records
 
-MODULES = [records, parsing, corpus]
+MODULES = [records, parsing, formats, corpus]
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from inkgrove.parsers.tables import letters
 
 _XML = '<?xml version="1.0" encoding="UTF-8"?>'
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+W_SPACE = _W
 _A = "http://schemas.openxmlformats.org/drawingml/2006/main"
 _P = "http://schemas.openxmlformats.org/presentationml/2006/main"
 _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -69,10 +70,10 @@ def xlsx(sheets: dict[str, list[list]], dates: str = "yyyy\\-mm\\-dd") -> bytes:
     return archive(parts)
 
 
-def docx(blocks: list[tuple], images: dict[str, bytes] | None = None, notes: dict[str, str] | None = None) -> bytes:
+def docx(blocks: list[tuple], images: dict[str, bytes] | None = None, notes: dict[str, str] | None = None, parts: dict | None = None) -> bytes:
     """Document of blocks: ('h', level, text), ('p', text), ('list', text), ('table', rows),
-    ('image', name), ('xml', raw)."""
-    links = {f"i{k}": ("image", f"media/{n}") for k, n in enumerate(images or {}, 1)}
+    ('image', name), ('xml', raw); parts are added to the container as they are."""
+    more, links = parts or {}, {f"i{k}": ("image", f"media/{n}") for k, n in enumerate(images or {}, 1)}
     ids = {n: f"i{k}" for k, n in enumerate(images or {}, 1)}
     run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
     body = []
@@ -95,7 +96,7 @@ def docx(blocks: list[tuple], images: dict[str, bytes] | None = None, notes: dic
         "word/document.xml": f'{_XML}<w:document xmlns:w="{_W}" xmlns:r="{_R}"><w:body>{"".join(body)}</w:body></w:document>',
         "word/_rels/document.xml.rels": rels(links | {"web": ("hyperlink", "https://example.com/x")}),
     }
-    parts |= {f"word/media/{n}": d for n, d in (images or {}).items()}
+    parts |= {f"word/media/{n}": d for n, d in (images or {}).items()} | more
     if notes:
         parts["word/footnotes.xml"] = f'{_XML}<w:footnotes xmlns:w="{_W}">' + "".join(f'<w:footnote w:id="{k}"><w:p>{run(v)}</w:p></w:footnote>' for k, v in notes.items()) + "</w:footnotes>"
     return archive(parts)
@@ -162,6 +163,24 @@ def pdf(pages: list[list[tuple[float, float, str]]], extra: dict[int, str] | Non
         objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents {content} 0 R /Resources << /Font << /F1 3 0 R >> /XObject << {names}>> >> >>".encode())
         kids.append(f"{len(objects)} 0 R")
     objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
+    return _pdf_file(objects)
+
+
+def pdf_objects(content: bytes, cmap: str) -> bytes:
+    """PDF of one page of compressed content, whose font F2 has two-byte codes that cmap gives as characters."""
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [6 0 R] /Count 1 >>",
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /DescendantFonts [7 0 R] /ToUnicode 4 0 R >>",
+        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap.encode()),
+        b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(content), content),
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 5 0 R /Resources << /Font << /F2 3 0 R >> >> >>",
+        b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /X /DW 500 /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> >>",
+    ]
+    return _pdf_file(objects)
+
+
+def _pdf_file(objects: list[bytes]) -> bytes:
     out, places = bytearray(b"%PDF-1.4\n"), []
     for n, o in enumerate(objects, 1):
         places.append(len(out))
