@@ -18,6 +18,23 @@ SANS_WIDTHS = (
     333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556,
     556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
 )
+# The same of the standard serif font.
+SERIF_WIDTHS = (
+    250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278,
+    500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444,
+    921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722,
+    556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500,
+    333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500,
+    500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541,
+)
+#: Bold letters are wider by about this much.
+BOLD = 1.06
+# The standard encoding from 161 on, and the symbol font's from 34 and from 161 on; a blank is no character.
+STANDARD_UPPER = "¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ –†‡· ¶•‚„”»…‰ ¿ `´ˆ˜¯˘˙¨ ˚¸ ˝˛ˇ—                Æ ª    ŁØŒº     æ   ı  łøœß"
+SYMBOL_LOWER = "∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_ αβχδεφγηιϕκλμνοπθρστυϖωξψζ{|}∼"
+SYMBOL_UPPER = "ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…  ↵ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈   ∑           〉∫"
+#: The dingbats font follows Unicode's block from 33 and from 161 on, but for these codes.
+DINGBATS = {0x25: "☎", 0x2A: "☛", 0x2B: "☞", 0x48: "★", 0x6C: "●", 0x6E: "■", 0x73: "▲", 0x74: "▼", 0x75: "◆", 0x77: "◗", 0xA8: "♣", 0xA9: "♦", 0xAA: "♥", 0xAB: "♠", 0xD5: "→", 0xD6: "↔", 0xD7: "↕"}
 # Glyph names that no rule gives.
 GLYPHS = {
     "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’",
@@ -53,6 +70,15 @@ def glyph_text(name: str) -> str:
         return ""
 
 
+def placed(chars: str, first: int) -> dict[int, str]:
+    """Codes from the first on with their characters, blanks left out, ligatures as letters."""
+    return {first + i: unicodedata.normalize("NFKC", c) if c in "ﬁﬂ" else c for i, c in enumerate(chars) if c != " "}
+
+
+#: The standard encoding: ASCII with round quotes, and what stands above it.
+STANDARD = {c: chr(c) for c in range(32, 127)} | {39: "’", 96: "‘"} | placed(STANDARD_UPPER, 161)
+
+
 class CMap:
     """Codes to text, as a font's ToUnicode stream lists them."""
 
@@ -121,20 +147,48 @@ class Font:
         if self.kind == "Type3":
             matrix = get(info.get("FontMatrix"), [0.001])
             self.scale = abs(get(matrix[0])) or 0.001
-        elif not self.widths:
-            mono = "Courier" in str(info.get("BaseFont", ""))
-            self.widths = {32 + i: 600 if mono else w for i, w in enumerate(SANS_WIDTHS)}
-            self.default = 600 if mono else 556
-        self.read_encoding(pdf, info)
+        self.read_encoding(pdf, info, descriptor if isinstance(descriptor, dict) else {})
+        if self.kind != "Type3" and not self.widths:
+            self.standard_widths(str(info.get("BaseFont", "")))
         self.table = [(self.texts.get(c, "") if self.cmap is None or (t := self.cmap.get(c)) is None else t, self.widths.get(c, self.default) * self.scale, c == 32) for c in range(256)]
 
-    def read_encoding(self, pdf: Pdf, info: dict) -> None:
+    def standard_widths(self, name: str) -> None:
+        """Widths of the fonts that every reader has, by the letter under an accent."""
+        if "Courier" in name:
+            self.default = 600
+            return
+        serif = "Times" in name
+        table, self.default = (SERIF_WIDTHS, 500) if serif else (SANS_WIDTHS, 556)
+        factor = BOLD if "Bold" in name else 1.0
+        for code, text in self.texts.items():
+            base = unicodedata.normalize("NFD", text)[:1]
+            if base and 32 <= ord(base) <= 126:
+                self.widths[code] = table[ord(base) - 32] * factor
+
+    def built_in(self, pdf: Pdf, name: str, descriptor: dict) -> dict[int, str] | None:
+        """The encoding of a font that names none: its program's, or that of the standard font it is."""
+        if isinstance(program := pdf.get(descriptor.get("FontFile")), Stream):
+            found = {int(code): glyph_text(glyph.decode("latin-1")) for code, glyph in re.findall(rb"dup\s+(\d{1,3})\s*/(\S+)\s+put", pdf.data(program).partition(b"eexec")[0]) if int(code) < 256}
+            return found or None
+        if "Symbol" in name:
+            return placed(SYMBOL_LOWER, 34) | placed(SYMBOL_UPPER, 161) | {32: " ", 33: "!"}
+        if "Dingbats" in name:
+            rule = {c: chr(0x2701 + c - 0x21) for c in range(0x21, 0x7F)} | {c: chr(0x2761 + c - 0xA1) for c in range(0xA1, 0xFF) if c != 0xF0}
+            return rule | {c: chr(0x2460 + c - 0xAC) for c in range(0xAC, 0xB6)} | DINGBATS | {32: " "}
+        if self.kind in ("Type1", "MMType1") and not any(k in descriptor for k in ("FontFile2", "FontFile3")):
+            return STANDARD
+        return None
+
+    def read_encoding(self, pdf: Pdf, info: dict, descriptor: dict) -> None:
         encoding = pdf.get(info.get("Encoding"))
         base = encoding if isinstance(encoding, Name) else encoding.get("BaseEncoding") if isinstance(encoding, dict) else None
         codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
         self.texts = {i: bytes([i]).decode(codec, "replace") for i in range(256)}
-        if base in (None, "StandardEncoding"):
-            self.texts |= {39: "’", 96: "‘"} if base else {}
+        if base is None and (own := self.built_in(pdf, str(info.get("BaseFont", "")), descriptor)) is not None:
+            self.texts = own
+        elif base == "StandardEncoding":
+            self.texts = STANDARD
+        self.texts = dict(self.texts)
         if isinstance(encoding, dict):
             code = 0
             for x in pdf.get(encoding.get("Differences"), []):

@@ -386,6 +386,26 @@ CHARSET_TEXTS = {
 }
 
 
+def font_texts(info: str, shown: str, extra: list[bytes] = ()) -> str:
+    """Text of a page that shows a string in a font."""
+    content = f"BT /F1 10 Tf 1 0 0 1 50 700 Tm {shown} ET".encode("latin-1")
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [4 0 R] /Count 1 >>", f"<< /Type /Font {info} >>".encode(), b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 5 0 R /Resources << /Font << /F1 3 0 R >> >> >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content), *extra]
+    return parsed(g._pdf_file(objects), "a.pdf")["markdown"].partition("\n\n")[2].strip()
+
+
+def test_pdf_standard_fonts():
+    assert font_texts("/Subtype /Type1 /BaseFont /Times-Roman", "(`a\xae\xd0' \xfb) Tj") == "‘afi—’ ß"
+    assert font_texts("/Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding", "(\xfc') Tj") == "ü'"
+    assert font_texts("/Subtype /Type1 /BaseFont /Symbol", "(abS\xe5 \xa3) Tj") == "αβΣ∑ ≤"
+    assert font_texts("/Subtype /Type1 /BaseFont /ZapfDingbats", "(!H4\xac) Tj") == "✁★✔①"
+    program = b"/Encoding 256 array\ndup 1 /alpha put\ndup 2/Adieresis put\nreadonly def currentfile eexec junk"
+    assert font_texts("/Subtype /Type1 /BaseFont /Own /FontDescriptor << /FontFile 6 0 R >>", "<0102> Tj", [b"<< /Length %d >>\nstream\n%s\nendstream" % (len(program), program)]) == "αÄ"
+    # words meet by the font's own widths: "mm" is 15.56 wide in serif, 12 in typewriter
+    for font, width in (("Times-Roman", 15.56), ("Courier", 12.0), ("Helvetica", 16.66)):
+        assert font_texts(f"/Subtype /Type1 /BaseFont /{font}", f"(mm) Tj 1 0 0 1 {50 + width} 700 Tm (nn) Tj") == "mmnn"
+        assert font_texts(f"/Subtype /Type1 /BaseFont /{font}", f"(mm) Tj 1 0 0 1 {50 + width + 4} 700 Tm (nn) Tj") == "mm nn"
+
+
 def test_charsets(spark):
     rows = [(name, text, text.encode(name)) for name, texts in CHARSET_TEXTS.items() for text in texts]
     for name, text, data in rows:
