@@ -8,7 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkgrove.schema import SEARCH_TOP, SNIPPET
+from inkgrove.session import bounded_groups
 
+#: Rows of a group that becomes one row.
+MAX_GROUP = 10_000
 _EDGE = r"\A(?U)\s+|(?U)\s+\z"
 
 
@@ -122,11 +125,12 @@ def gfm_cell(text: Column) -> Column:
     return F.translate(F.replace(text, F.lit("|"), F.lit("\\|")), "\n\r\t", "   ")
 
 
-def concatenated(documents: DataFrame, group_col: str, name_col: str = "source", text_col: str = "markdown") -> DataFrame:
+def concatenated(documents: DataFrame, group_col: str, name_col: str = "source", text_col: str = "markdown", most: int = MAX_GROUP) -> DataFrame:
     """group, corpus: the documents of each group under their names, in order of name.
 
-    For bounded groups, such as the uploads of one question.
+    For the uploads of one question; a group of more than most rows is an error.
     """
+    documents = bounded_groups(documents, group_col, most)
     part = F.struct(F.col(name_col).alias("n"), F.concat(F.lit("# File: "), F.col(name_col), F.lit("\n\n"), F.col(text_col)).alias("t"))
     return documents.groupBy(group_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("corpus"))
 
@@ -145,12 +149,13 @@ def suspicious_text(text: Column) -> Column:
     return text.rlike("[\\x{FFFD}\\x00-\\x08\\x0E-\\x1B\\x7F-\\x84\\x86-\\x9F]") | (F.regexp_count(F.lower(text), F.lit("glyph<")) >= 2)
 
 
-def budget_fold(inputs: DataFrame, group_col: str, order_col: str, size_col: str, budget: int) -> DataFrame:
+def budget_fold(inputs: DataFrame, group_col: str, order_col: str, size_col: str, budget: int, most: int = MAX_GROUP) -> DataFrame:
     """group, order, size, accepted: inputs in order, each taken if it still fits.
 
     One that doesn't fit is left out and uses nothing, so this is a fold, not a running sum. For
-    bounded groups: the inputs of one request.
+    the inputs of one request; a group of more than most rows is an error.
     """
+    inputs = bounded_groups(inputs, group_col, most)
     step = lambda s, x: F.when(
         s["used"] + x["n"] <= budget, F.struct((s["used"] + x["n"]).alias("used"), F.concat(s["taken"], F.array(F.lit(True))).alias("taken"))
     ).otherwise(F.struct(s["used"].alias("used"), F.concat(s["taken"], F.array(F.lit(False))).alias("taken")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -66,20 +69,40 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only if unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our
+    own that goes with the session, if driver and executors are one process; None on a cluster."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            return None
         wanted = tempfile.mkdtemp(prefix="inkgrove-checkpoint-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     context.setCheckpointDir(wanted)
     return wanted
 
 
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    On a cluster that names none the rows are kept in the executors with their lineage instead, so
+    what is lost is computed again.
+    """
+    if ensure_checkpoint_dir(df.sparkSession) is None:
+        return df.persist()
     return df.checkpoint(eager)
+
+
+def bounded_groups(df: DataFrame, group_col: str, most: int) -> DataFrame:
+    """The same rows, after a look whether a group has more than most of them: it would be one row.
+
+    Groups are counted map-side first, so the look moves a count a group and task.
+    """
+    large = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("n").first()
+    if large is not None:
+        raise ValueError(f"a group of {group_col} has {large['n']} rows, more than {most}")
+    return df

@@ -441,6 +441,15 @@ def test_every_tier_of_a_set_of_quotes(spark):
     assert docs.select(evidence.located(docs.text, F.lit("x 12.5%"))["tier"].alias("t")).where("t = 'number'").count() == 2
 
 
+def test_groups_that_become_one_row_are_bounded(spark):
+    df = spark.range(30).selectExpr("cast(id % 2 as int) g", "id o", "id size", "'t' markdown", "cast(id as string) source")
+    assert corpus.concatenated(df, "g", most=15).count() == 2 and corpus.budget_fold(df, "g", "o", "size", 50, most=15).count() == 30
+    claims = df.selectExpr("g", "o", "'c' claim", "'supported' final_verdict")
+    for call in (lambda: corpus.concatenated(df, "g", most=14), lambda: corpus.budget_fold(df, "g", "o", "size", 50, most=14), lambda: evidence.trace(claims, "g", "o", most=14)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_gate(spark):
     rows = [(1, "supported", True), (2, "supported", None), (3, "unsupported", True), (4, "partial", True)]
     out = evidence.gated(spark.createDataFrame(rows, "k int, verdict string, located boolean"))
