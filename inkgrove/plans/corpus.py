@@ -36,7 +36,7 @@ def search_summary(spark, d):
 
 def corpus_metrics(spark, d):
     """Texts of the test items parsed as files: counts, warnings, chunks and bytes."""
-    items = table(spark, d, "eval_items").select("item_id", F.lit("a.txt").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit("a.txt").alias("source"), F.encode("text", "UTF-8").alias("content"))
     m = corpus.metrics(engine.parse(items, doc_id="item_id"))
     return m.select(*[F.col(c).cast("bigint").alias(c) if c != "formats" else F.col(c) for c in m.columns])
 
@@ -138,10 +138,12 @@ def entry_heads(spark, d):
 
 
 def media_links(spark, d):
-    """Links to embedded media in texts, and whether they are well formed."""
-    rows = [(1, "![a](grove://docx/part/word/media/a.png) ![a](grove://docx/part/word/media/a.png)"), (2, "grove://pdf/obj/7/0 and grove://pdf/page/3"), (3, "none"), (4, "grove://docx/part/ppt/media/a.png"), (5, "grove://pdf/obj/07/0 grove://pdf/page/0 grove://pptx/part/ppt/media/../a")]
-    df = spark.createDataFrame(rows, "id int, text string").select("id", F.explode(engine.media_links(F.col("text"))).alias("uri"))
-    return df.select("id", "uri", engine.valid_media_link(F.col("uri")).alias("valid"))
+    """Links to embedded media in texts made of every result's number, and whether they are well formed."""
+    n = F.col("parse_id").cast("string")
+    links = [("docx/part/word/media/a", n, ".png"), ("docx/part/word/media/a", n, ".png"), ("docx/part/ppt/media/a", n, ".png"), ("pptx/part/ppt/media/../a", n, ""), ("xlsx/part/xl/media/x/y-", n, ""), ("pdf/page/", n, ""), ("pdf/obj/0", n, "/0"), ("pdf/obj/7/", (F.col("parse_id") * 10).cast("string"), ""), ("pdf/obj/", (F.col("parse_id") * 1_000_000).cast("string"), "/0")]
+    text = F.concat_ws(" and ", *[F.concat(F.lit(f"![a](grove://{a}"), x, F.lit(f"{b})")) for a, x, b in links])
+    df = table(spark, d, "parse_results").select("parse_id", F.explode(engine.media_links(text)).alias("uri"))
+    return df.select("parse_id", "uri", engine.valid_media_link(F.col("uri")).alias("valid"))
 
 
 CAP = 1500
@@ -166,8 +168,9 @@ def budget_fold(spark, d):
 
 
 def locate_quotes(spark, d):
-    """First sentences of the test items, wherever they stand in the documents."""
-    quotes = table(spark, d, "eval_items").select(F.col("item_id").alias("quote_id"), F.regexp_extract("text", r"^[^.]*\.", 0).alias("quote")).where("length(quote) > 20")
+    """All sentences of the test items, wherever they stand in the documents."""
+    quotes = table(spark, d, "eval_items").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.]*\."), F.lit(0))).alias("n", "quote"))
+    quotes = quotes.select((F.col("item_id") * 1000 + F.col("n")).alias("quote_id"), "quote")
     return evidence.quote_hits(table(spark, d, "documents"), quotes)
 
 
@@ -205,9 +208,9 @@ def locate_orders(spark, d):
 
 
 def _claims(spark, d):
-    hits = locate_quotes(spark, d).select(F.col("quote_id").alias("item_id")).distinct().withColumn("located", F.lit(True))
+    hits = locate_quotes(spark, d).select(F.floor(F.col("quote_id") / 1000).alias("item_id")).distinct().withColumn("located", F.lit(True))
     verdict = F.element_at(F.array(F.lit("supported"), F.lit("partial"), F.lit("unsupported")), (F.col("item_id") % 3 + 1).cast("int"))
-    items = table(spark, d, "eval_items").select("item_id", F.coalesce("suite", F.lit("none")).alias("suite"), F.substring("text", 1, 30).alias("claim"), verdict.alias("verdict"))
+    items = table(spark, d, "eval_items").select("item_id", F.coalesce("suite", F.lit("none")).alias("suite"), F.col("text").alias("claim"), verdict.alias("verdict"))
     return evidence.gated(items.join(checked_broadcast(hits, 1_000_000), "item_id", "left"))
 
 
@@ -257,12 +260,13 @@ _COUNT = lambda text, term: f"((length(lower({text})) - length(replace(lower({te
 _SCORE = " + ".join(_COUNT("text", t) for t in QUESTION.split())
 _HITS = r"""
 WITH d AS (SELECT doc_id, text, regexp_replace(text, '%s+', '', 'g') AS f FROM documents WHERE text IS NOT NULL
-), q AS (SELECT item_id, trim(regexp_extract(text, '^[^.]*[.]'), ' ') AS q FROM eval_items WHERE length(regexp_extract(text, '^[^.]*[.]')) > 20
+), x AS (SELECT item_id, regexp_extract_all(text, '[^.]*[.]') AS qs FROM eval_items WHERE text IS NOT NULL
+), q AS (SELECT item_id * 1000 + unnest(range(len(qs))) AS item_id, regexp_replace(unnest(qs), '^%s+', '') AS q FROM x
 ), h AS (SELECT doc_id, item_id AS quote_id, CASE WHEN instr(text, q) > 0 THEN 'exact' ELSE 'whitespace' END AS tier, CASE WHEN instr(text, q) > 0 THEN (instr(text, q) - 1)::INTEGER END AS start
   FROM d JOIN q ON contains(f, regexp_replace(q, '%s+', '', 'g')))
-""" % (_WHITE, _WHITE)
+""" % (_WHITE, _WHITE, _WHITE)
 _GATE = _HITS + """, c AS (
-  SELECT item_id, coalesce(suite, 'none') AS suite, substr(text, 1, 30) AS claim, ['supported', 'partial', 'unsupported'][item_id % 3 + 1] AS verdict, item_id IN (SELECT quote_id FROM h) AS located FROM eval_items
+  SELECT item_id, coalesce(suite, 'none') AS suite, text AS claim, ['supported', 'partial', 'unsupported'][item_id % 3 + 1] AS verdict, item_id IN (SELECT quote_id // 1000 FROM h) AS located FROM eval_items
 ), gate AS (
   SELECT *, CASE WHEN verdict <> 'unsupported' AND located THEN verdict ELSE 'unsupported' END AS final_verdict, CASE WHEN verdict <> 'unsupported' AND located THEN 'quote' ELSE 'none' END AS evidence_kind,
     CASE WHEN verdict <> 'unsupported' AND located THEN NULL WHEN verdict <> 'unsupported' THEN 'the quote is not in the source' ELSE 'the source does not support it' END AS reason FROM c)
@@ -274,8 +278,8 @@ SELECT parse_id, unnest(range(len(parts)))::INTEGER AS index, md5(unnest(parts))
     "keyword_search": f"SELECT doc_id, source, ({_SCORE})::BIGINT AS score FROM documents WHERE {_SCORE} > 0 ORDER BY 3 DESC, source, doc_id LIMIT 24",
     "search_snippets": f"SELECT doc_id, {_COUNT('text', 'furnace')}::BIGINT AS score, substr(text, 1, 700) AS snippet FROM documents WHERE {_COUNT('text', 'furnace')} > 0 ORDER BY 2 DESC, source, doc_id LIMIT 8",
     "search_summary": f"SELECT count(*) AS hits, count(DISTINCT source) AS sources FROM documents WHERE {_SCORE} > 0",
-    "corpus_metrics": r"""
-SELECT count(text) AS ready, (count(*) - count(text))::BIGINT AS errors, 0::BIGINT AS warnings, 'text' AS formats, sum(len(list_filter(string_split_regex(text, '\n{2,}'), lambda x: trim(x) <> '')))::BIGINT AS chunks, sum(strlen(text))::BIGINT AS output_bytes FROM eval_items""",
+    "corpus_metrics": rf"""
+SELECT count(text) AS ready, (count(*) - count(text))::BIGINT AS errors, 0::BIGINT AS warnings, 'text' AS formats, sum(len(list_filter(string_split_regex(text, '\n{{2,}}'), lambda x: regexp_replace(x, '{_WHITE}+', '', 'g') <> '')))::BIGINT AS chunks, sum(strlen(text))::BIGINT AS output_bytes FROM documents""",
     "corpus_manifest": """
 SELECT repo || '/' || file_path || '.txt' AS source, CASE WHEN text IS NULL THEN 'error' ELSE 'ready' END AS status, CASE WHEN text IS NOT NULL THEN 'text' END AS format, strlen(text)::BIGINT AS input_bytes, strlen(text)::BIGINT AS output_bytes,
   CASE WHEN text IS NULL THEN 'parse_failed' END AS error FROM documents""",
@@ -309,8 +313,9 @@ SELECT r.parse_id, (list({'p': page_number} ORDER BY out_start, out_end, page_nu
 WITH h AS (SELECT entry_id, unnest(map_entries(headers)) AS h FROM table_entries), g AS (SELECT entry_id, string_agg(h.key, '|' ORDER BY h.value.column_index, h.key) AS head FROM h GROUP BY 1)
 SELECT entry_id, coalesce(head, '') AS head, cardinality(headers)::INTEGER AS n, truncated, row_range.first_row AS first_row, row_range.last_row AS last_row FROM table_entries LEFT JOIN g USING (entry_id)""",
     "media_links": """
-SELECT * FROM (VALUES (1, 'grove://docx/part/word/media/a.png', true), (2, 'grove://pdf/obj/7/0', true), (2, 'grove://pdf/page/3', true), (4, 'grove://docx/part/ppt/media/a.png', false), (5, 'grove://pdf/obj/07/0', false), (5, 'grove://pdf/page/0', false),
-  (5, 'grove://pptx/part/ppt/media/../a', false)) AS t(id, uri, valid)""",
+WITH l AS (SELECT parse_id, unnest(['grove://docx/part/word/media/a' || parse_id || '.png', 'grove://docx/part/ppt/media/a' || parse_id || '.png', 'grove://pptx/part/ppt/media/../a' || parse_id, 'grove://xlsx/part/xl/media/x/y-' || parse_id, 'grove://pdf/page/' || parse_id, 'grove://pdf/obj/0' || parse_id || '/0', 'grove://pdf/obj/7/' || (parse_id * 10), 'grove://pdf/obj/' || (parse_id * 1000000) || '/0']) AS uri,
+  unnest([true, false, false, true, parse_id > 0, false, parse_id * 10 < 65536, parse_id * 1000000 < 4294967296]) AS valid FROM parse_results)
+SELECT parse_id, uri, valid FROM l""",
     "markdown_cap": f"""
 WITH h AS (SELECT doc_id, text, coalesce({", ".join(f"try(decode(unhex(substr(hex(encode(text)), 1, {2 * (CAP - len(md.cut_notice(CAP).encode()) - j)}))))" for j in range(4))}) AS head FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(CASE WHEN strlen(text) <= {CAP} THEN text ELSE regexp_replace(CASE WHEN contains(head, chr(10)) THEN regexp_extract(head, '^.*\\n', 0, 's') ELSE head END, '{_WHITE}+$', '') || '{md.cut_notice(CAP)}' END) AS text_md5, true AS fits FROM h""",

@@ -12,7 +12,7 @@ from inkgrove import sinks
 from inkgrove.functions import markdown as md
 from inkgrove.operators import corpus, engine, evidence
 from inkgrove.options import ParseOptions
-from inkgrove.plans.parsing import CUSTOMER, _csv_files, _items, _rendered, built, files_of
+from inkgrove.plans.parsing import CUSTOMER, ITEMS, _csv_files, _items, _rendered, built, files_of
 from inkgrove.schema import ParseError
 from inkgrove.session import ship, spread
 from inkgrove.sources import generate as g
@@ -171,14 +171,15 @@ def pdf_fonts(spark, d):
     """Compressed pages in a two-byte font with its own characters: words by the map to Unicode."""
 
     def make(i, t):
-        letters = sorted(set(t[:400])) or ["x"]
+        letters = sorted(set(t))
         code = {c: k + 3 for k, c in enumerate(letters)}
         cmap = "begincmap\n%d beginbfchar\n%s\nendbfchar\nendcmap" % (len(code), "\n".join(f"<{k:04x}> <{c.encode('utf-16-be').hex()}>" for c, k in code.items()))
-        words, lines = t[:400].split(" "), []
+        words, lines = t.split(" "), []
+        height = 800 + 14 * (len(words) // 6)
         for k in range(0, len(words), 6):
             shown = "".join(f"{code[c]:04x}" for c in " ".join(words[k : k + 6]))
-            lines.append(f"BT /F2 8 Tf 1 0 0 1 40 {740 - 14 * (k // 6)} Tm <{shown}> Tj ET")
-        return g.pdf_objects(zlib.compress("\n".join(lines).encode()), cmap)
+            lines.append(f"BT /F2 8 Tf 1 0 0 1 40 {height - 52 - 14 * (k // 6)} Tm <{shown}> Tj ET")
+        return g.pdf_objects(zlib.compress("\n".join(lines).encode()), cmap, height)
 
     parsed = _rendered(spark, d, make, "a.pdf")
     return parsed.select(F.col("doc_id").cast("bigint").alias("item_id"), F.regexp_replace(F.regexp_replace("markdown", r"\A## Page 1\s+", ""), r"\s+", "").alias("letters"))
@@ -341,9 +342,9 @@ WITH n AS (SELECT unnest([doc_format, upper(doc_format), doc_format || 'x']) AS
 SELECT name, CASE WHEN lower(name) IN ('html', 'pdf', 'docx', 'markdown', 'epub', 'text', 'pptx', 'ipynb', 'xlsx', 'csv') THEN lower(name) ELSE 'unsupported_format' END AS outcome FROM n""",
     "image_types": "SELECT c_custkey, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/svg+xml', 'application/octet-stream'][c_custkey % 6 + 1] AS kind FROM customer",
     "markdown_verbatim": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'url' END AS format, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
-    "html_blocks": r"SELECT item_id, concat_ws(chr(10), 'Item ' || item_id, '', '- one', '', '- two', '', '1. a', '', '2. b', '', '![p](https://site.example/i.png)[image: d]', '', '> said', '', '```', ' x', '  y', '```', '') AS markdown FROM eval_items",
-    "docx_marks": r"SELECT item_id, concat_ws(chr(10), '1. first', '', '  - inner', '', '2. second', '', 'plain **strong** ***both*** *slant* [site](https://example.com/x) end[^2]', '', '| a<br>b | ' || item_id || ' |', '| --- | --- |', '', '[^2]: Note ' || item_id, '') AS markdown FROM eval_items",
-    "pdf_fonts": r"SELECT item_id, regexp_replace(substr(text, 1, 400), '\s+', '', 'g') AS letters FROM eval_items",
+    "html_blocks": r"SELECT item_id, concat_ws(chr(10), 'Item ' || item_id, '', '- one', '', '- two', '', '1. a', '', '2. b', '', '![p](https://site.example/i.png)[image: d]', '', '> said', '', '```', ' x', '  y', '```', '') AS markdown FROM " + ITEMS,
+    "docx_marks": r"SELECT item_id, concat_ws(chr(10), '1. first', '', '  - inner', '', '2. second', '', 'plain **strong** ***both*** *slant* [site](https://example.com/x) end[^2]', '', '| a<br>b | ' || item_id || ' |', '| --- | --- |', '', '[^2]: Note ' || item_id, '') AS markdown FROM " + ITEMS,
+    "pdf_fonts": r"SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS letters FROM " + ITEMS,
     "pdf_pictures": """
 SELECT n_nationkey, 'png' AS kind, 2 AS width, 2 AS height FROM nation, range(3) t(i) WHERE n_nationkey % 2 = 0 AND i <= n_nationkey % 3
 UNION ALL SELECT n_nationkey, 'svg', NULL, NULL FROM nation WHERE n_nationkey % 2 = 1""",
@@ -362,17 +363,17 @@ ORDER BY source, doc_id::VARCHAR LIMIT 20""",
     "agent_bodies": f"""
 WITH h AS (SELECT doc_id, text, coalesce({", ".join(f"try(decode(unhex(substr(hex(encode(text)), 1, {2 * (500 - j)}))))" for j in range(4))}) AS head FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(CASE WHEN strlen(text) > 500 THEN head || chr(10) || '[cut]' ELSE text END || chr(10) || '---' || chr(10) || 'format: markdown' || chr(10) || 'pages: -') AS body_md5 FROM h""",
-    "relinked_media": "SELECT item_id, md5(coalesce(text, '') || ' ![a](/m?u=grove%3A%2F%2Fpdf/obj/' || item_id || '/0) [b](https://x.example/y)') AS text_md5 FROM eval_items",
+    "relinked_media": "SELECT item_id, md5(coalesce(text, '') || ' ![a](/m?u=grove%3A%2F%2Fpdf/obj/' || item_id || '/0) [b](https://x.example/y)') AS text_md5 FROM " + ITEMS,
     "extracted_texts": """
-SELECT 'i' || item_id AS name, md5(coalesce(text, '')) AS text_md5 FROM eval_items
+SELECT 'i' || item_id AS name, md5(coalesce(text, '')) AS text_md5 FROM """ + ITEMS + """
 UNION ALL SELECT name, md5('# ' || name || chr(10) || string_agg('{"n_name":"' || n_name || '","n_nationkey":"' || n_nationkey || '"}', chr(10) ORDER BY n_nationkey)) FROM (SELECT 'nation-' || (n_nationkey // 5) || '.csv' AS name, * FROM nation) GROUP BY name""",
     "ready_sources": "SELECT doc_id, CASE WHEN text IS NULL THEN 'parse_failed' WHEN strlen(text) > 3000 THEN 'parse_budget_exceeded' ELSE 'ready' END AS code FROM documents",
-    "token_counts": "SELECT item_id, len(string_split(coalesce(text, ''), ' '))::BIGINT AS tokens FROM eval_items",
+    "token_counts": "SELECT item_id, len(string_split(coalesce(text, ''), ' '))::BIGINT AS tokens FROM " + ITEMS,
     "claims_rechecked": """
 WITH c AS (SELECT o_orderkey, ['supported', 'partial', 'unsupported'][o_orderkey // 100 % 3 + 1] AS verdict, o_custkey % 2 = 0 AS located, o_custkey % 3 = 0 AND o_custkey % 6 <> 3 AS again FROM orders WHERE o_orderkey % 100 = 0)
 SELECT o_orderkey, verdict, CASE WHEN verdict = 'unsupported' THEN 'unsupported' WHEN located THEN verdict WHEN again THEN 'partial' ELSE 'unsupported' END AS final_verdict, CASE WHEN verdict <> 'unsupported' AND (located OR again) THEN 'quote' ELSE 'none' END AS evidence_kind FROM c""",
     "answers_json": "SELECT o_orderkey, o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderkey % 100 = 0",
     "sql_functions": r"""
-WITH t AS (SELECT item_id, coalesce(text, '') AS text FROM eval_items), c AS (SELECT *, unnest(range(len(list_filter(string_split_regex(text || chr(10) || chr(10) || item_id, '\n{2,}'), lambda x: trim(x) <> ''))))::INTEGER AS index FROM t)
+WITH t AS (SELECT item_id, text FROM """ + ITEMS + r"""), c AS (SELECT *, unnest(range(len(list_filter(string_split_regex(text || chr(10) || chr(10) || item_id, '\n{2,}'), lambda x: trim(x) <> ''))))::INTEGER AS index FROM t)
 SELECT item_id, 'markdown' AS format, md5(text) AS text_md5, 'https://a.example/b/d' || item_id AS address, nullif(instr(text, trim(substr(text, 3, 20))), 0)::INTEGER - 1 AS start, md5(text) AS markdown_md5, index FROM c""",
 }

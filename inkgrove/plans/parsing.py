@@ -111,8 +111,14 @@ def xlsx_header_detection(spark, d):
 
 
 def _items(spark, d):
+    """item_id, text: the words of every document that has some, as no format has marks for them."""
     ship(spark)
-    return table(spark, d, "eval_items").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 .,]+", " "), " +", " "))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), words.alias("text")).where("text <> ''")
+
+
+#: The same in SQL.
+ITEMS = "(SELECT doc_id AS item_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]+', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents WHERE trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]+', ' ', 'g'), ' +', ' ', 'g')) <> '')"
 
 
 def _rendered(spark, d, make, source: str, **options) -> DataFrame:
@@ -156,7 +162,7 @@ def pdf_render(spark, d):
     def make(i, t):
         words = t.split()
         lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
-        return g.pdf([[(50, 60 + 12 * k, x) for k, x in enumerate(lines)], [(50, 60, f"Item {i}")]])
+        return g.pdf([[(50, 60 + 12 * k, x) for k, x in enumerate(lines)], [(50, 60, f"Item {i}")]], height=792 + 12 * len(lines))
 
     parsed = _rendered(spark, d, make, "i.pdf", provenance="page")
     return engine.pages(parsed).select(F.col("doc_id").cast("bigint").alias("item_id"), "page", F.regexp_replace("text", r"\s+", " ").alias("words"))
@@ -276,7 +282,7 @@ QUERIES = {
 
 _CELLS = "SELECT file_no, row_no, unnest(h) AS header, unnest(v) AS value FROM rows"
 _PARTS = "SELECT (p_partkey // 500)::BIGINT AS file_no, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey, p_name, p_brand) + 1 AS row_no, p_partkey::VARCHAR AS k, p_name, p_brand FROM part"
-_ITEM = "WITH i AS (SELECT item_id, coalesce(text, '') AS t FROM eval_items) "
+_ITEM = f"WITH i AS (SELECT item_id, text AS t FROM {ITEMS}) "
 SQL = {
     "csv_round_trip": """
 WITH rows AS (SELECT (c_custkey // 500)::BIGINT AS file_no, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) + 1 AS row_no,

@@ -140,7 +140,7 @@ def notebook(cells: list[tuple[str, str]], language: str = "python") -> bytes:
     return json.dumps({"nbformat": 4, "metadata": {"kernelspec": {"language": language}}, "cells": rows}).encode()
 
 
-def pdf(pages: list[list[tuple[float, float, str]]], extra: dict[int, str] | None = None, images: int = 0) -> bytes:
+def pdf(pages: list[list[tuple[float, float, str]]], extra: dict[int, str] | None = None, images: int = 0, height: int = 792) -> bytes:
     """PDF of pages, each with (x, y from the top, text) in a 10 point sans-serif font.
 
     extra adds raw content to a page (from 0); images places so many 2 x 2 pictures on the first one.
@@ -153,20 +153,20 @@ def pdf(pages: list[list[tuple[float, float, str]]], extra: dict[int, str] | Non
     kids = []
     for i, lines in enumerate(pages):
         body = "".join(
-            "BT /F1 10 Tf 1 0 0 1 {:g} {:g} Tm ({}) Tj ET\n".format(x, 792 - y, t.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)")) for x, y, t in lines
+            "BT /F1 10 Tf 1 0 0 1 {:g} {:g} Tm ({}) Tj ET\n".format(x, height - y, t.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)")) for x, y, t in lines
         )
         if i == 0:
             body += "".join(f"q 20 0 0 20 500 {700 - 30 * k} cm /Im{k} Do Q\n" for k in range(images))
         raw = (body + (extra or {}).get(i, "")).encode("cp1252", "replace")
         objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(raw), raw))
         content = len(objects)
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents {content} 0 R /Resources << /Font << /F1 3 0 R >> /XObject << {names}>> >> >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 {height}] /Contents {content} 0 R /Resources << /Font << /F1 3 0 R >> /XObject << {names}>> >> >>".encode())
         kids.append(f"{len(objects)} 0 R")
     objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
     return _pdf_file(objects)
 
 
-def pdf_objects(content: bytes, cmap: str) -> bytes:
+def pdf_objects(content: bytes, cmap: str, height: int = 792) -> bytes:
     """PDF of one page of compressed content, whose font F2 has two-byte codes that cmap gives as characters."""
     objects = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
@@ -174,7 +174,7 @@ def pdf_objects(content: bytes, cmap: str) -> bytes:
         b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /DescendantFonts [7 0 R] /ToUnicode 4 0 R >>",
         b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap.encode()),
         b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(content), content),
-        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 5 0 R /Resources << /Font << /F2 3 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 %d] /Contents 5 0 R /Resources << /Font << /F2 3 0 R >> >> >>" % height,
         b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /X /DW 500 /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> >>",
     ]
     return _pdf_file(objects)
