@@ -90,7 +90,11 @@ def main(args: list[str] | None = None) -> int:
     for n, error in failed:
         print(json.dumps({"source": n, "error": error}), file=sys.stderr)
     if a.provenance and len(rows) == 1:
-        print(json.dumps({k: rows[0][k] for k in ("source", "format", "markdown", "provenance")}, ensure_ascii=False, indent=2))
+        text = json.dumps({k: rows[0][k] for k in ("source", "format", "markdown", "provenance")}, ensure_ascii=False, indent=2)
+        if len(text.encode()) >= most:
+            print(f"error: the result is over {most} bytes; raise --max-output-kib or take fewer pages", file=sys.stderr)
+            return 1
+        print(text)
     elif rows and all(r["kind"] == "tables" for r in rows):
         tables = [{k: v for k, v in t.items() if v is not None and k != "row_numbers"} for r in rows for t in r["tables"]]
         print(capped_tables(tables, most)[0])

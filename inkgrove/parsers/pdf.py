@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import struct
-import unicodedata
 import zlib
 from xml.sax.saxutils import escape
 
@@ -16,9 +16,12 @@ from inkgrove.schema import SCHEME, VECTOR_CURVES, ParseError
 PICTURE_FILTERS = {"DCTDecode": "image/jpeg", "DCT": "image/jpeg", "JPXDecode": "image/jp2"}
 
 
+_ODD = re.compile("[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x84\\x86-\\x9f\\ufffd]")
+
+
 def suspicious(text: str) -> bool:
     """Marks of an unreliable text layer: replacement or control characters, or raw glyph names."""
-    if any(c == "�" or (unicodedata.category(c) == "Cc" and not c.isspace()) for c in text):
+    if _ODD.search(text):
         return True
     return text.lower().count("glyph<") >= 2
 
@@ -147,8 +150,10 @@ def page_svg(pdf: Pdf, number: int, max_work: int | None = None) -> bytes:
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{page.width:g}" height="{page.height:g}" viewBox="0 0 {page.width:g} {page.height:g}">']
     for how, path in page.paths:
         out.append(f'<path d="{path}" fill="{"#dddddd" if how == "fill" else "none"}" stroke="#333333"/>')
-    for text, x, y, size in page.glyphs:
-        if text.strip():
-            out.append(f'<text x="{x:.2f}" y="{y:.2f}" font-size="{size:.2f}">{escape(text)}</text>')
+    for texts, advances, x, y, size in page.glyphs:
+        for text, advance in zip(texts, advances):
+            if text.strip():
+                out.append(f'<text x="{x:.2f}" y="{y:.2f}" font-size="{size:.2f}">{escape(text)}</text>')
+            x += advance * size
     out.append("</svg>")
     return "\n".join(out).encode()

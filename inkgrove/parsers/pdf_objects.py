@@ -179,6 +179,8 @@ class Pdf:
         self.objects: dict[int, object] = {}
         self.trailers: list[dict] = []
         self.decoded: dict[int, bytes] = {}
+        #: Fonts that pages have read, by the identity of their dictionaries.
+        self.fonts: dict = {}
         at, generations = 0, {}
         for m in iter(lambda: _OBJECT.search(data, at), None):
             lexer = Lexer(data, m.end())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from inkgrove.parsers.pdf_objects import END, Lexer, Name, Pdf, Ref, Stream, Word
 from inkgrove.schema import ParseError
@@ -79,6 +80,16 @@ def placed(chars: str, first: int) -> dict[int, str]:
 STANDARD = {c: chr(c) for c in range(32, 127)} | {39: "’", 96: "‘"} | placed(STANDARD_UPPER, 161)
 
 
+CODES = {codec: {i: bytes([i]).decode(codec, "replace") for i in range(256)} for codec in ("cp1252", "mac_roman")}
+
+
+@lru_cache(maxsize=10_000)
+def base_letter(text: str) -> int:
+    """Code of the letter under an accent, 0 if it isn't ASCII."""
+    base = unicodedata.normalize("NFD", text)[:1]
+    return ord(base) if base and 32 <= ord(base) <= 126 else 0
+
+
 class CMap:
     """Codes to text, as a font's ToUnicode stream lists them."""
 
@@ -161,9 +172,8 @@ class Font:
         table, self.default = (SERIF_WIDTHS, 500) if serif else (SANS_WIDTHS, 556)
         factor = BOLD if "Bold" in name else 1.0
         for code, text in self.texts.items():
-            base = unicodedata.normalize("NFD", text)[:1]
-            if base and 32 <= ord(base) <= 126:
-                self.widths[code] = table[ord(base) - 32] * factor
+            if base := base_letter(text):
+                self.widths[code] = table[base - 32] * factor
 
     def built_in(self, pdf: Pdf, name: str, descriptor: dict) -> dict[int, str] | None:
         """The encoding of a font that names none: its program's, or that of the standard font it is."""
@@ -182,8 +192,7 @@ class Font:
     def read_encoding(self, pdf: Pdf, info: dict, descriptor: dict) -> None:
         encoding = pdf.get(info.get("Encoding"))
         base = encoding if isinstance(encoding, Name) else encoding.get("BaseEncoding") if isinstance(encoding, dict) else None
-        codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
-        self.texts = {i: bytes([i]).decode(codec, "replace") for i in range(256)}
+        self.texts = CODES["mac_roman" if base == "MacRomanEncoding" else "cp1252"]
         if base is None and (own := self.built_in(pdf, str(info.get("BaseFont", "")), descriptor)) is not None:
             self.texts = own
         elif base == "StandardEncoding":
@@ -251,7 +260,8 @@ class PageText:
     height: float
     flat: list[str] = field(default_factory=list)
     spans: list[Span] = field(default_factory=list)
-    glyphs: list[tuple[str, float, float, float]] = field(default_factory=list)
+    #: Runs of glyphs along a line: texts, advances, place of the first one, size.
+    glyphs: list[tuple[list[str], list[float], float, float, float]] = field(default_factory=list)
     paths: list[tuple[str, str]] = field(default_factory=list)
     images: list[Ref] = field(default_factory=list)
     curves: int = 0
@@ -292,7 +302,8 @@ class Interpreter:
         self.pdf, self.work = pdf, work
         self.low = (min(box[0], box[2]), min(box[1], box[3]))
         self.out = PageText(abs(box[2] - box[0]), abs(box[3] - box[1]))
-        self.fonts: dict[int, Font] = {}
+        #: Fonts of the whole file by the identity of their dictionaries, which the file keeps.
+        self.fonts: dict[int, tuple[dict, Font]] = pdf.fonts
         self.last_x = self.last_y = 0.0
         self.span: Span | None = None
         self.parts: list[str] = []
@@ -386,9 +397,9 @@ class Interpreter:
         info = self.pdf.get(ref)
         if not isinstance(info, dict):
             return None
-        if id(info) not in self.fonts:
-            self.fonts[id(info)] = Font(self.pdf, info)
-        return self.fonts[id(info)]
+        if id(info) not in self.fonts:  # with the dictionary, whose identity then stays its own
+            self.fonts[id(info)] = (info, Font(self.pdf, info))
+        return self.fonts[id(info)][1]
 
     def extend(self, path: list, op: bytes, num: list, ctm: tuple) -> None:
         at = lambda x, y: (x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5])
@@ -454,27 +465,48 @@ class Interpreter:
             clip = (clip[0] - size - self.low[0], self.out.height - (clip[3] + size - self.low[1]), clip[2] + size - self.low[0], self.out.height - (clip[1] - size - self.low[1]))
         moved, first = 0.0, True
         flat, glyphs = self.out.flat, self.out.glyphs
+        if clip is None and not font.wide and len(data) > 1 and not (state.char or state.word or step_y) and abs(state.size * state.scale * step_x - size) < 1e-9 * size:
+            shown = [font.table[c] for c in data]
+            texts = [t for t, _, _ in shown]
+            if all(texts):
+                # every glyph begins where the one before ends, so only the first can begin a line or a word
+                advances = [a for _, a, _ in shown]
+                self.begin(at_x, at_y, size)
+                flat.extend(texts)
+                glyphs.append((texts, advances, at_x, at_y, size))
+                moved = sum(advances)
+                end = at_x + moved * size
+                self.extend_span(texts[0], at_x, at_y, at_x + advances[0] * size, size)
+                self.parts.extend(texts[1:])
+                self.span.x1 = max(self.span.x1, end)
+                self.last_x, self.last_y, self.span_x = end, at_y, end
+                moved *= state.size * state.scale
+                return (*matrix[:4], matrix[4] + moved * matrix[0], matrix[5] + moved * matrix[1])
         for text, advance, blank in font.glyphs(data):
             if text:
                 x, y = at_x + moved * step_x, at_y - moved * step_y
                 if clip is None or (clip[0] <= x <= clip[2] and clip[1] <= y <= clip[3]):
                     end = x + advance * size
                     if first:
-                        down = abs(y - self.last_y)
-                        if down > 1.5 * size:
-                            flat.append("\n")
-                        if x < self.last_x and down > 0.5 * size:
-                            flat.append("\n")
-                        if x > self.last_x + 0.1 * size:
-                            flat.append(" ")
+                        self.begin(x, y, size)
                         first = False
                     flat.append(text)
-                    glyphs.append((text, x, y, size))
+                    glyphs.append(([text], [advance], x, y, size))
                     self.last_x, self.last_y = end, y
                     self.extend_span(text, x, y, end, size)
             moved += (advance * state.size + state.char + (state.word if blank else 0)) * state.scale
         return (*matrix[:4], matrix[4] + moved * matrix[0], matrix[5] + moved * matrix[1])
 
+    def begin(self, x: float, y: float, size: float) -> None:
+        """Line breaks and a blank in front of a string, by its place behind the one before."""
+        down = abs(y - self.last_y)
+        if down > 1.5 * size:
+            self.out.flat.append("\n")
+        if x < self.last_x and down > 0.5 * size:
+            self.out.flat.append("\n")
+        if x > self.last_x + 0.1 * size:
+            self.out.flat.append(" ")
+
     def extend_span(self, text: str, x: float, y: float, end: float, size: float) -> None:
         """Adds a glyph to the open span, or begins another after a jump."""
         s = self.span

@@ -343,6 +343,9 @@ def test_command_line(tmp_path):
     assert code == 0 and len(out.encode()) <= 1024 and "[!WARNING]" in out and "[!CAUTION]" in out
     assert cli(str(tmp_path / "none.md"))[0] == 1 and cli("-", "--format", "markdown", stdin=b"# In")[1] == "# In\n"
     (tmp_path / "p.pdf").write_bytes(g.pdf([[(50, 60, x)] for x in ("one", "two", "three")]))
+    assert json.loads(cli("--provenance", "page", str(tmp_path / "p.pdf"))[1])["provenance"][2]["page_number"] == 3
+    (tmp_path / "long.pdf").write_bytes(g.pdf([[(50, 60, "x" * 900)] for _ in range(3)]))
+    assert cli("--provenance", "page", "--max-output-kib", "1", str(tmp_path / "long.pdf"))[:2] == (1, "")
     code, out, err = cli("--pages", "2,2", str(tmp_path / "p.pdf"))
     assert code == 0 and "two" in out and "these are about 1 of" in err
 
