@@ -28,6 +28,10 @@ WORDS = 13
 MAX_ITEM_CHARS = 24 << 20
 
 
+#: No block. Blocks that come more often than this in an item are followed only outside of the passages
+#: that are found: an item of one word again and again would meet itself everywhere. No affected item
+#: is lost by it; of such an item a passage may end up to a block early.
+NONE, REPEATS = (1 << 32) - 1, 8
 #: The two symbols of a word's number; few letters a place keep the automaton's nodes narrow.
 CODES = [chr(0x4000 + (n >> 8)) + chr(0x5000 + (n & 255)) for n in range(1 << 16)]
 NO_CODE = "\u3000\u3000"
@@ -49,8 +53,12 @@ class LeakFinder:
         self.ids: dict[str, int] = {}
         # all items' words one after another, a 0 around each
         self.flat = array("I", [0])
-        #: Of each block: its item, its place in flat, and the next block of the same words (or itself).
+        #: Of each block: its item, its place in flat, and the next block of the same words (or NONE).
         self.item, self.place, self.same = array("I"), array("Q"), array("I")
+        #: Of the first block of its words in an item: how many there are, and the first one of the next item.
+        self.times, self.jump = array("I"), array("I")
+        #: Of each wording: its first block, its last one, and the first one of the last item.
+        first, last, own_first = array("I"), array("I"), array("I")
         self.items = []
         for key, text in items:
             own = word_list(text or "")
@@ -61,12 +69,27 @@ class LeakFinder:
             self.flat.append(0)
             for at in range(start, start + len(own) - self.block + 1, self.block):
                 n, block = len(self.place), "".join([CODES[x & 0xFFFF] for x in self.flat[at : at + self.block]])
-                known = self.automaton.get(block, n)
-                self.automaton.add_word(block, n)
+                wording = self.automaton.get(block, len(first))
                 self.item.append(len(self.items))
                 self.place.append(at)
-                self.same.append(known)
+                self.same.append(NONE)
+                self.times.append(1)
+                self.jump.append(NONE)
+                if wording == len(first):
+                    self.automaton.add_word(block, wording)
+                    first.append(n)
+                    last.append(n)
+                    own_first.append(n)
+                    continue
+                self.same[last[wording]] = n
+                last[wording] = n
+                if self.item[own_first[wording]] == len(self.items):
+                    self.times[own_first[wording]] += 1
+                else:
+                    self.jump[own_first[wording]] = n
+                    own_first[wording] = n
             self.items.append(key)
+        self.first = first
         self.unknown = len(self.ids) + 1
         self.codes = {w: CODES[k & 0xFFFF] for w, k in self.ids.items()}
         self.empty = not self.items
@@ -86,25 +109,29 @@ class LeakFinder:
             return []
         ids, unknown = self.ids, self.unknown
         own = array("I", [ids.get(w, unknown) for w in listed])
-        n, flat, ends, runs = len(own), self.flat, {}, []
-        for last, k in hits:
+        n, flat, ends, runs, covered = len(own), self.flat, {}, [], {}
+        for last, wording in hits:
             end = last // 2 + 1
             at = end - self.block
-            while True:
-                place = self.place[k]
-                # a run of agreeing words is followed once, whatever number of its blocks is hit
-                if ends.get(at - place, 0) <= at and own[at:end] == flat[place : place + self.block]:
-                    a, b, i, j = at, end, place - 1, place + self.block
-                    while a and own[a - 1] == flat[i]:
-                        a, i = a - 1, i - 1
-                    while b < n and own[b] == flat[j]:
-                        b, j = b + 1, j + 1
-                    ends[at - place] = b
-                    if b - a >= self.words:
-                        runs.append((self.item[k], a, b))
-                if self.same[k] == k:
-                    break
-                k = self.same[k]
+            head = self.first[wording]
+            while head != NONE:
+                item, k = self.item[head], head
+                many = self.times[head] > REPEATS
+                while k != NONE and self.item[k] == item and not (many and covered.get(item, 0) >= end):
+                    place = self.place[k]
+                    # a run of agreeing words is followed once, whatever number of its blocks is hit
+                    if ends.get(at - place, 0) <= at and own[at:end] == flat[place : place + self.block]:
+                        a, b, i, j = at, end, place - 1, place + self.block
+                        while a and own[a - 1] == flat[i]:
+                            a, i = a - 1, i - 1
+                        while b < n and own[b] == flat[j]:
+                            b, j = b + 1, j + 1
+                        ends[at - place] = b
+                        if b - a >= self.words:
+                            runs.append((item, a, b))
+                            covered[item] = max(covered.get(item, 0), b)
+                    k = self.same[k]
+                head = self.jump[head]
         if not runs:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
@@ -125,7 +152,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS,
 
     A passage is at least `words` consecutive words of an item that stand in the text consecutively
     and in order; case and what stands between words don't count. Shorter items and null or blank
-    texts can't leak; repeated items are reported each under its own id, repeated documents too;
+    texts can't leak; equal items are reported each under its own id, an id's texts together, and
+    repeated documents each;
     an empty side gives no rows. Items are a stated set: their size is summed first, and what is
     over MAX_ITEM_CHARS is searched in parts of about that size, so what is shared is bounded by it
     and the largest item. The corpus is read in one pass a part, without a shuffle.
@@ -136,7 +164,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS,
     parts = -(-size // MAX_ITEM_CHARS)
     if parts <= 1:
         return _passages(documents, items, words, id_col, text_col)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))  # all texts of an id together
     found = [_passages(documents, items.where(part == k), words, id_col, text_col) for k in range(parts)]
     whole = found[0]
     for x in found[1:]:
@@ -170,12 +198,11 @@ def _passages(documents: DataFrame, items: DataFrame, words: int, id_col: str, t
         for b in batches:
             at, found = [], []
             for i, text in enumerate(b["text"].to_pylist()):
-                nth, last = 0, None
-                for item, first, end in finder.find(text):
-                    nth = nth + 1 if item == last else 0
-                    last = item
+                seen: dict = {}
+                for item, first, end in dict.fromkeys(finder.find(text)):  # an id may have the same text twice
                     at.append(i)
-                    found.append((item, first, end, nth))
+                    found.append((item, first, end, seen.setdefault(item, 0)))
+                    seen[item] += 1
             if found:
                 cols = [pa.array(c, schema.field(k + 1).type) for k, c in enumerate(zip(*found))]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at)), *cols], schema=schema)
