@@ -29,8 +29,8 @@ def as_bytes(text: Column) -> Column:
 
 
 def as_text(data: Column) -> Column:
-    """The text of such a string."""
-    return F.decode(F.encode(data, "ISO-8859-1"), "UTF-8")
+    """The text of such a string; a part of a character (a span or a limit may cut one) is U+FFFD."""
+    return F.make_valid_utf8(F.encode(data, "ISO-8859-1").cast("string"))
 
 
 def cut_pattern(most: Column, overlap: Column) -> Column:
