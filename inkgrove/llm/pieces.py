@@ -15,6 +15,8 @@ from inkgrove.session import checked_broadcast
 
 #: Limits are one row a format.
 MAX_LIMIT_ROWS = 1000
+#: Bytes of the longest character; a smaller limit couldn't be kept between characters and counts as none.
+LEAST_LIMIT = 4
 #: Full stop, exclamation and question mark of CJK text, as the bytes of their UTF-8 form in Latin-1.
 CJK_STOPS = ("ã\u0080\u0082", "ï¼\u0081", "ï¼\u009f")
 _STOP = "(?:" + "|".join(CJK_STOPS) + ")"
@@ -29,8 +31,8 @@ def as_bytes(text: Column) -> Column:
 
 
 def as_text(data: Column) -> Column:
-    """The text of such a string; a part of a character (a span or a limit may cut one) is U+FFFD."""
-    return F.make_valid_utf8(F.encode(data, "ISO-8859-1").cast("string"))
+    """The text of bytes; a part of a character (a span may cut one) is U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def cut_pattern(most: Column, overlap: Column) -> Column:
@@ -66,7 +68,7 @@ def items_of(results: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFra
     and is encoded once, whatever their number. An overlap over half of the limit counts as half.
     """
     text = results.select("parse_id", "doc_format", "markdown").where("markdown is not null")
-    limits = checked_broadcast(limits.select("doc_format", "max_bytes", "overlap_bytes").where("max_bytes is not null").dropDuplicates(["doc_format"]), MAX_LIMIT_ROWS)
+    limits = checked_broadcast(limits.select("doc_format", "max_bytes", "overlap_bytes").where(F.col("max_bytes") >= LEAST_LIMIT).dropDuplicates(["doc_format"]), MAX_LIMIT_ROWS)
     large = text.join(limits, "doc_format").where(F.octet_length("markdown") > F.col("max_bytes"))
     span = F.struct(F.coalesce("span_no", F.lit(-2)).alias("span_no"), "out_start", "out_end")
     both = large.join(spans.groupBy("parse_id").agg(F.collect_set(span).alias("spans")), "parse_id", "left")
@@ -113,9 +115,10 @@ def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) ->
     """
     starts = F.aggregate("cores", F.array(F.lit(0)), lambda at, core: F.concat(at, F.array(F.element_at(at, -1) + F.length(core))))
     parts = F.arrays_zip(starts.alias("start"), F.transform("cores", F.length).alias("size"), F.col("hard").alias("hard"))
-    cut = cut_items(items_of(results, spans, limits)).select("parse_id", "span_no", "item", "max_bytes", "overlap_bytes", F.posexplode(parts).alias("piece_no", "cut")).where("cut.size is not null")
+    cut = cut_items(items_of(results, spans, limits)).select("parse_id", "span_no", F.encode("item", "ISO-8859-1").alias("data"), "max_bytes", "overlap_bytes", F.posexplode(parts).alias("piece_no", "cut")).where("cut.size is not null")
     room = F.least("overlap_bytes", F.col("max_bytes") - F.col("cut.size"), F.col("cut.start"))
-    cut = cut.withColumn("back", F.substring("item", F.col("cut.start") - room + 1, room))
+    # of bytes, a part is found by its place; of a string, by reading all that is in front of it
+    cut = cut.withColumn("back", F.decode(F.substring("data", F.col("cut.start") - room + 1, room), "ISO-8859-1"))
     # the first natural boundary in the lookback, else its first whole character
     tail = F.regexp_extract("back", rf"\A[\s\S]*?(?:(?<={_BLANK})(?!{_BLANK})|(?<={_STOP}))([\s\S]+)\z", 1)
     whole = F.regexp_extract("back", r"\A[\u0080-¿]*([\s\S]*)\z", 1)
@@ -129,7 +132,7 @@ def split_oversized(results: DataFrame, spans: DataFrame, limits: DataFrame) ->
         (F.col("cut.size") + size).alias("size"),
         size.alias("shared"),
         F.col("cut.hard").alias("hard"),
-        as_text(F.substring("item", F.col("cut.start") - size + 1, F.col("cut.size") + size)).alias("piece"),
+        as_text(F.substring("data", F.col("cut.start") - size + 1, F.col("cut.size") + size)).alias("piece"),
     )
 
 
