@@ -123,7 +123,7 @@ def pages(parsed: DataFrame, first: int | None = None, last: int | None = None)
     spans = F.col("provenance")
     if first is not None or last is not None:
         spans = F.filter(spans, lambda p: p["page_number"].between(first or 1, last or 2**31 - 1))
-    return parsed.where("provenance is not null").select("doc_id", F.explode(span_bytes(F.col("markdown"), spans)).alias("p")).select("doc_id", F.col("p.span.page_number").alias("page"), F.decode("p.data", "UTF-8").alias("text"))
+    return parsed.where("provenance is not null").select("doc_id", F.explode(span_bytes(F.col("markdown"), spans)).alias("p")).select("doc_id", F.col("p.span.page_number").alias("page"), F.make_valid_utf8(F.col("p.data").cast("string")).alias("text"))
 
 
 def span_bytes(text: Column, spans: Column) -> Column:

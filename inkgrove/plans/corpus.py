@@ -115,7 +115,7 @@ def decode_charsets(spark, d):
 def page_spans(spark, d):
     """Byte ranges rebuilt from the texts of the pages (the longest one, where a page has several)."""
     blocks = _page_blocks(spark, d).groupBy("parse_id", "span_no").agg(F.max_by(F.col("data"), F.octet_length("data")).alias("data"))
-    return corpus.page_spans(blocks.select("parse_id", "span_no", F.decode("data", "UTF-8").alias("block")), "parse_id", "span_no", "block")
+    return corpus.page_spans(blocks.select("parse_id", "span_no", F.make_valid_utf8(F.col("data").cast("string")).alias("block")), "parse_id", "span_no", "block")
 
 
 def page_of_offset(spark, d):
