@@ -1,8 +1,9 @@
 """Repair of scanned text: page furniture, words broken over lines, wrongly recognised characters.
 
 Two passes. The first counts words and pairs of words over all results; the words of other texts
-and the frequent ones of scans form the vocabulary, up to a bound from which on the rarer ones are
-looked up by a join. The second reads each paged result by itself: running headers and printed page
+and those of scans that are no misreadings form the vocabulary. Workers hold its frequent words and
+pairs; of the rarer ones a result gets those that it asks for, candidates and pairs alike, by joins
+(see _scans). The second reads each paged result by itself: running headers and printed page
 numbers are found by their place, their shape and their sequence over the pages, broken words are
 joined by the vocabulary, and an unknown word is looked up in the vocabulary's trie by an automaton
 that accepts all words within a bounded weighted edit distance; candidates are ranked by distance,
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 
 from inkgrove.session import durable, ship, spread
 
-#: Fewest uses of a word in texts that are no scans, or of a pair. Share of all words that a word
-#: seen on scans only must have as well, and share of all words that a pair must have.
-FEWEST, WORD_SHARE, PAIR_SHARE = 3, 2e-6, 1e-6
-#: Words in the trie; if there are more, the most frequent ones, and the rest is looked up by a join.
-MAX_WORDS = 500_000
-#: A word seen on scans only is doubted if a word it may be misread from is this many times as frequent.
-DOMINANT = 8
+#: Fewest uses of a word and of a pair.
+FEWEST = 3
+#: Words and pairs that workers hold; if there are more, the most frequent ones, and the rest is looked up by joins.
+MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
+#: A word seen on scans only is a misreading if a word it may be misread from is this many times as
+#: frequent; also if one a free edit away is FREE_DOMINANT times as frequent, unless the word itself
+#: is a WORD_SHARE of all words.
+DOMINANT, FREE_DOMINANT, WORD_SHARE = 8, 64, 2e-6
 #: Characters that scanners confuse, as read and as printed. Fixed values.
 CONFUSED = (
     ("c", "e"), ("f", "e"), ("f", "t"), ("o", "a"), ("b", "h"), ("y", "v"), ("l", "i"), ("0", "o"), ("1", "i"), ("1", "l"),
@@ -52,6 +54,12 @@ FREE, FREE_USES = ((EDIT, 4), (2 * EDIT, 8)), DOMINANT * FEWEST
 LONG_TOKEN = 40
 #: Nodes of the trie that are kept at a time.
 MAX_NODES = 100_000
+#: Longer words meet at parts of their fold instead of their shortened forms: two for each of two
+#: edits, as a letter may stand in two parts, and one more. How much words within any limit differ
+#: in length, and their folds where two letters are edited.
+LONG_WORD, PARTS, SHIFT = 24, 5, 6
+#: What no confusion changes: characters as strokes, so that both sides of every one of them are equal.
+_FOLD = str.maketrans({c: to for of, to in (("ceft", "c"), ("ilr1|ı", "i"), ("nuhb68", "ii"), ("m", "iii"), ("d", "ci"), ("oa0", "o"), ("yv", "y"), ("w", "yy"), ("qg9", "g"), ("s5", "s")) for c in of})
 HYPHENS = "-­‐‑¬"
 
 _PAGE = re.compile(r"## Page \d+\s*$")
@@ -119,41 +127,118 @@ def key_of(pair: str) -> int:
     return xxhash.xxh3_64_intdigest(pair) - (1 << 63)
 
 
-def least_uses(words: DataFrame, most: int) -> int:
-    """The uses from which on there are at most so many words; by powers of two, so a few rows decide."""
-    bins = {r["b"]: r["n"] for r in words.groupBy(F.floor(F.log2(F.col("t") + F.col("p"))).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, least = 0, FEWEST
+def least_uses(counts: DataFrame, most: int) -> int:
+    """The uses from which on there are at most so many rows; by powers of two, so a few rows decide."""
+    bins = {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("uses")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = 0
     for b in sorted(bins, reverse=True):
         total += bins[b]
         if total > most:
             return 2 ** (b + 1)
-    return least
+    return FEWEST
 
 
 def vocabulary(results: DataFrame) -> tuple[bytes, DataFrame | None]:
-    """The packed vocabulary, and the further words of texts if not all of them are in it."""
+    """The packed vocabulary, and the known words and pairs that aren't in it (word or pair, uses), if any."""
     counts = durable(count_words(results))  # read several times below; the texts only once
     total = counts.where("word is null and pair is null").first()
     t, p = (total["t"], total["p"]) if total else (0, 0)
-    named = counts.where(F.col("word").isNotNull())
-    right = named.where(F.col("t") >= FEWEST)
-    least = least_uses(right, MAX_WORDS)
-    # so many scans' own words at most as the share allows
-    least_scanned = max(FEWEST, ceil(WORD_SHARE * (t + p)))
-    both = F.col("t") + F.col("p")
-    often = named.where(F.when(F.col("t") >= FEWEST, both >= least).otherwise(both >= least_scanned)).select("word", "t", "p").toArrow()
-    least_pair = max(FEWEST, ceil(PAIR_SHARE * (t + p)))
-    pairs = counts.where(F.col("pair").isNotNull() & (both >= least_pair)).select("pair").toArrow()["pair"].to_pylist()
-    words = {}
-    doubted = {}
-    for w, a, b in zip(*(often[c].to_pylist() for c in ("word", "t", "p"))):
-        (words if a >= FEWEST else doubted)[w] = a + b
-    if doubted:
-        every = Vocabulary(words | doubted, ())
-        for w, n in doubted.items():
-            if not any(every.uses_of(c) >= DOMINANT * n for c, _ in every.candidates(w, MOST) if c != w):
-                words[w] = n
-    return Vocabulary(words, pairs).packed(), right.where(both < least).select("word") if least > FEWEST else None
+    often = counts.withColumn("uses", F.col("t") + F.col("p")).where(F.col("uses") >= FEWEST)
+    named = often.where(F.col("word").isNotNull())
+    words = durable(named.join(misreadings(named, ceil(WORD_SHARE * (t + p))), "word", "left_anti").select("word", F.lit(None).cast("bigint").alias("pair"), "uses"))
+    pairs = often.where(F.col("pair").isNotNull()).select("word", "pair", "uses")
+    least, least_pair = least_uses(words, MAX_WORDS), least_uses(pairs, MAX_PAIRS)
+    held = words.where(F.col("uses") >= least).toArrow()
+    held_pairs = pairs.where(F.col("uses") >= least_pair).select("pair").toArrow()["pair"].to_pylist()
+    rest = [x.where(F.col("uses") < n) for x, n in ((words, least), (pairs, least_pair)) if n > FEWEST]
+    data = Vocabulary(dict(zip(held["word"].to_pylist(), held["uses"].to_pylist())), held_pairs).packed()
+    return data, rest[0].union(rest[-1]) if len(rest) == 2 else rest[0] if rest else None
+
+
+def misreadings(named: DataFrame, evident: int) -> DataFrame:
+    """Words seen on scans only that are taken for misreadings of much more frequent words."""
+    scanned = named.where(F.col("t") < FEWEST)
+    asked = scanned.select("word", F.lit(MOST).alias("most"), (F.col("uses") * DOMINANT).alias("least"))
+    edited = scanned.where((F.col("uses") < evident) & (F.length("word") >= FREE[0][1]))
+    asked = asked.union(edited.select("word", F.lit(EDIT), F.col("uses") * FREE_DOMINANT))
+    found = near_words(asked, named.select("word", "uses"), {MOST: DOMINANT * FEWEST, EDIT: FREE_DOMINANT * FEWEST})
+    # a letter more or less at the end is another form of the word, as in Vocabulary.edited
+    ending = F.col("near").startswith(F.col("word")) | F.col("word").startswith(F.col("near"))
+    return found.where((F.col("near") != F.col("word")) & ((F.col("most") < EDIT) | ~ending)).select("word").distinct()
+
+
+def shortened(word: str, by: int) -> set[str]:
+    """The word without any letters, up to so many."""
+    forms = last = {word}
+    for _ in range(by):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        forms = forms | last
+    return forms
+
+
+def keys_of(word: str, most: float, asked: bool) -> set[int]:
+    """A word asked for and every known word within the weighted distance have a key in common.
+
+    Letters edited are missing on both sides, whatever is confused has the same fold. In long words
+    one part of the known word's fold has no edited letter, so the other's has it near that place.
+    """
+    edits, forms = int(most // EDIT), set()
+    if not edits or len(word) <= LONG_WORD + (SHIFT if asked else 0):
+        for n in range(edits + 1):
+            if most - n * EDIT >= CONFUSION:
+                forms.update(f"f{x.translate(_FOLD)}" for x in shortened(word, n))
+            else:
+                forms.update(f"w{x}" for x in shortened(word, n))
+    if edits and len(word) > LONG_WORD - (SHIFT if asked else 0):
+        fold = word.translate(_FOLD)
+        for n in range(len(fold) - SHIFT, len(fold) + SHIFT + 1) if asked else (len(fold),):
+            for k in range(PARTS):
+                at, end = n * k // PARTS, n * (k + 1) // PARTS
+                for x in range(-SHIFT, SHIFT + 1) if asked else (0,):
+                    if at + x >= 0 and end + x <= len(fold):
+                        forms.add(f"{k}{n} {fold[at + x : end + x]}")
+    return {key_of(f"{most} {x}") for x in forms}
+
+
+def near_words(asked: DataFrame, known: DataFrame, limits: dict[float, int]) -> DataFrame:
+    """word, most, near, uses, cost: the known words (word, uses) within the distance most of those
+    asked for, and their distance.
+
+    asked has word, most and the least uses of a known word; limits has every distance that occurs
+    and the fewest uses that are asked for within it. Both sides meet at keys, never as a product.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, len(b), 1000):
+                own = b.slice(part, 1000)
+                rows = [(i, k) for i, (w, most) in enumerate(zip(own["word"].to_pylist(), own["most"].to_pylist())) for k in keys_of(w, most, True)]
+                if rows:
+                    at, keys = zip(*rows)
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(own[c].take(at) for c in ("word", "most", "least"))], ["key", "word", "most", "least"])
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, len(b), 1000):
+                own = b.slice(part, 1000)
+                rows = [(i, k) for i, (w, n) in enumerate(zip(own["word"].to_pylist(), own["uses"].to_pylist())) for most, least in limits.items() if n >= least for k in keys_of(w, most, False)]
+                if rows:
+                    at, keys = zip(*rows)
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), own["word"].take(at), own["uses"].take(at)], ["key", "near", "uses"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b["word"].to_pylist(), b["near"].to_pylist(), b["most"].to_pylist())
+            costs = [0.0 if w == c else next((x for _, x in Vocabulary({c: 1}, ()).candidates(w, most)), None) for w, c, most in rows]
+            b = b.append_column("cost", pa.array(costs, pa.float64()))
+            yield b.filter(b["cost"].is_valid())
+
+    asks = asked.mapInArrow(ask, "key bigint, word string, most double, least bigint")
+    offers = known.where(F.col("uses") >= min(limits.values())).mapInArrow(offer, "key bigint, near string, uses bigint")
+    met = asks.join(offers, "key").where(F.col("uses") >= F.col("least")).select("word", "most", "near", "uses").distinct()
+    return met.mapInArrow(within, "word string, most double, near string, uses bigint, cost double")
 
 
 class Vocabulary:
@@ -260,11 +345,13 @@ class Vocabulary:
         self.found[token, most] = found
         return found
 
-    def beside(self, pair: str) -> bool:
-        key = key_of(pair)
+    def holds(self, key: int) -> bool:
         at = bisect_left(self.pairs, key)
         return at < len(self.pairs) and self.pairs[at] == key
 
+    def beside(self, pair: str) -> bool:
+        return self.holds(key_of(pair))
+
     def fit(self, before: str, word: str, after: str) -> int:
         """How many of the two neighbours the word is known to stand beside."""
         return (bool(before) and self.beside(f"{before} {word}")) + (bool(after) and self.beside(f"{word} {after}"))
@@ -302,6 +389,41 @@ class Vocabulary:
         return None
 
 
+class Widened(Vocabulary):
+    """The vocabulary all workers hold with what the others know of one result's words and pairs.
+
+    near has the further candidates for its words, pairs its further pairs. Notes what is asked for
+    in vain. Without near there are no candidates at all, to see quickly which words are asked for.
+    """
+
+    def __init__(self, shared: Vocabulary, near: list[dict] | None, pairs):
+        self.shared, self.blind, self.more_pairs = shared, near is None, frozenset(pairs)
+        self.more = {x["near"]: x["uses"] for x in near or ()}
+        self.near: dict[str, list[tuple[str, float]]] = {}
+        for x in near or ():
+            self.near.setdefault(x["word"], []).append((x["near"], x["cost"]))
+        self.missed_words: set[str] = set()
+        self.missed_pairs: set[int] = set()
+
+    def uses_of(self, word: str) -> int:
+        uses = self.shared.uses_of(word) or self.more.get(word, 0)
+        if not uses:
+            self.missed_words.add(word)
+        return uses
+
+    def candidates(self, token: str, most: float) -> list[tuple[str, float]]:
+        if self.blind:
+            return []
+        held, more = self.shared.candidates(token, most), self.near.get(token)
+        return sorted(held + [x for x in more if x[1] <= most], key=lambda x: (x[1], x[0])) if more else held
+
+    def holds(self, key: int) -> bool:
+        held = key in self.more_pairs or self.shared.holds(key)
+        if not held:
+            self.missed_pairs.add(key)
+        return held
+
+
 # ---- one result ----
 
 
@@ -472,15 +594,20 @@ class Furniture:
 
 
 class Repairer:
-    """Finds and repairs the noise of one result after another with a shared vocabulary."""
+    """Finds and repairs the noise of one result after another with a shared vocabulary; or of one
+    result with a widened one, for which shared judges all words that workers hold."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, shared: Repairer | None = None):
+        self.v, self.shared = vocabulary, shared
         self.status: dict[str, tuple[str, int]] = {}
-        self.right: frozenset = frozenset()
 
     def judged(self, token: str) -> tuple[str, int]:
         """Word of a token and 0 (right), 1 (unknown) or 2 (known, but easily confused)."""
+        if self.shared:
+            word, state = self.shared.judged(token)
+            if state == 1 or (len(word) == 1 and word.isalpha() and word < "⺀"):
+                state = (2 if len(self.v.candidates(word, 2 * CONFUSION)) > 1 else 0) if self.v.uses_of(word) else int(len(word) > 1)
+            return word, state
         got = self.status.get(token)
         if got is None:
             word = word_of(token)
@@ -493,18 +620,14 @@ class Repairer:
             if len(self.status) > 300_000:
                 self.status.clear()
             self.status[token] = got
-        return got if got[1] != 1 or got[0] not in self.right else (got[0], 0)
-
-    def unknown(self, text: str) -> set[str]:
-        """Words that the vocabulary doesn't hold."""
-        return {w for w, s in map(self.judged, set(text.split())) if s == 1}
+        return got
 
     def whole(self, first: str, second: str, before: str, after: str) -> str:
         """The word whose parts end one line and begin the next."""
         a, b = bare(first), bare(second)
         joined, compound = a + b, f"{a}-{b}"
         for word in (joined, compound):
-            if self.v.uses_of(word) or word in self.right:
+            if self.v.uses_of(word):
                 return word
         best = None
         for word in (joined, compound):
@@ -514,11 +637,11 @@ class Repairer:
                     best = (rank, c)
         if best:
             return best[1]
-        return compound if self.v.uses_of(a) and self.v.uses_of(b) and len(a) > 2 and len(b) > 2 else joined
+        parts = [self.v.uses_of(x) for x in (a, b)]  # both are asked for, whatever one gives
+        return compound if all(parts) and len(a) > 2 and len(b) > 2 else joined
 
-    def find(self, text: str, right=None) -> list[tuple[int, str, str]]:
-        """(line number, kind, fixed) of all noise; distinct, in order. right: further right words."""
-        self.right = frozenset(right or ())
+    def find(self, text: str) -> list[tuple[int, str, str]]:
+        """(line number, kind, fixed) of all noise; distinct, in order."""
         lines = text.split("\n")
         kinds = Furniture(lines).kinds
         rows = [(i, kind, "") for i, kind in kinds.items()]
@@ -552,7 +675,7 @@ class Repairer:
             before = "" if broken else judged[-1][0]
         return sorted(set(rows))
 
-    def repaired(self, text: str, right=None) -> str:
+    def repaired(self, text: str) -> str:
         """Continuous paragraphs: furniture removed, words joined and corrected, lines reflowed.
 
         Page headings of the engine go with the lines around them; a blank line keeps a paragraph apart, unless
@@ -560,7 +683,7 @@ class Repairer:
         """
         lines = text.split("\n")
         noise: dict[int, list[tuple[str, str]]] = {}
-        for i, kind, fixed in self.find(text, right):
+        for i, kind, fixed in self.find(text):
             noise.setdefault(i, []).append((kind, fixed))
         paragraphs: list[list[str]] = [[]]
         carry, turned = "", False
@@ -595,9 +718,9 @@ class Repairer:
     def replaced(self, token: str, fixes: list[str]) -> str:
         word, state = self.judged(token)
         if state:
-            limits = [MOST, *(most for most, letters in FREE if state == 1 and len(word) >= letters)]
+            limits = [MOST, *(most for most, letters in FREE if len(word) >= letters)] if state == 1 else [2 * CONFUSION]
             for most in limits:
-                c = next((c for c, _ in self.v.candidates(word, most) if c in fixes and c != word), None)
+                c = next((c for c, _ in self.v.candidates(word, most) if c in fixes and c != word and (state == 1 or self.v.uses_of(c) >= self.v.uses_of(word))), None)
                 if c:
                     core = token.strip(_EDGES)
                     new = c.upper() if core.isupper() and len(core) > 1 else c.capitalize() if core[:1].isupper() else c
@@ -616,43 +739,63 @@ def _repairer(data: bytes) -> Repairer:
     return _REPAIRERS[key]
 
 
+def _own(data: bytes, near: list | None, pairs: list | None) -> Repairer:
+    """The repairer of a result with candidates and pairs of its own."""
+    shared = _repairer(data)
+    return Repairer(Widened(shared.v, near or [], pairs or ()), shared) if near or pairs else shared
+
+
 def _scans(results: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """parse_id, markdown, known of every pdf result, and the vocabulary.
+    """parse_id, markdown, near, pairs of every pdf result, and the vocabulary all workers hold.
 
-    known is null if the vocabulary holds all words of texts; otherwise it has those words of the
-    result that are right and not in it, found by a join of the results' unknown words.
+    near and pairs are null if that is all. Otherwise they are what the result needs of the rest:
+    each is read to see which words it asks for in vain; all further candidates for them, themselves
+    too, are found by a join at common keys (near_words). It is read again with these to see which
+    pairs it asks for. Words of the rest are less used than held ones, so they never replace one and
+    held ones aren't asked for. Texts stand for results: copies need the same.
     """
     data, rest = vocabulary(results)
     shared = results.sparkSession.sparkContext.broadcast(data)
     scans = results.select("parse_id", "doc_format", "markdown").where("doc_format = 'pdf' and markdown is not null").select("parse_id", "markdown")
+    near_type, pairs_type = "array<struct<word:string,near:string,uses:bigint,cost:double>>", "array<bigint>"
     if rest is None:
-        return spread(scans).withColumn("known", F.lit(None).cast("array<string>")), shared
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _repairer(shared.value)
-        for b in batches:
-            found = [(i, w) for i, text in enumerate(b["markdown"].to_pylist()) for w in own.unknown(text)]
-            # parts of words broken over lines are looked up as a whole
-            found += [(i, w) for i, text in enumerate(b["markdown"].to_pylist()) for w in broken_words(text)]
-            if found:
-                at, ws = zip(*found)
-                yield pa.RecordBatch.from_arrays([b["parse_id"].take(pa.array(at)), pa.array(ws, pa.string())], ["parse_id", "word"])
-
-    asked = spread(scans).mapInArrow(words, "parse_id bigint, word string").distinct()
-    known = asked.join(rest, "word").groupBy("parse_id").agg(F.collect_list("word").alias("known"))
-    return scans.join(known, "parse_id", "left"), shared
-
-
-def broken_words(text: str) -> set[str]:
-    """Both readings of every word whose parts end one line and begin a later one."""
-    tokens, found = text.split(), set()
-    for at, t in enumerate(tokens[:-1]):
-        if t[-1] in HYPHENS and len(t) > 1:
-            # the next line may follow page furniture, so a few tokens come into question
-            for following in tokens[at + 1 : at + 12]:
-                a, b = bare(t[:-1]), bare(following)
-                found.update((a + b, f"{a}-{b}"))
-    return found
+        return spread(scans).withColumns({"near": F.lit(None).cast(near_type), "pairs": F.lit(None).cast(pairs_type)}), shared
+
+    def missing(what: str, kind: pa.DataType):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _repairer(shared.value)
+            for b in batches:
+                at, asked = [], []
+                for i, (text, near) in enumerate(zip(b["markdown"].to_pylist(), b["near"].to_pylist())):
+                    own = Widened(held.v, None if what == "word" else near or [], ())
+                    Repairer(own, held).find(text)
+                    missed = own.missed_words if what == "word" else own.missed_pairs
+                    at.extend([i] * len(missed))
+                    asked.extend(missed)
+                if at:
+                    yield pa.RecordBatch.from_arrays([b["text"].take(pa.array(at)), pa.array(asked, kind)], ["text", what])
+
+        return ask
+
+    scans = scans.withColumn("text", F.xxhash64("markdown"))
+    words, pairs = rest.where("word is not null").select("word", "uses"), rest.where("pair is not null").select("pair")
+    known = spread(scans).withColumn("near", F.lit(None).cast(near_type))
+    if not words.isEmpty():
+        asked = durable(known.mapInArrow(missing("word", pa.string()), "text bigint, word string").distinct())
+        each = asked.select("word").distinct()
+        wanted = each.select("word", F.lit(MOST).alias("most"), F.lit(FEWEST).cast("bigint").alias("least"))
+        limits = {MOST: FEWEST}
+        if not words.where(F.col("uses") >= FREE_USES).isEmpty():
+            for most, letters in FREE:
+                wanted = wanted.union(each.where(F.length("word") >= letters).select("word", F.lit(most), F.lit(FREE_USES).cast("bigint")))
+                limits[most] = FREE_USES
+        near = near_words(wanted, words, limits).groupBy("word", "near", "uses").agg(F.min("cost").alias("cost"))
+        of_text = asked.join(near, "word").groupBy("text").agg(F.collect_list(F.struct("word", "near", "uses", "cost")).alias("near"))
+        known = scans.join(durable(of_text), "text", "left")
+    if pairs.isEmpty():
+        return known.withColumn("pairs", F.lit(None).cast(pairs_type)), shared
+    asked = known.mapInArrow(missing("pair", pa.int64()), "text bigint, pair bigint").distinct()
+    return known.join(asked.join(pairs, "pair").groupBy("text").agg(F.collect_list("pair").alias("pairs")), "text", "left"), shared
 
 
 def scan_noise(results: DataFrame) -> DataFrame:
@@ -667,11 +810,10 @@ def scan_noise(results: DataFrame) -> DataFrame:
     scans, shared = _scans(results)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _repairer(shared.value)
         for b in batches:
             at, rows = [], []
-            for i, (text, known) in enumerate(zip(b["markdown"].to_pylist(), b["known"].to_pylist())):
-                found = own.find(text, known)
+            for i, (text, near, pairs) in enumerate(zip(*(b[c].to_pylist() for c in ("markdown", "near", "pairs")))):
+                found = _own(shared.value, near, pairs).find(text)
                 at.extend([i] * len(found))
                 rows.extend(found)
             if rows:
@@ -687,9 +829,8 @@ def repaired_texts(results: DataFrame) -> DataFrame:
     scans, shared = _scans(results)
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _repairer(shared.value)
         for b in batches:
-            texts = [own.repaired(x, k) for x, k in zip(b["markdown"].to_pylist(), b["known"].to_pylist())]
+            texts = [_own(shared.value, near, pairs).repaired(x) for x, near, pairs in zip(*(b[c].to_pylist() for c in ("markdown", "near", "pairs")))]
             yield pa.RecordBatch.from_arrays([b["parse_id"], pa.array(texts, pa.string())], ["parse_id", "text"])
 
     return scans.mapInArrow(repair, "parse_id bigint, text string")
