@@ -8,6 +8,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -444,6 +445,31 @@ def test_every_tier_of_a_set_of_quotes(spark):
     assert docs.select(evidence.located(docs.text, F.lit("x 12.5%"))["tier"].alias("t")).where("t = 'number'").count() == 2
 
 
+def test_evidence_of_many_quotes_is_handed_on_in_pieces(spark, monkeypatch):
+    """Quotes of one wording are found once, no worker holds all that it finds, amounts out of reach are not looked up."""
+    texts = [f"## Page {n}\n\n| Order {n} | 134000.50 |\n| Order 555 | 9.99 |\n" for n in range(30)]
+    quotes = [(k, "Order of 13.4万") for k in range(1000)] + [(k, f"{k}. Order of 13.4万") for k in range(1000, 1500)] + [(k, f"Order of {k}.5万") for k in range(1500, 1600)] + [(None, "Order 555 |"), (7, None), (7, " "), (7, "Order 555 |")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    df = spark.createDataFrame(quotes, "quote_id int, quote string")
+    kind, functions = type(docs), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: functions.append(f) or plain(self, f, schema))
+    looked, near = [], evidence.Source.near
+    monkeypatch.setattr(evidence.Source, "near", lambda self, value: looked.append(value) or near(self, value))
+    found = evidence.evidence_hits(docs, df)
+    sizes = [b.num_rows for b in functions[0](iter([pa.RecordBatch.from_pydict({"d": list(range(30)), "t": texts})]))]
+    assert sum(sizes) == 30 * 502 and max(sizes) <= 10_000
+    assert set(looked) == {134000.0} and len(looked) == 30 * 501
+    wanted = sorted((n, -1 if k is None else k, *hit.values()) for n, t in enumerate(texts) for k, q in quotes if (hit := evidence.locate(t, q)))
+    rows = lambda df: sorted((r[0], -1 if r[1] is None else r[1], *r[2:]) for r in df.collect())
+    assert found.columns == ["doc_id", "quote_id", *evidence.LOCATED.names] and len(wanted) == 30 * 1502
+    assert rows(found) == wanted
+    monkeypatch.setattr(evidence, "MAX_SHARED_IDS", 10)  # ids and what was found meet by a shuffle
+    assert rows(evidence.evidence_hits(docs, df)) == wanted
+    # a row of long texts is no longer held with others
+    assert [len(x) for x in evidence.pieces([("a" * (3 << 20), 1)] * 5 + [(1, None)] * 20_000)] == [2, 2, 10_000, 10_000, 1]
+
+
 def test_groups_that_become_one_row_are_bounded(spark):
     df = spark.range(30).selectExpr("cast(id % 2 as int) g", "id o", "id size", "'t' markdown", "cast(id as string) source")
     assert corpus.concatenated(df, "g", most=15).count() == 2 and corpus.budget_fold(df, "g", "o", "size", 50, most=15).count() == 30
